@@ -159,7 +159,7 @@ def lifted(v: np.ndarray) -> np.ndarray:
 
 def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degree: int = DEGREE, alpha: float = ALPHA) -> DataFrame:
     """The index, a row a shard: ``(dim, shard, start, vectors, graph, ids, id_ends)`` with packed arrays of bounded size."""
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(rows["v"].to_numpy()).astype(np.float64)
         order = np.lexsort(v.T[::-1])
         v, ids = v[order], [np.asarray(x, np.int64) for x in rows["ids"].to_numpy()[order]]
@@ -181,7 +181,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
     packed = queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")}).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     units = index.join(packed, "dim")
 
-    def beam_search(key, unit: pd.DataFrame) -> pd.DataFrame:
+    def beam_search(key: tuple, unit: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in unit.itertuples(index=False):
             v = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)

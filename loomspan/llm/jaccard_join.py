@@ -169,8 +169,8 @@ def candidates(sets: DataFrame, *, threshold: float = THRESHOLD, tokens: int = T
     """
     spark = sets.sparkSession
     runs = runs_for(recall, threshold, depth)
-    sketch = sets.select("sid", "n", F.transform("sig", lambda x: x.bitwiseAND(255).cast("tinyint")).alias("sk"))
-    open_rows = _children(sets.select("sid", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).cast("long").alias("path")), threshold, tokens).select("path", "sid")
+    sketch = sets.select("sid", "n", F.transform("sig", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("sk"))
+    open_rows = _children(sets.select("sid", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path")), threshold, tokens).select("path", "sid")
     leaves = None
     for level in range(1, depth + 1):
         open_rows = written(open_rows, "paths")
@@ -213,7 +213,7 @@ def _in_blocks(large: DataFrame, sketch: DataFrame, threshold: float, block: int
     turn = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = dealt.select("path", "sid", "n", "sk", "own", turn).select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sk", "own")
 
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sid")
         ids, n, sk = rows["sid"].to_numpy(), rows["n"].to_numpy(), np.stack(rows["sk"].to_numpy())
         link = _similar(n, sk, n, sk, threshold) & ~np.eye(len(ids), dtype=bool)
@@ -291,7 +291,7 @@ def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     met = sets.select("*", turn).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     unit = F.when(F.col("blocks") == 1, F.struct(F.col("bin").alias("k"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("root").alias("k"), "i", "j"))
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         frm, to, counts = [], [], []
         for _, group in rows.groupby("root", sort=False):
             group = group.sort_values("sid")

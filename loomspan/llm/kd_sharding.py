@@ -110,7 +110,8 @@ def leaves(rows: DataFrame, n_leaves: int, bins: int = BINS) -> DataFrame:
         for n, (a, b) in child.items():
             side = F.when(F.col("node") == n, F.when(left, F.lit(a)).otherwise(F.lit(b))).otherwise(side)
         stepped = here.drop("at").withColumn("v", value).withColumn("node", F.coalesce(side, F.col("node"))).drop("v")
-        rows, node = stepped.withColumnRenamed("node", "at"), F.col("at")
+        # Written each level: the next level's conditions refer to a stored column, not to all conditions so far.
+        rows, node = written(stepped.withColumnRenamed("node", "at"), "kd-level"), F.col("at")
         share = grown
     done.update(share)
     number = {n: i for i, n in enumerate(sorted(done))}
