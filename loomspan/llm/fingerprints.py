@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.support import let, partitions
 
-PIECE_CHARS, WIDTH, BLOCK = 160, 16, 12
+PIECE_CHARS, WIDTH, BLOCK = 160, 16, 20
 RETRY_WIDTHS = (64, 512)
 ROUNDS = 24
-_CELL = "struct<c:int,k:bigint,h:bigint>"
 _NULL_ID = -(1 << 63)
 
 
@@ -33,74 +32,71 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def _place(key: Column, width: int, seed: int) -> Column:
-    """Struct of the key, its check hash and its cell in each of the three sub-tables."""
+def _place(key: Column, sign: Column, width: Column, seed: Column) -> Column:
+    """Struct of the key, its sign, its check hash and its cell in each of the three sub-tables."""
     def of(h: Column) -> Column:
-        cell = [F.pmod(F.shiftrightunsigned(h, 20 * j), F.lit(width)).cast("int").alias(f"i{j}") for j in range(3)]
-        return F.struct(key.alias("k"), F.xxhash64(F.lit(seed), key).alias("h"), *cell)
+        cells = F.array(*[F.pmod(F.shiftrightunsigned(h, 20 * j), width).cast("int") for j in range(3)])
+        return F.struct(sign.alias("s"), key.alias("k"), F.xxhash64(seed, key).alias("h"), cells.alias("at"))
 
-    return let(F.xxhash64(F.lit(seed + 1), key), of)
+    return let(F.xxhash64(seed + 1, key), of)
 
 
-def _xor(values: Column, field: str) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x[field]))
+def _cell(c: Column, k: Column, h: Column) -> Column:
+    return F.struct(c.cast("int").alias("c"), k.cast("bigint").alias("k"), h.cast("bigint").alias("h"))
 
 
-def _scatter(keys: Column, width: int) -> Column:
-    """Cells of the three sub-tables that the placed keys fill, as one array of 3 * width cells."""
-    def cells(j: int) -> Column:
-        def cell(i: Column) -> Column:
-            mine = F.filter(keys, lambda x: x[f"i{j}"] == i)
-            return let(mine, lambda m: F.struct(F.size(m).cast("int").alias("c"), _xor(m, "k").alias("k"), _xor(m, "h").alias("h")))
+def _zero() -> Column:
+    return _cell(F.lit(0), F.lit(0), F.lit(0))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
 
-    return F.concat(*[cells(j) for j in range(3)])
+def _added(table: Column, placed: Column, j: Column) -> Column:
+    """Sub-table j plus the placed keys."""
+    def one(cell: Column, i: Column) -> Column:
+        return F.aggregate(placed, cell, lambda c, p: F.when(F.get(p["at"], j) == i, _cell(c["c"] + p["s"], c["k"].bitwiseXOR(p["k"]), c["h"].bitwiseXOR(p["h"]))).otherwise(c))
 
+    return F.transform(table, one)
 
-def sketch(keys: Column, width: int = WIDTH, seed: int = 0) -> Column:
-    return let(F.transform(keys, lambda k: _place(k, width, seed)), lambda placed: _scatter(placed, width))
+
+def sketch(keys: Column, width: Column | int = WIDTH, seed: Column | int = 0) -> Column:
+    """Three sub-tables of ``width`` cells."""
+    width, seed = (F.lit(x) if isinstance(x, int) else x for x in (width, seed))
+    blank = F.array_repeat(_zero(), width)
+    return let(F.transform(keys, lambda k: _place(k, F.lit(1), width, seed)), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: _added(blank, placed, j)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).cast("int").alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda s, t: F.zip_with(s, t, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))))
 
 
-def peel(cells: Column, width: int = WIDTH, seed: int = 0) -> Column:
+def peel(tables: Column, width: Column | int = WIDTH, seed: Column | int = 0) -> Column:
     """Digests that a subtracted sketch holds, or null if it can't be peeled.
 
-    Each round takes the pure cells of one sub-table (a count of 1 or -1 whose check hash fits its
-    digest); they hold different digests, which leave all three sub-tables at once.
+    Each step takes the pure cells of one sub-table (a count of 1 or -1 whose check hash fits its
+    digest). They hold different digests; their cells empty, and the digests leave the other two
+    sub-tables. The three take turns: ``t`` is the one at hand, ``u`` and ``v`` come next.
     """
-    def pure(c: Column) -> Column:
-        return (F.abs(c["c"]) == 1) & (F.xxhash64(F.lit(seed), c["k"]) == c["h"])
-
-    def step(state: Column, r: Column) -> Column:
-        def without(found: Column) -> Column:
-            def removed(placed: Column) -> Column:
-                minus = _scatter_signed(placed, width)
-                left = subtract(state["cells"], minus)
-                return F.struct(left.alias("cells"), F.concat(state["keys"], F.transform(placed, lambda p: p["k"])).alias("keys"))
+    width, seed = (F.lit(x) if isinstance(x, int) else x for x in (width, seed))
 
-            return F.when(F.size(found) == 0, state).otherwise(let(F.transform(found, lambda c: F.struct(c["c"].alias("s"), _place(c["k"], width, seed).alias("p"))), lambda q: removed(F.transform(q, lambda x: F.struct(x["s"].alias("s"), x["p"]["k"].alias("k"), x["p"]["h"].alias("h"), *[x["p"][f"i{j}"].alias(f"i{j}") for j in range(3)])))))
+    def pure(c: Column) -> Column:
+        return (F.abs(c["c"]) == 1) & (F.xxhash64(seed, c["k"]) == c["h"])
 
-        table = F.slice(state["cells"], F.pmod(r, F.lit(3)) * width + 1, width)
-        return let(F.filter(table, pure), without)
+    def state(t: Column, u: Column, v: Column, keys: Column) -> Column:
+        return F.struct(t.alias("t"), u.alias("u"), v.alias("v"), keys.alias("keys"))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"))
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    return let(end, lambda e: F.when(F.forall(e["cells"], lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0)), e["keys"]))
+    def step(at: Column, r: Column) -> Column:
+        def removed(placed: Column) -> Column:
+            rest = F.transform(at["t"], lambda c: F.when(pure(c), _zero()).otherwise(c))
+            return state(_added(at["u"], placed, F.pmod(r + 1, F.lit(3))), _added(at["v"], placed, F.pmod(r + 2, F.lit(3))), rest, F.concat(at["keys"], F.transform(placed, lambda p: p["k"])))
 
+        def without(found: Column) -> Column:
+            return F.when(F.size(found) == 0, state(at["u"], at["v"], at["t"], at["keys"])).otherwise(let(F.transform(found, lambda c: _place(c["k"], -c["c"], width, seed)), removed))
 
-def _scatter_signed(keys: Column, width: int) -> Column:
-    def cells(j: int) -> Column:
-        def cell(i: Column) -> Column:
-            mine = F.filter(keys, lambda x: x[f"i{j}"] == i)
-            return let(mine, lambda m: F.struct(F.aggregate(m, F.lit(0), lambda a, x: a + x["s"]).cast("int").alias("c"), _xor(m, "k").alias("k"), _xor(m, "h").alias("h")))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+        return let(F.filter(at["t"], pure), without)
 
-    return F.concat(*[cells(j) for j in range(3)])
+    start = state(*[F.get(tables, F.lit(j)) for j in range(3)], F.array().cast("array<bigint>"))
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+    empty = lambda t: F.forall(t, lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0))
+    return let(end, lambda e: F.when(empty(e["t"]) & empty(e["u"]) & empty(e["v"]), e["keys"]))
 
 
 def _by_blocks(a: Column, b: Column) -> Column:
@@ -112,10 +108,15 @@ def _by_blocks(a: Column, b: Column) -> Column:
             return F.filter(x, lambda k: F.pmod(F.xxhash64(F.lit(99), k), blocks) == i)
 
         def tried(p: Column) -> Column:
-            out = F.array_size(F.concat(F.array_except(p["a"], p["b"]), F.array_except(p["b"], p["a"])))
-            for width, seed in reversed([(WIDTH, 11), *((w, 13 + w) for w in RETRY_WIDTHS)]):
-                out = F.coalesce(F.array_size(peel(subtract(sketch(p["a"], width, seed), sketch(p["b"], width, seed)), width, seed)), out)
-            return out
+            def attempt(width: Column) -> Column:
+                return F.array_size(peel(subtract(sketch(p["a"], width, width), sketch(p["b"], width, width)), width, width))
+
+            def larger(found: Column, width: Column) -> Column:
+                return F.when(found >= 0, found).otherwise(F.coalesce(attempt(width), F.lit(-1)))
+
+            widths = F.array(*[F.lit(w) for w in (WIDTH, *RETRY_WIDTHS)])
+            exact = F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"]))
+            return let(F.aggregate(widths, F.lit(-1), larger), lambda found: F.when(found >= 0, found).otherwise(exact))
 
         return let(F.struct(mine(a).alias("a"), mine(b).alias("b")), tried)
 
@@ -136,8 +137,8 @@ def likeness(n_diff: Column, a: Column, b: Column) -> Column:
 
 def rendered(n: Column, root: Column, cells: Column) -> Column:
     """Text form: digests, hash of the whole text, then each cell as count:key:check in hex ('.': empty)."""
-    cell = F.transform(cells, lambda c: F.when((c["c"] == 0) & (c["k"] == 0), F.lit(".")).otherwise(F.concat(c["c"].cast("string"), F.lit(":"), F.lower(F.hex(c["k"])), F.lit(":"), F.lower(F.hex(c["h"])))))
-    return F.concat_ws(" ", n.cast("string"), F.lower(F.hex(root)), F.array_join(cell, " "))
+    cell = F.transform(cells, lambda t: F.transform(t, lambda c: F.when((c["c"] == 0) & (c["k"] == 0), F.lit(".")).otherwise(F.concat(c["c"].cast("string"), F.lit(":"), F.lower(F.hex(c["k"])), F.lit(":"), F.lower(F.hex(c["h"]))))))
+    return F.concat_ws(" ", n.cast("string"), F.lower(F.hex(root)), F.array_join(F.flatten(cell), " "))
 
 
 def fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
