@@ -16,13 +16,17 @@ def with_embeddings(nodes: DataFrame, vectors: DataFrame) -> tuple[DataFrame, Da
 
 
 def hashed_embeddings(texts: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """``(id, embedding)``: signed feature hashing of words, unit length; row-local and JVM-side."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\W+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    counts = F.aggregate(hashed, F.array_repeat(F.lit(0.0), dim), lambda acc, h: F.zip_with(acc, F.sequence(F.lit(0), F.lit(dim - 1)), lambda a, i: F.when(F.pmod(h, F.lit(dim)) == i, a + F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(a)))
-    raw = texts.select(F.col(id_col), counts.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("norm", norm).select(id_col, F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("embedding"))
+    """``(id, embedding)``: signed feature hashing of words, unit length; all zero without a word.
+
+    Words are counted by bucket in each task before the shuffle, so at most ``dim`` rows a text move.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\W+")
+    hashed = texts.select(F.col(id_col), F.explode(words).alias("w")).select(id_col, "w", F.xxhash64("w").alias("h"))
+    sign = F.when(F.col("w") == "", 0).when(F.pmod(F.shiftright("h", 20), F.lit(2)) == 0, 1).otherwise(-1)
+    sums = hashed.select(id_col, F.pmod("h", F.lit(dim)).cast("int").alias("b"), sign.alias("s")).groupBy(id_col, "b").agg(F.sum("s").alias("n"))
+    maps = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(0.0))
+    return maps.select(id_col, value.alias("embedding"))
 
 
 def embed_batches(texts: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str]], list[list[float]]], batch_size: int = 20) -> DataFrame:

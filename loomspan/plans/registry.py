@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomspan.plans import code_queries, corpus_queries, retrieval_queries
+
+QUERIES: dict = {**retrieval_queries.QUERIES, **corpus_queries.QUERIES, **code_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **corpus_queries.ORACLES, **code_queries.ORACLES}
