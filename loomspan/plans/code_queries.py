@@ -1,3 +1,213 @@
-"""placeholder"""
-QUERIES: dict = {}
+"""Queries over source files built from orders: one file a customer, one function an order.
+
+The SQL side does not parse: it derives each expected node from how the files are built.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.operators import code, graph, spans
+from loomspan.plans import fixtures as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FILE = ["repo_name", "file_path"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def lines_of(spark: SparkSession, d: str, language: str) -> DataFrame:
+    return X.spark_sql(spark, d, X.code_lines(language)).select(*FILE, "line_no", "line")
+
+
+def _base(language: str) -> str:
+    """Common SQL: L (all lines), S (functions with header, end and the start after annotations), T (call tokens)."""
+    moves = language in ("java", "kotlin", "csharp")
+    tokens = ["SELECT repo_name, file_path, line_no, 0 AS pos, 'g' || o_custkey AS callee FROM l WHERE part = 4", "SELECT repo_name, file_path, line_no, 1, 'h' || k % 50 FROM l WHERE part = 4"]
+    if language != "r":
+        tokens.append("SELECT repo_name, file_path, line_no, 0, 'F' || k FROM l WHERE part = 2")
+    extra = {"java": "'GetMapping'", "kotlin": "'PostMapping'", "csharp": "'HttpGet'", "go": "'r.GET'"}.get(language)
+    if extra:
+        tokens.append(f"SELECT repo_name, file_path, line_no, 0, {extra} FROM l WHERE part = 1")
+    if language == "r":
+        tokens.append("SELECT repo_name, file_path, line_no, 0, 'library' FROM l WHERE part = 0")
+    start = "coalesce((SELECT max(a.line_no) FROM l a WHERE a.part = 1 AND a.o_custkey = h.o_custkey AND a.line_no BETWEEN h.line_no - 6 AND h.line_no - 1), h.line_no)" if moves else "h.line_no"
+    return f"""WITH l AS ({X.duck(X.code_lines(language))}),
+s AS (SELECT h.repo_name, h.file_path, h.o_custkey, h.k, h.line_no AS header, {start} AS start_line, e.line_no AS end_line FROM l h JOIN l e ON h.part = 2 AND e.part = 5 AND e.o_custkey = h.o_custkey AND e.k = h.k),
+t AS ({' UNION ALL '.join(tokens)}),
+x AS (SELECT s.repo_name, s.file_path, s.k, 'F' || s.k AS caller, t.callee, min(t.line_no * 10 + t.pos) AS place FROM s JOIN t ON t.file_path = s.file_path AND t.line_no > s.start_line AND t.line_no <= s.end_line AND t.callee <> 'F' || s.k GROUP BY ALL),
+edges AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY file_path, k ORDER BY place) <= 24)
+"""
+
+
+def _nodes_sql(language: str) -> str:
+    conf = code.LANGUAGES[language]
+    kinds = {language_kind[1] for language_kind in conf.imports}
+    kind = "import_from" if "import_from" in kinds else sorted(kinds)[0]
+    module = {"go": "'m' || k % 10", "cpp": "'m' || k % 10", "javascript": "'m' || k % 10", "r": "'m' || k % 10", "csharp": "'M' || k % 10"}.get(language, "'m.M' || k % 10")
+    parts = [
+        f"SELECT repo_name, file_path, 'function' AS node_type, 'F' || k AS symbol, start_line, end_line, {conf.function_confidence} AS confidence, '' AS kind FROM s",
+        f"SELECT repo_name, file_path, 'import_usage', {module}, line_no, line_no, 0.8, '{kind}' FROM l WHERE part = 0",
+        "SELECT repo_name, file_path, 'comment_line', NULL, line_no, line_no, 0.78, 'line_block' FROM l WHERE part = 3",
+        "SELECT repo_name, file_path, 'call_edge', caller || '->' || callee, place // 10, place // 10, 0.72, 'calls' FROM edges",
+    ]
+    if language == "go":
+        parts.append("SELECT repo_name, file_path, 'route', 'GET:/p' || k, line_no, line_no, 0.8, '' FROM l WHERE part = 1")
+    if language == "javascript":
+        parts.append("SELECT repo_name, file_path, 'route', '/p' || k, line_no, line_no, 0.8, '' FROM l WHERE part = 1")
+    if language in ("java", "kotlin", "csharp"):
+        parts.append("SELECT s.repo_name, s.file_path, 'route', 'F' || s.k || ':/p' || a.k, s.start_line, s.end_line, 0.88, '' FROM s JOIN l a ON a.file_path = s.file_path AND a.line_no = s.start_line AND a.part = 1")
+    return _base(language) + "SELECT DISTINCT repo_name, file_path, node_type, symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(confidence AS DOUBLE) AS confidence, kind FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def _register(language: str, name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return code.extract(lines_of(spark, d, language), language).drop("language")
+
+    QUERIES[name] = run
+    ORACLES[name] = _nodes_sql(language)
+
+
+for _language, _name in (("javascript", "js_nodes"), ("java", "java_nodes"), ("kotlin", "kotlin_nodes"), ("go", "go_nodes"), ("csharp", "csharp_nodes"), ("cpp", "cpp_nodes"), ("scala", "scala_nodes"), ("r", "r_nodes")):
+    _register(_language, _name)
+
+
+@query
+def brace_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return spans.brace_blocks(lines_of(spark, d, "go")).select("file_path", "line_no", "block_end")
+
+
+ORACLES["brace_blocks"] = _base("go") + """SELECT file_path, line_no, CAST(CASE WHEN nxt IS NULL OR nxt > least(n, line_no + 299) THEN line_no ELSE least(nxt_end, least(n, line_no + 299)) END AS INT) AS block_end FROM (
+  SELECT l.file_path, l.line_no, max(l.line_no) OVER (PARTITION BY l.file_path) AS n, (SELECT min(s.header) FROM s WHERE s.file_path = l.file_path AND s.header >= l.line_no) AS nxt,
+    (SELECT min(s.end_line) FROM s WHERE s.file_path = l.file_path AND s.header >= l.line_no) AS nxt_end FROM l)"""
+
+
+@query
+def statement_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.statement_ends(lines_of(spark, d, "sql")).select("file_path", "line_no", "statement_end")
+
+
+ORACLES["statement_spans"] = _base("sql") + "SELECT file_path, line_no, CAST(coalesce((SELECT min(e.line_no) FROM l e WHERE e.file_path = l.file_path AND e.line_no >= l.line_no AND e.line_no < l.line_no + 400 AND contains(e.line, ';')), least(max(line_no) OVER (PARTITION BY file_path), line_no + 399)) AS INT) AS statement_end FROM l"
+
+
+@query
+def annotation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    a = spans.annotation_blocks(lines_of(spark, d, "java"), "@")
+    return a.where(F.col("line").contains("int F")).select("file_path", "line_no", "ann_start", F.array_join("annotations", "|").alias("annotations"))
+
+
+ORACLES["annotation_blocks"] = _base("java") + "SELECT s.file_path, s.header AS line_no, s.start_line AS ann_start, coalesce(a.line, '') AS annotations FROM s LEFT JOIN l a ON a.file_path = s.file_path AND a.line_no = s.start_line AND a.part = 1"
+
+
+@query
+def call_edges_scoped(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(spark, d, "go")
+    scopes = code.extract(lines, "go").where(F.col("node_type") == "function")
+    return graph.scoped_calls(scopes, graph.call_tokens(lines)).select("file_path", "caller", "callee", "line_no")
+
+
+ORACLES["call_edges_scoped"] = _base("go") + "SELECT file_path, caller, callee, CAST(place // 10 AS INT) AS line_no FROM edges"
+
+
+def _comment_query(name: str, language: str, run: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, d: run(lines_of(spark, d, language)).select("file_path", "start_line", "end_line")
+    ORACLES[name] = _base(language) + "SELECT file_path, line_no AS start_line, line_no AS end_line FROM l WHERE part = 3"
+
+
+_comment_query("hash_comments", "r", spans.hash_comments)
+_comment_query("slash_comments", "go", lambda lines: spans.marked_comments(lines, "//"))
+_comment_query("sql_comments", "sql", lambda lines: spans.marked_comments(lines, "--"))
+_comment_query("cobol_comments", "cobol", spans.cobol_comments)
+
+
+@query
+def sql_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return code.sql_lineage(lines_of(spark, d, "sql")).select("file_path", "node_type", "symbol", "start_line", "end_line", "kind")
+
+
+ORACLES["sql_lineage"] = _base("sql") + """, e AS (SELECT file_path, line_no, (SELECT min(z.line_no) FROM l z WHERE z.file_path = l.file_path AND z.line_no >= l.line_no AND contains(z.line, ';')) AS stop, part, k, o_custkey FROM l)
+SELECT file_path, 'view' AS node_type, 'v' || k AS symbol, line_no AS start_line, stop AS end_line, 'create_view' AS kind FROM e WHERE part = 2
+UNION ALL SELECT file_path, 'query', 'UPDATE@' || line_no, line_no, stop, 'UPDATE' FROM e WHERE part = 0
+UNION ALL SELECT file_path, 'query', 'SELECT@' || line_no, line_no, stop, 'SELECT' FROM e WHERE part = 4
+UNION ALL SELECT file_path, 'call_edge', 'query@' || line_no || '->s' || k % 10, line_no, line_no, 'references' FROM e WHERE part = 0
+UNION ALL SELECT file_path, 'call_edge', 'query@' || line_no || '->g' || o_custkey, line_no, line_no, 'references' FROM e WHERE part = 4
+UNION ALL SELECT file_path, 'call_edge', 'query@' || line_no || '->h' || k % 50, line_no, line_no, 'references' FROM e WHERE part = 4
+UNION ALL SELECT file_path, 'comment_line', NULL, line_no, line_no, 'line_block' FROM e WHERE part = 3"""
+
+
+@query
+def cobol_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return code.cobol(lines_of(spark, d, "cobol")).select("file_path", "node_type", "symbol", "start_line", "end_line", "kind")
+
+
+ORACLES["cobol_nodes"] = _base("cobol") + """SELECT file_path, 'function' AS node_type, 'P' || k AS symbol, line_no AS start_line, line_no + 1 AS end_line, 'paragraph' AS kind FROM l WHERE part = 2
+UNION ALL SELECT file_path, 'call_edge', 'P' || k || '->G' || o_custkey, line_no, line_no, 'calls' FROM l WHERE part = 4
+UNION ALL SELECT file_path, 'comment_line', NULL, line_no, line_no, 'line_block' FROM l WHERE part = 3"""
+
+
+@query
+def python_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return code.python_symbols(lines_of(spark, d, "python")).select("file_path", "node_type", "symbol", "start_line", "end_line")
+
+
+ORACLES["python_symbols"] = _base("python") + "SELECT file_path, 'function' AS node_type, 'F' || k AS symbol, header AS start_line, end_line FROM s"
+
+
+@query
+def python_calls(spark: SparkSession, d: str) -> DataFrame:
+    return code.python_calls(lines_of(spark, d, "python")).select("file_path", "caller", "callee", "line_no")
+
+
+ORACLES["python_calls"] = _base("python") + "SELECT file_path, 'F' || k AS caller, 'g' || o_custkey AS callee, line_no FROM l WHERE part = 4 UNION ALL SELECT file_path, 'F' || k, 'h' || k % 50, line_no FROM l WHERE part = 4"
+
+
+@query
+def python_imports(spark: SparkSession, d: str) -> DataFrame:
+    return code.python_imports(lines_of(spark, d, "python")).select("file_path", "line_no", "symbol", "alias")
+
+
+ORACLES["python_imports"] = _base("python") + "SELECT file_path, line_no, 'm' || k % 10 AS symbol, '' AS alias FROM l WHERE part = 0"
+
+_PY_EXTRA = "CASE WHEN part = 2 AND k % 5 = 0 THEN 'def main(x):' WHEN part = 5 AND k % 8 = 0 THEN 'if __name__ == \"__main__\":' WHEN part = 4 AND k % 3 = 0 THEN '    \"\"\"about ' || k || '\"\"\"' ELSE line END"
+
+
+def _python_extra(spark: SparkSession, d: str) -> DataFrame:
+    return X.spark_sql(spark, d, X.code_lines("python")).withColumn("line", F.expr(_PY_EXTRA)).select(*FILE, "line_no", "line")
+
+
+@query
+def python_entrypoints(spark: SparkSession, d: str) -> DataFrame:
+    return code.python_entrypoints(_python_extra(spark, d)).select("file_path", "line_no", "symbol", "kind")
+
+
+ORACLES["python_entrypoints"] = _base("python") + "SELECT file_path, max(line_no) AS line_no, 'main' AS symbol, 'main_function' AS kind FROM l WHERE part = 2 AND k % 5 = 0 GROUP BY 1 UNION ALL SELECT file_path, line_no, '__main__', 'main_guard' FROM l WHERE part = 5 AND k % 8 = 0"
+
+
+@query
+def python_docstrings(spark: SparkSession, d: str) -> DataFrame:
+    return code.python_docstrings(_python_extra(spark, d))
+
+
+ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0 AND k % 6 <> 0"
+
+_NOTEBOOK = """SELECT 'nb' AS repo_name, 'n/' || conv_id || '.ipynb' AS file_path, '{{"cells":[' || array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> '{{"cell_type":"' || CASE x.role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END || '","source":' || to_json(named_struct('s', coalesce(x.text, ''))) || '}}'), ',') || '],"metadata":{{"language_info":{{"name":"Python"}}}}}}' AS text FROM {conversations} GROUP BY conv_id"""
+
+
+@query
+def notebook_cells(spark: SparkSession, d: str) -> DataFrame:
+    raw = X.spark_sql(spark, d, _NOTEBOOK).withColumn("text", F.regexp_replace("text", r'"source":\{"s":((?:"(?:[^"\\]|\\.)*"))\}', '"source":$1'))
+    return code.notebook_cells(raw).select("file_path", "cell_index", "cell_type", "language", "start_line", "n_lines", "source", "parse_error")
+
+
+ORACLES["notebook_cells"] = """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, coalesce(text, '') AS source, string_split(coalesce(text, ''), chr(10)) AS p FROM conversations),
+n AS (SELECT *, CAST(CASE WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END AS INT) AS n_lines FROM c)
+SELECT 'n/' || conv_id || '.ipynb' AS file_path, CAST(i AS INT) AS cell_index, CASE role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END AS cell_type, 'python' AS language,
+  CAST(1 + coalesce(sum(n_lines + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_line, n_lines, source, CAST(NULL AS VARCHAR) AS parse_error FROM n"""
+
