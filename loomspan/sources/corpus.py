@@ -17,7 +17,10 @@ def language_hint(ext: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, repo_name: str, exts: list[str], excluded: list[str] | None = None) -> DataFrame:
-    """``(repo_name, file_path, ext, lang, size, text, file_hash)`` of a folder tree; size and name filters run before contents are read."""
+    """``(repo_name, file_path, ext, lang, size, text, file_hash)`` of a folder tree; size and name filters run before contents are read.
+
+    Spark's readers pass over hidden names (a leading dot or underscore), so dot files need the table form.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
