@@ -23,8 +23,9 @@ PIECE_CHARS = 1 << 16
 
 # No match spans a change from non-space to space, so a cut before such a space changes nothing.
 _WORD_END = re.compile(r"(?<=\S)[ \n]")
-# A run of spaces before a word is one match up to its last space, which starts the next match.
-_SPACE_RUN = re.compile(r"[ \t\n\r\x0b\x0c]{256,}(?=\S)")
+# A run of spaces before a word is one match up to its last space, which starts the next match; at the end, all of it.
+_SPACE_RUN = re.compile(r"(?<!\s)[ \t\n\r\x0b\x0c]{256,}(?=\S|\Z)")
+_ALL_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]{255,}")
 
 _LOADED: dict[tuple[str, str], tiktoken.Encoding] = {}
 
@@ -42,19 +43,21 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> list[str]:
     """Cut a text where the pre-splitting pattern ends a match in any case; joined they are the text."""
     if len(text) <= piece_chars:
         return [text]
-    cuts = {m.end() - 1 for m in _SPACE_RUN.finditer(text)}
+    cuts = {at for m in _SPACE_RUN.finditer(text) for at in (m.start(), m.end() - (m.end() < len(text)))}
     at = piece_chars
     while at < len(text) and (m := _WORD_END.search(text, at)):
         cuts.add(m.start())
         at = m.start() + piece_chars
-    bounds = [0, *sorted(cuts - {0}), len(text)]
+    bounds = [0, *sorted(cuts - {0, len(text)}), len(text)]
     return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def encode_text(enc: tiktoken.Encoding, text: str, piece_chars: int = PIECE_CHARS) -> list[int]:
     if len(text) <= piece_chars:
         return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text, piece_chars) for i in enc.encode_ordinary(piece)]
+    # The library's pattern matcher backtracks over a long run of spaces; the run is one match, so it is merged as it is.
+    one = lambda piece: enc._encode_single_piece(piece) if _ALL_SPACE.fullmatch(piece) else enc.encode_ordinary(piece)
+    return [i for piece in safe_pieces(text, piece_chars) for i in one(piece)]
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
