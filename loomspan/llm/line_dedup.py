@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +143,8 @@ def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
 
 
-@F.pandas_udf("string")
-def _without(text, bitmap):  # noqa: ANN001
+def _without(text: pd.Series, bitmap: pd.Series) -> pd.Series:
+    """Texts less the lines that their bitmaps mark."""
     def one(t: str, b: bytes) -> str:
         lines = t.split("\n")
         lost = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[: len(lines)]
@@ -159,6 +160,6 @@ def kept_text(docs: DataFrame, id_col: str, text_col: str, bitmaps: DataFrame) -
     both = docs.withColumns({doc: _doc(id_col), row: F.xxhash64(text_col)}).join(small, [doc, row], "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.col("__line_map").isNull()
-    changed = both.where(~none).withColumn("kept_text", _without(text, F.col("__line_map")))
+    changed = both.where(~none).withColumn("kept_text", F.pandas_udf(_without, "string")(text, F.col("__line_map")))
     same = both.where(none).withColumn("kept_text", text)
     return same.unionByName(changed).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop(doc, row, "__line_map")
