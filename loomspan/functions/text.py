@@ -98,3 +98,24 @@ def usage_tokens(body: Column) -> dict[str, Column]:
     has = F.coalesce(*[F.get_json_object(body, f"$.usage.{k}") for k in ("prompt_tokens", "input_tokens", "completion_tokens", "output_tokens", "total_tokens")], F.get_json_object(body, "$.prompt_eval_count"), F.get_json_object(body, "$.eval_count")).isNotNull()
     total = F.coalesce(F.get_json_object(body, "$.usage.total_tokens").try_cast("bigint"), prompt + answer)
     return {"prompt_tokens": prompt, "completion_tokens": answer, "total_tokens": F.greatest(F.lit(0), total), "has_usage": has}
+
+
+def json_segment(text: Column) -> Column:
+    """The text itself if it is a JSON object, else its first balanced {...} outside strings, else null."""
+    def state(at: Column, depth: Column, quoted: Column, escaped: Column, start: Column, stop: Column) -> Column:
+        return F.struct(at.alias("at"), depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), start.alias("start"), stop.alias("stop"))
+
+    def step(s: Column, ch: Column) -> Column:
+        at = s["at"] + 1
+        inside = s["quoted"] & (s["depth"] > 0)
+        quoted = F.when(s["depth"] == 0, False).when((ch == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
+        escaped = inside & (ch == "\\") & ~s["escaped"]
+        depth = F.when(inside, s["depth"]).when(ch == "{", s["depth"] + 1).when((ch == "}") & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"])
+        start = F.when((s["start"] == 0) & (depth == 1), at).otherwise(s["start"])
+        stop = F.when((s["depth"] == 1) & (depth == 0), at).otherwise(s["stop"])
+        return F.when(s["stop"] > 0, s).otherwise(state(at, depth, quoted, escaped, start, stop))
+
+    blank = state(F.lit(0), F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0))
+    span = F.aggregate(F.split(text, ""), blank, step, lambda s: F.when(s["stop"] > 0, F.substring(text, s["start"], s["stop"] - s["start"] + 1)))
+    whole = F.try_parse_json(text)
+    return F.when(whole.isNotNull() & F.startswith(strip(text), F.lit("{")), text).otherwise(span)

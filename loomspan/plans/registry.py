@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.plans import code_queries, corpus_queries, retrieval_queries
+from loomspan.plans import code_queries, corpus_queries, retrieval_queries, stream_queries
 
-QUERIES: dict = {**retrieval_queries.QUERIES, **corpus_queries.QUERIES, **code_queries.QUERIES}
-ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **corpus_queries.ORACLES, **code_queries.ORACLES}
+QUERIES: dict = {**retrieval_queries.QUERIES, **corpus_queries.QUERIES, **code_queries.QUERIES, **stream_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **corpus_queries.ORACLES, **code_queries.ORACLES, **stream_queries.ORACLES}

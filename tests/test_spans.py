@@ -107,3 +107,11 @@ def test_python_bodies_by_indentation(spark):
     assert got == {("A", 1, 6), ("f", 2, 5), ("k", 7, 8)}
     calls = {(r.caller, r.callee) for r in code.python_calls(table(spark, [lines])).collect()}
     assert calls == {("A.f", "g"), ("A.f", "h.i"), ("k", "f")}
+
+
+def test_json_segments(spark):
+    from loomspan.functions.text import json_segment
+
+    texts = ['{"a": 1}', 'say {"a": "}", "b": {"c": "\\"{"}} end', "none", "open { only", ""]
+    got = [r.j for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", json_segment(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert got == [texts[0], '{"a": "}", "b": {"c": "\\"{"}}', None, None, None]
