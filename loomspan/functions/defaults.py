@@ -64,4 +64,6 @@ CALL_SKIP = "if for while switch catch return sizeof typeof new throw assert awa
 
 BASE_TOP_K, MAX_CONTEXT_CHUNKS, MAX_CONTEXT_CHARS, HISTORY = 3, 10, 12_000, 12
 MAX_CALLEES, NODE_CHARS, DOC_CHARS, READ_CHARS, MAX_FILE_BYTES = 24, 8_000, 3_000, 400_000, 2_000_000
-EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".pytest_cache"]
+
+# Folders that a scan leaves out.
+EXCLUDED_DIRS = [".git", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".idea", ".vscode"]

@@ -46,6 +46,8 @@ class Language:
     function_confidence: float = 1.0
     type_confidence: float = 1.0
     skip: tuple[str, ...] = ("if", "for", "while", "switch", "catch", "return")
+    block_import: tuple[str, str, str, str, float] | None = None  # opening line, closing line, pattern, kind, confidence
+    object_routes: tuple[str, str] | None = None  # pattern of a route, pattern that a file with such routes has
     component: str = ""  # pattern anywhere in a file that makes capitalised symbols components
 
 
@@ -77,6 +79,7 @@ LANGUAGES: dict[str, Language] = {
         ],
         line_routes=lambda: _hit(r"""<Route[^>]*\bpath=["']([^"']+)["']"""),
         entries=[(r"\b((?:app|server|httpServer)\.listen)\s*\(", "listen", "server_start", 0.86), (r"\b(ReactDOM\.render|createRoot)\s*\(", "ui_bootstrap", "ui_bootstrap", 0.82)],
+        object_routes=(r"""\bpath\s*:\s*["']([^"']+)["']""", r"(?i:routes)|RouterModule"),
         main=("main", "main_function", 0.86),
         component=r"""from\s+["']react["']|require\(["']react["']\)""",
     ),
@@ -95,16 +98,18 @@ LANGUAGES: dict[str, Language] = {
         imports=[(r"^\s*import\s+([A-Za-z0-9_.*]+)\s*$", "import", 0.8)],
         routes=_mapping_route(_SPRING),
         line_routes=lambda: _hit(r"""\b(?:get|post|put|delete|patch|route)\s*\(\s*["']([^"']+)["']"""),
-        main=("main", "kotlin_main", 0.88),
+        entries=[(r"^\s*(?:\w+\s+)*object\s+\w+\s*:\s*(App)\b", "App", "kotlin_app_object", 0.86)],
+        main=("main", "kotlin_main", 0.88), function_confidence=0.88, type_confidence=0.9,
     ),
     "go": Language(
         comment="//",
         types=[(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b", 1)],
         functions=[(r"^\s*func\s*(?:\([^)]+\)\s*)?([A-Za-z_]\w*)\s*\(", 1)],
-        imports=[(r"""^\s*import\s+(?:[A-Za-z_]\w*\s+)?"([^"]+)\"""", "import", 0.8)],
+        imports=[(r"""^\s*import\s+(?:[A-Za-z_]\w*\s+)?"([^"]+)\"""", "import_single", 0.8)],
+        block_import=(r"^\s*import\s*\(\s*$", r"^\s*\)", r"""^\s*(?:[A-Za-z_]\w*\s+)?"([^"]+)\"""", "import_block", 0.8),
         line_routes=lambda: F.concat(F.upper(_hit(r"""\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*"([^"]+)\"""")), F.lit(":"), _hit(r"""\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*"([^"]+)\"""", 2)),
         entries=[(r"\b((?:http\.)?ListenAndServe)\s*\(", "ListenAndServe", "server_start", 0.86)],
-        main=("main", "go_main", 0.9), function_confidence=0.88, type_confidence=0.88,
+        main=("main", "go_main", 0.9), function_confidence=0.88, type_confidence=0.86,
     ),
     "csharp": Language(
         comment="//", annotation="[",
@@ -112,29 +117,29 @@ LANGUAGES: dict[str, Language] = {
         functions=[(r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|new|partial)\s+)+[\w<>,\[\]\.\?]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:where\s+[^{]+)?\{", 1)],
         imports=[(r"^\s*using\s+([A-Za-z0-9_.]+)\s*;", "using", 0.8)],
         routes=_mapping_route(r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b"),
-        entries=[(r"(?=.*\bstatic\s).*\b(Main)\s*\([^;]*\)\s*\{", "Main", "dotnet_main", 0.88)],
+        entries=[(r"(?=.*\bstatic\s).*\b(Main)\s*\([^;]*\)\s*\{", "Main", "dotnet_main", 0.9)],
     ),
     "cpp": Language(
         comment="//",
         types=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)", 1)],
         functions=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:(?:inline|constexpr|static|virtual|friend|extern)\s+)*(?:[\w:<>~*&]+\s+)+([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)?)\s*\([^;{}]*\)\s*(?:const)?\s*(?:noexcept)?\s*(?:override)?\s*(?:final)?\s*(?:\{|;)", 1)],
-        imports=[(r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""", "include", 0.8)],
-        main=("main", "cpp_main", 0.88), function_confidence=0.8, type_confidence=0.88,
+        imports=[(r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""", "include", 0.78)],
+        main=("main", "cpp_main", 0.9), function_confidence=0.8, type_confidence=0.88,
     ),
     "scala": Language(
         comment="//",
         types=[(r"^\s*(?:sealed\s+|final\s+|abstract\s+|case\s+|private\s+|protected\s+)*(?:class|object|trait)\s+([A-Za-z_]\w*)", 1)],
         functions=[(r"^\s*(?:override\s+|private\s+|protected\s+|implicit\s+|final\s+)*def\s+([A-Za-z_]\w*)\b", 1)],
         imports=[(r"^\s*import\s+([A-Za-z0-9_.*{} ,]+)\s*$", "import", 0.8)],
-        entries=[(r"^\s*object\s+\w+\s+extends\s+(App)\b", "App", "scala_app", 0.88)],
-        main=("main", "scala_main", 0.88), function_confidence=0.88, type_confidence=0.88,
+        entries=[(r"^\s*object\s+\w+\s+extends\s+(App)\b", "App", "scala_app_object", 0.86)],
+        main=("main", "scala_main", 0.9), function_confidence=0.88, type_confidence=0.9,
     ),
     "r": Language(
         comment="#",
         types=[(r"""setClass\(\s*["']([A-Za-z_]\w*)["']""", 1)],
         functions=[(r"^\s*([A-Za-z_]\w*)\s*(?:<-|=)\s*function\s*\(", 1)],
-        imports=[(r"""\b(?:library|require)\s*\(\s*["']?([A-Za-z0-9_.]+)["']?\s*\)""", "library", 0.8)],
-        main=("main", "r_main", 0.86), function_confidence=0.88, type_confidence=0.82,
+        imports=[(r"""\b(?:library|require)\s*\(\s*["']?([A-Za-z0-9_.]+)["']?\s*\)""", "library", 0.78)],
+        main=("main", "r_main_function", 0.82), function_confidence=0.88, type_confidence=0.82,
     ),
 }
 LANGUAGES["typescript"] = LANGUAGES["javascript"]
@@ -170,6 +175,16 @@ def extract(lines: DataFrame, language: str) -> DataFrame:
     if rules.line_routes:
         path = rules.line_routes()
         made.append(F.when(F.col("t_sym").isNull() & path.isNotNull(), node("route", path, here, here, 0.8)))
+    if rules.object_routes:
+        pattern, needs = rules.object_routes
+        rows = rows.withColumn("has_routes", F.max(F.col("line").rlike(needs)).over(Window.partitionBy(*FILE)))
+        path = F.when(F.col("has_routes") & rules.line_routes().isNull(), _hit(pattern))
+        made.append(F.when(F.col("t_sym").isNull() & path.isNotNull(), node("route", path, here, here, 0.8)))
+    if rules.block_import:
+        opens, closes, pattern, kind, confidence = rules.block_import
+        mark = F.when(F.col("line").rlike(opens), True).when(F.col("line").rlike(closes), False)
+        rows = rows.withColumn("in_block", F.coalesce(F.last(mark, ignorenulls=True).over(spans.by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+        made.append(F.when(F.col("in_block") & _hit(pattern).isNotNull(), node("import_usage", _hit(pattern), here, here, confidence, kind)))
     if rules.main:
         name, kind, confidence = rules.main
         made.append(F.when(F.lower("f_sym") == name, node("entrypoint", F.col("f_sym"), here, here, confidence, kind)))
@@ -226,7 +241,8 @@ def cobol(lines: DataFrame) -> DataFrame:
     rows = lines.withColumns({"program": program, "label": F.when(program.isNull(), F.coalesce(section, para)), "is_section": section.isNotNull(), "n_lines": n})
     rows = rows.withColumn("owner", F.last(F.coalesce("program", "label"), ignorenulls=True).over(spans.by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     here = F.col("line_no")
-    made = F.when(F.col("program").isNotNull(), node("class", F.col("program"), here, here, 0.88, "program")).when(F.col("label").isNotNull(), node("function", F.col("label"), here, F.least(here + 1, F.col("n_lines")), 0.82, F.when(F.col("is_section"), "section").otherwise("paragraph")))
+    label = lambda kind, c: node("function", F.col("label"), here, F.least(here + 1, F.col("n_lines")), c, kind)
+    made = F.when(F.col("program").isNotNull(), node("class", F.col("program"), here, here, 0.84, "program")).when(F.col("label").isNotNull() & F.col("is_section"), label("section", 0.78)).when(F.col("label").isNotNull(), label("paragraph", 0.72))
     found = rows.withColumn("n", made).where(F.col("n").isNotNull()).select(*FILE, "n.*")
     calls = rows.where(F.col("program").isNull() & ~F.col("is_section") & F.col("owner").isNotNull()).select(*FILE, "owner", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?i)\bCALL\s+['\"]?([A-Za-z0-9_-]+)"), F.lit(1))).alias("callee"))
     edges = calls.select(*FILE, F.lit("call_edge").alias("node_type"), F.concat("owner", F.lit("->"), "callee").alias("symbol"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(0.76).alias("confidence"), F.lit("calls").alias("kind")).distinct()
@@ -279,7 +295,7 @@ def python_entrypoints(lines: DataFrame) -> DataFrame:
     mains = lines.where(F.col("line").rlike(r"^\s*(?:async\s+)?def\s+main\s*\(")).groupBy(*FILE).agg(F.max("line_no").alias("line_no"))
     guards = lines.where(F.col("line").rlike(r"""^\s*if\s+__name__\s*==\s*["']__main__["']"""))
     a = mains.select(*FILE, "line_no", F.lit("main").alias("symbol"), F.lit("main_function").alias("kind"), F.lit(0.86).alias("confidence"))
-    return a.unionByName(guards.select(*FILE, "line_no", F.lit("__main__").alias("symbol"), F.lit("main_guard").alias("kind"), F.lit(0.9).alias("confidence")))
+    return a.unionByName(guards.select(*FILE, "line_no", F.lit("__main__").alias("symbol"), F.lit("python_main_guard").alias("kind"), F.lit(0.9).alias("confidence")))
 
 
 def python_docstrings(lines: DataFrame) -> DataFrame:

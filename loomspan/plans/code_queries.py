@@ -54,7 +54,7 @@ def _nodes_sql(language: str) -> str:
     module = {"go": "'m' || k % 10", "cpp": "'m' || k % 10", "javascript": "'m' || k % 10", "r": "'m' || k % 10", "csharp": "'M' || k % 10"}.get(language, "'m.M' || k % 10")
     parts = [
         f"SELECT repo_name, file_path, 'function' AS node_type, 'F' || k AS symbol, start_line, end_line, {conf.function_confidence} AS confidence, '' AS kind FROM s",
-        f"SELECT repo_name, file_path, 'import_usage', {module}, line_no, line_no, 0.8, '{kind}' FROM l WHERE part = 0",
+        f"SELECT repo_name, file_path, 'import_usage', {module}, line_no, line_no, {dict((k, c) for _, k, c in conf.imports)[kind]}, '{kind}' FROM l WHERE part = 0",
         "SELECT repo_name, file_path, 'comment_line', NULL, line_no, line_no, 0.78, 'line_block' FROM l WHERE part = 3",
         "SELECT repo_name, file_path, 'call_edge', caller || '->' || callee, place // 10, place // 10, 0.72, 'calls' FROM edges",
     ]
@@ -187,7 +187,7 @@ def python_entrypoints(spark: SparkSession, d: str) -> DataFrame:
     return code.python_entrypoints(_python_extra(spark, d)).select("file_path", "line_no", "symbol", "kind")
 
 
-ORACLES["python_entrypoints"] = _base("python") + "SELECT file_path, max(line_no) AS line_no, 'main' AS symbol, 'main_function' AS kind FROM l WHERE part = 2 AND k % 5 = 0 GROUP BY 1 UNION ALL SELECT file_path, line_no, '__main__', 'main_guard' FROM l WHERE part = 5 AND k % 8 = 0"
+ORACLES["python_entrypoints"] = _base("python") + "SELECT file_path, max(line_no) AS line_no, 'main' AS symbol, 'main_function' AS kind FROM l WHERE part = 2 AND k % 5 = 0 GROUP BY 1 UNION ALL SELECT file_path, line_no, '__main__', 'python_main_guard' FROM l WHERE part = 5 AND k % 8 = 0"
 
 
 @query

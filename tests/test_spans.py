@@ -115,3 +115,11 @@ def test_json_segments(spark):
     texts = ['{"a": 1}', 'say {"a": "}", "b": {"c": "\\"{"}} end', "none", "open { only", ""]
     got = [r.j for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", json_segment(F.col("t")).alias("j")).orderBy("i").collect()]
     assert got == [texts[0], '{"a": "}", "b": {"c": "\\"{"}}', None, None, None]
+
+
+def test_go_import_blocks_and_js_object_routes(spark):
+    go = ["import (", '  "a"', '  b "c/d"', ")", '"not"', 'import x "y"']
+    got = {(r.symbol, r.kind) for r in code.extract(table(spark, [go]), "go").where("node_type = 'import_usage'").collect()}
+    assert got == {("a", "import_block"), ("c/d", "import_block"), ("y", "import_single")}
+    js = ["const routes = [", "  { path: '/a' },", "]"], ["x = { path: '/b' }"]
+    assert {r.symbol for r in code.extract(table(spark, list(js)), "javascript").where("node_type = 'route'").collect()} == {"/a"}
