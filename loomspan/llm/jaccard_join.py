@@ -20,7 +20,7 @@ the id and the text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 TOKENS = 64  # MinHash tokens of a set
 BUCKET, DEPTH, RECALL = 128, 4, 0.999
 BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1024  # of one side of an exact comparison
+WORDS_HELD = 1 << 17  # word hashes that a worker remembers
+FILTER_BITS = 1 << 24  # of the filter that keeps unlinked texts out of the shuffle
 _NULL_ID = -(1 << 63)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _WORD_HASH: dict[str, int] = {}
@@ -51,7 +53,7 @@ def word_grams(text: str | None, words: int = WORDS) -> np.ndarray:
     found = (text or "").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_WORD_HASH) > 1_000_000:
+    if len(_WORD_HASH) > WORDS_HELD:
         _WORD_HASH.clear()
     known = _WORD_HASH
     codes = np.empty(len(found), np.uint64)
@@ -88,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     plus = rng.integers(0, 1 << 63, (tokens, 1), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             keys, sizes, sigs = [], [], []
             for text in batch.column(2):
                 g = word_grams(text.as_py(), words)
@@ -264,6 +266,23 @@ def _intersections(grams: list[np.ndarray]) -> np.ndarray:
     return common
 
 
+def _may_be_in(keys: DataFrame, col: str) -> Callable:
+    """A test that passes every value of ``col`` and few others: one bit a value in FILTER_BITS bits, whatever the input."""
+    place = F.col(col).bitwiseAND(FILTER_BITS - 1)
+    words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        at = values.to_numpy() & (FILTER_BITS - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test
+
+
 def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``(sid, to, links)`` over all pairs within candidate groups: partial link counts and spanning links.
 
@@ -278,10 +297,12 @@ def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     own = F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("blocks")).cast("int")
     dealt = sized.select("sid", "id", "row", "root", "blocks", own.alias("own"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    # Most texts belong to no group: they stay where they are read.
+    rows = rows.where(_may_be_in(grouped, "row")("row"))
     with_text = rows.join(dealt.withColumnRenamed("id", "d_id").withColumnRenamed("row", "d_row"), (F.col("id") == F.col("d_id")) & (F.col("row") == F.col("d_row"))).drop("d_id", "d_row", "id", "row")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             grams = [word_grams(t.as_py(), words).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grams, pa.binary())], [*batch.schema.names[1:], "grams"])
 
