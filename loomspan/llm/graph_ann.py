@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import written
+from loomspan.llm.support import partitions, written
 
 SHARD_VECTORS = 2048
 DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 QUERY_BLOCK = 512
+ENTRIES = 32  # of a search in a shard
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -48,18 +49,21 @@ def shards(nodes: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS) -> Data
     return distinct.join(n.select("dim", "n_shards"), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("n_shards")).cast("int")).drop("n_shards")
 
 
-def _nearest(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of many queries at once: ids (-1: none) and squared distances, nearest first."""
     n, q = len(points), len(queries)
     ids = np.full((q, beam), -1, np.int64)
     dist = np.full((q, beam), np.inf, np.float32)
     seen = np.ones((q, beam), bool)
-    ids[:, 0], seen[:, 0] = start, False
-    dist[:, 0] = ((queries - points[start]) ** 2).sum(1)
-    visited = np.zeros((q, n), bool)
-    visited[:, start] = True
     norms = (points**2).sum(1)
     own = (queries**2).sum(1)
+    m = len(start)
+    first = own[:, None] + norms[start] - 2 * queries @ points[start].T
+    near_first = np.argsort(first, 1, kind="stable")
+    ids[:, :m], seen[:, :m] = start[near_first], False
+    dist[:, :m] = np.take_along_axis(first, near_first, 1)
+    visited = np.zeros((q, n), bool)
+    visited[:, start] = True
     live = np.arange(q)
     while len(live):
         at = np.argmin(np.where(seen[live], np.inf, dist[live]), 1)
@@ -113,7 +117,7 @@ def _prune(points: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, a
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM, batch: int = 256) -> tuple[np.ndarray, int]:
-    """Neighbour lists (padded with -1) and the entry point of a shard's graph."""
+    """Neighbour lists (padded with -1) and the central point of a shard's graph."""
     n = len(points)
     start = int(((points - points.mean(0)) ** 2).sum(1).argmin())
     graph = np.full((n, degree), -1, np.int64)
@@ -121,7 +125,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
     order = np.concatenate([[start], order[order != start]])
     size, at = 1, 1
     for alpha_now in (1.0, alpha):  # a second pass over a full graph adds the longer edges
-        while at < n or (alpha_now == 1.0 and False):
+        while at < n:
             some = order[at : at + size]
             _insert(graph, points, some, start, beam, degree, alpha_now)
             at += len(some)
@@ -131,7 +135,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
 
 
 def _insert(graph: np.ndarray, points: np.ndarray, some: np.ndarray, start: int, beam: int, degree: int, alpha: float) -> None:
-    found, _ = _nearest(graph, points, points[some], start, beam)
+    found, _ = _nearest(graph, points, points[some], np.array([start]), beam)
     graph[some] = _prune(points, some, np.concatenate([found, graph[some]], 1), degree, alpha)
     src = np.repeat(some, degree)
     dst = graph[some].ravel()
@@ -142,6 +146,7 @@ def _insert(graph: np.ndarray, points: np.ndarray, some: np.ndarray, start: int,
     slot = np.arange(len(dst)) - np.repeat(first, counts)
     extra = np.full((len(targets), int(counts.max(initial=0))), -1, np.int64)
     extra[np.repeat(np.arange(len(targets)), counts), slot] = src
+    extra[(extra[:, :, None] == graph[targets][:, None, :]).any(2)] = -1  # already neighbours
     both = np.concatenate([graph[targets], extra], 1)
     need = (both >= 0).sum(1)
     fits = need <= degree
@@ -151,6 +156,12 @@ def _insert(graph: np.ndarray, points: np.ndarray, some: np.ndarray, start: int,
         graph[targets[~fits]] = _prune(points, targets[~fits], both[~fits], degree, alpha)
 
 
+def entries(points: np.ndarray, start: int, n: int = ENTRIES) -> np.ndarray:
+    """Where a search begins: the central point and the longest vectors (least last coordinate), which inner products favour."""
+    longest = np.argsort(points[:, -1], kind="stable")[: n - 1]
+    return np.unique(np.r_[start, longest])
+
+
 def lifted(v: np.ndarray) -> np.ndarray:
     """Vectors with one more coordinate, so that nearest means largest inner product."""
     sq = (v**2).sum(1)
@@ -167,19 +178,22 @@ def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degre
         ends = np.cumsum([len(x) for x in ids]).astype(np.int32)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "start": [start], "vectors": [v.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [np.concatenate(ids).tobytes()], "id_ends": [ends.tobytes()]})
 
-    dealt = shards(nodes, k, shard_vectors)
+    # A shard is seconds of work on little data: an explicit number of partitions keeps shards apart.
+    dealt = shards(nodes, k, shard_vectors).repartition(partitions(nodes.sparkSession), "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, start int, vectors binary, graph binary, ids binary, id_ends binary")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, id, score)``: the k nearest found for each query (id, v), its own id excluded.
 
-    Each pair of a shard and a block of queries is one bounded unit of work; a unit returns at most
-    k rows a query.
+    Query blocks go to every shard of their vectors' length. Each pair of a shard and a block is one
+    bounded unit of work that returns at most k rows a query.
     """
+    n = partitions(queries.sparkSession)
     n_blocks = max(1, math.ceil(queries.count() / block))
     packed = queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")}).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    units = index.join(packed, "dim")
+    to_shards = packed.join(index.groupBy("dim").agg(F.collect_set("shard").alias("shards")), "dim").withColumn("shard", F.explode("shards")).drop("shards")
+    units = index.repartition(n, "dim", "shard").join(to_shards.repartition(n, "dim", "shard"), ["dim", "shard"])
 
     def beam_search(key: tuple, unit: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -192,7 +206,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
             q = np.array([q["v"] for q in row.queries], np.float64)
             points = lifted(v)
             flat = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-            found, _ = _nearest(graph, points, flat, row.start, max(beam, k + 1))
+            found, _ = _nearest(graph, points, flat, entries(points, row.start), max(beam, k + 1, ENTRIES))
             for i, q_id in enumerate(q_ids):
                 near = found[i][found[i] >= 0]
                 score = (v[near] * q[i]).sum(1)
