@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.support import text_batches
+
 #: Characters after which a long text is cut at the next safe place.
 PIECE_CHARS = 1 << 16
 
@@ -75,7 +77,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, patte
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "token_ids"])
 
-    return rows.mapInArrow(run, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, id_col: str, ids_col: str, *, rank_file: str, pattern: str) -> DataFrame:
@@ -88,7 +90,7 @@ def decode(tokens: DataFrame, id_col: str, ids_col: str, *, rank_file: str, patt
             raw = [enc.decode_bytes(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "raw"])
 
-    return rows.mapInArrow(run, "id long, raw binary").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, "id long, raw binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -109,4 +111,4 @@ def round_trip(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, p
                 of_raw.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_raw)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import written
+from loomspan.llm.support import text_batches, written
 
 WORDS, THRESHOLD = 5, 0.8
 TOKENS = 64  # MinHash tokens of a set
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
             k = np.array(keys, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sizes, pa.int32()), lists], ["id", "row", "s1", "s2", "n", "sig"])
 
-    return rows.mapInArrow(run, "id long, row long, s1 long, s2 long, n int, sig array<int>")
+    return text_batches(rows).mapInArrow(run, "id long, row long, s1 long, s2 long, n int, sig array<int>")
 
 
 def _children(sets: DataFrame, threshold: float, tokens: int) -> DataFrame:
@@ -298,7 +298,7 @@ def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     dealt = sized.select("sid", "id", "row", "root", "blocks", own.alias("own"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     # Most texts belong to no group: they stay where they are read.
-    rows = rows.where(_may_be_in(grouped, "row")("row"))
+    rows = text_batches(rows).where(_may_be_in(grouped, "row")("row"))
     with_text = rows.join(dealt.withColumnRenamed("id", "d_id").withColumnRenamed("row", "d_row"), (F.col("id") == F.col("d_id")) & (F.col("row") == F.col("d_row"))).drop("d_id", "d_row", "id", "row")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.support import text_batches, written
+
 PROFILE = 400  # grams of a profile
 UNDETERMINED = "und"
 MAX_LANGUAGES = 10_000  # profiles are broadcast: at most PROFILE rows each
@@ -113,15 +115,13 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, *, profile: int = PROFI
                         size = 0
         yield from flush()
 
-    totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = text_batches(rows).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return totals.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= profile).select("lang", "gram", "rank")
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *, profile: int = PROFILE) -> DataFrame:
     """``(id, lang_pred, score)``; score is 1 less the nearest distance over the greatest possible one."""
-    from loomspan.llm.support import written
-
     spark = docs.sparkSession
     kept = written(profiles, "language-profiles")
     n_langs = kept.select("lang").distinct().count()
@@ -160,4 +160,4 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

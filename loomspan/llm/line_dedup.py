@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import partitions, written
+from loomspan.llm.support import partitions, text_batches, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _SPACE = " \t\n\x0b\x0c\r"
@@ -160,6 +160,6 @@ def kept_text(docs: DataFrame, id_col: str, text_col: str, bitmaps: DataFrame) -
     both = docs.withColumns({doc: _doc(id_col), row: F.xxhash64(text_col)}).join(small, [doc, row], "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.col("__line_map").isNull()
-    changed = both.where(~none).withColumn("kept_text", F.pandas_udf(_without, "string")(text, F.col("__line_map")))
+    changed = text_batches(both).where(~none).withColumn("kept_text", F.pandas_udf(_without, "string")(text, F.col("__line_map")))
     same = both.where(none).withColumn("kept_text", text)
     return same.unionByName(changed).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop(doc, row, "__line_map")

@@ -33,6 +33,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+TEXT_ROWS = 1024  # whole texts in one Arrow batch
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows hold whole texts and go to Python: batches are counted in rows, so the session's
+    default of 10,000 would hold gigabytes of long texts at once. Lowers the session's setting to TEXT_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``, within one row."""
     return F.element_at(F.transform(F.array(value), body), 1)
