@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.support import partitions, written
 
-SHARD_VECTORS = 2048
+SHARD_VECTORS = 4096
+SHARDS_A_UNIT = 4  # searched in one task, which returns their best together
 DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 QUERY_BLOCK = 512
@@ -186,23 +187,24 @@ def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degre
 def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, id, score)``: the k nearest found for each query (id, v), its own id excluded.
 
-    Query blocks go to every shard of their vectors' length. Each pair of a shard and a block is one
-    bounded unit of work that returns at most k rows a query.
+    Query blocks go to every unit of a few shards of their vectors' length. Each pair of a unit and a
+    block is bounded work; it merges its shards' finds and returns at most k rows a query.
     """
     n = partitions(queries.sparkSession)
     n_blocks = max(1, math.ceil(queries.count() / block))
     packed = queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")}).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    to_shards = packed.join(index.groupBy("dim").agg(F.collect_set("shard").alias("shards")), "dim").withColumn("shard", F.explode("shards")).drop("shards")
-    units = index.repartition(n, "dim", "shard").join(to_shards.repartition(n, "dim", "shard"), ["dim", "shard"])
+    units = index.withColumn("unit", F.floor(F.col("shard") / SHARDS_A_UNIT).cast("int"))
+    to_units = packed.join(units.groupBy("dim").agg(F.collect_set("unit").alias("unit_list")), "dim").withColumn("unit", F.explode("unit_list")).drop("unit_list")
+    met = units.repartition(n, "dim", "unit").join(to_units.repartition(n, "dim", "unit"), ["dim", "unit"])
 
-    def beam_search(key: tuple, unit: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in unit.itertuples(index=False):
+    def beam_search(key: tuple, shards_of: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, list] = {}
+        for row in shards_of.itertuples(index=False):
             v = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)
             graph = np.frombuffer(row.graph, np.int32).reshape(len(v), -1).astype(np.int64)
             ends = np.frombuffer(row.id_ends, np.int32)
             ids = np.split(np.frombuffer(row.ids, np.int64), ends[:-1])
-            q_ids = np.array([q["id"] for q in row.queries], np.int64)
+            q_ids = [q["id"] for q in row.queries]
             q = np.array([q["v"] for q in row.queries], np.float64)
             points = lifted(v)
             flat = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
@@ -210,11 +212,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
             for i, q_id in enumerate(q_ids):
                 near = found[i][found[i] >= 0]
                 score = (v[near] * q[i]).sum(1)
-                each = [(s, c) for s, node in zip(score, near) for c in ids[node] if c != q_id]
-                each.sort(key=lambda x: (-x[0], x[1]))
-                out += [(int(q_id), int(c), float(s)) for s, c in each[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+                each = [(float(s), int(c)) for s, node in zip(score, near) for c in ids[node] if c != q_id]
+                out[q_id] = sorted(out.get(q_id, []) + each, key=lambda x: (-x[0], x[1]))[:k]
+        return pd.DataFrame([(q_id, c, s) for q_id, best in out.items() for s, c in best], columns=["query_id", "id", "score"])
 
-    hits = units.groupBy("dim", "shard", "block").applyInPandas(beam_search, "query_id long, id long, score double")
+    hits = met.groupBy("dim", "unit", "block").applyInPandas(beam_search, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
