@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
 from loomspan.functions import text as T
+from loomspan.sources.scratch import scratch
 
 
 def keyword_rows(df: DataFrame, keywords: dict[str, list[str]] | None = None) -> Column:
@@ -134,10 +135,28 @@ def cells(vectors: DataFrame, k: int, seed: int = 7) -> tuple[DataFrame, DataFra
 
 
 def retrieve_cells(queries: DataFrame, celled: DataFrame, centres: DataFrame, k: int, probe: int) -> DataFrame:
-    """``(query_id, rank, node_id, distance)``: exact nearest within the ``probe`` nearest cells of each query."""
-    n_cells = F.broadcast(centres)  # k rows
+    """``(query_id, rank, node_id, distance)``: the exact ``k`` nearest, found from the ``probe`` nearest cells outwards.
+
+    The first cells bound the k-th distance. Of the others, only cells that can hold a vector within that
+    bound (by the distance of their centroid less their radius) are searched, so no neighbour is lost.
+    """
+    wide = celled.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.sqrt(F.max(T.squared_l2(F.col("embedding"), F.col("centroid")))).alias("radius"))
+    n_cells = F.broadcast(centres.join(wide, "cell"))  # k rows; empty cells hold nothing to find
     to_cell = queries.crossJoin(n_cells).withColumn("d", T.squared_l2(F.col("embedding"), F.col("centroid")))
-    probed = to_cell.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))).where(F.col("r") <= probe)
-    near = probed.select("query_id", "cell", F.col("embedding").alias("q")).join(celled, "cell").withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q")))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "node_id", "distance")
+    by_cell = to_cell.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))).select("query_id", "cell", F.col("embedding").alias("q"), "d", "radius", "r")
+
+    def nearest(cells_of: DataFrame) -> DataFrame:
+        return best(cells_of.select("query_id", "cell", "q").join(celled, "cell").withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q"))))
+
+    def best(hits: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "node_id", "distance")
+
+    path = scratch(queries.sparkSession, "cell-hits")
+    nearest(by_cell.where(F.col("r") <= probe)).write.parquet(path)
+    first = queries.sparkSession.read.parquet(path)
+    bound = first.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+    gap = F.greatest(F.sqrt("d") - F.col("radius"), F.lit(0.0)) * (1 - 1e-9)  # rounding never closes a cell
+    may_hold = F.col("bound").isNull() | (gap * gap <= F.col("bound"))
+    rest = by_cell.where(F.col("r") > probe).join(bound, "query_id", "left").where(may_hold)
+    return best(first.unionByName(nearest(rest)))
