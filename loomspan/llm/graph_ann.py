@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product, on a robust-pruned directed graph a shard.
 
-Distinct vectors are dealt to shards of bounded size by a hash of the vector. In a shard, vectors
-enter in batches: a greedy beam search over the graph so far proposes neighbours, and relaxed
-distance pruning keeps those that no kept neighbour is much nearer to. Inner products become
-distances by one added coordinate, sqrt(M^2 - |x|^2), which leaves their order as it is. Queries
-come in blocks; each block runs a beam search in every shard, and a query's best of all shards,
-scored in double precision on the original vectors, are its result.
+Distinct vectors of like length are dealt to shards of bounded size by a hash of the vector. In a
+shard, vectors enter in batches: a greedy beam search over the graph so far proposes neighbours, and
+relaxed distance pruning keeps those that no kept neighbour is much nearer to. For the graph, inner
+products become distances by one added coordinate, sqrt(M^2 - |x|^2), which leaves their order as it
+is; lengths within a shard differ at most LENGTH_RATIO times, so that it does not outweigh the others.
+Queries come in blocks; each block runs a beam search by the inner product itself in every shard, and
+a query's best of all shards, scored on the original vectors, are its result. All in double precision.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do rows with a null id. Rows with one id and several vectors stand for the least of these.
@@ -19,10 +20,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import partitions, written
+from loomspan.llm.support import let, partitions, written
 
 SHARD_VECTORS = 4096
 SHARDS_A_UNIT = 4  # searched in one task, which returns their best together
@@ -30,6 +31,7 @@ DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 QUERY_BLOCK = 512
 ENTRIES = 32  # of a search in a shard
+LENGTH_RATIO = 4  # of the longest to the shortest vector that a shard may hold
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -45,19 +47,31 @@ def shards(nodes: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS) -> Data
     """``(dim, shard, ids, v)``: distinct vectors with their k+1 least ids, dealt to shards."""
     # Window's group limit keeps k+1 rows of a vector in each task before the shuffle.
     first = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
-    distinct = written(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")), "ann-vectors")
-    n = distinct.groupBy("dim").count().withColumn("n_shards", F.ceil(F.col("count") / shard_vectors).cast("int"))
-    return distinct.join(n.select("dim", "n_shards"), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("n_shards")).cast("int")).drop("n_shards")
+    distinct = written(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumns({"dim": F.size("v"), "length": length_class(F.col("v"))}), "ann-vectors")
+    n = distinct.groupBy("dim", "length").count().withColumn("n_shards", F.ceil(F.col("count") / shard_vectors).cast("int"))
+    upto = F.sum("n_shards").over(Window.partitionBy("dim").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = n.select("dim", "length", "n_shards", (upto - F.col("n_shards")).cast("int").alias("first_shard"))  # a row a class of lengths
+    dealt = distinct.join(n, ["dim", "length"]).withColumn("shard", F.col("first_shard") + F.pmod(F.xxhash64("v"), F.col("n_shards")).cast("int"))
+    return dealt.select("dim", "ids", "v", "shard")
 
 
-def _nearest(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of many queries at once: ids (-1: none) and squared distances, nearest first."""
+def length_class(v: Column) -> Column:
+    """Vectors of one class differ at most LENGTH_RATIO times in length; no square overflows. Unit vectors are amid theirs."""
+    def log_length(top: Column) -> Column:
+        return F.log2(top) + F.log2(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
+
+    span = math.log2(LENGTH_RATIO)
+    return let(F.array_max(F.transform(v, lambda x: F.abs(x))), lambda top: F.floor(log_length(top) / span + 0.5).cast("int"))
+
+
+def _nearest(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of many queries at once: ids (-1: none) and squared distances, nearest first; ``inner``: by inner product, greatest first."""
     n, q = len(points), len(queries)
     ids = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf, np.float32)
+    dist = np.full((q, beam), np.inf)
     seen = np.ones((q, beam), bool)
-    norms = (points**2).sum(1)
-    own = (queries**2).sum(1)
+    norms = np.zeros(n) if inner else (points**2).sum(1)
+    own = np.zeros(q) if inner else (queries**2).sum(1)
     m = len(start)
     first = own[:, None] + norms[start] - 2 * queries @ points[start].T
     near_first = np.argsort(first, 1, kind="stable")
@@ -80,7 +94,7 @@ def _nearest(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start:
         visited[live[rows], near[rows, cols]] = True
         safe = np.where(fresh, near, 0)
         d = own[live][:, None] + norms[safe] - 2 * np.einsum("qd,qrd->qr", queries[live], points[safe])
-        d = np.where(fresh, d, np.inf).astype(np.float32)
+        d = np.where(fresh, d, np.inf)
         all_d = np.concatenate([dist[live], d], 1)
         all_i = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
         all_s = np.concatenate([seen[live], ~fresh], 1)
@@ -158,15 +172,20 @@ def _insert(graph: np.ndarray, points: np.ndarray, some: np.ndarray, start: int,
 
 
 def entries(points: np.ndarray, start: int, n: int = ENTRIES) -> np.ndarray:
-    """Where a search begins: the central point and the longest vectors (least last coordinate), which inner products favour."""
-    longest = np.argsort(points[:, -1], kind="stable")[: n - 1]
+    """Where a search begins: the central point and the longest vectors, which inner products favour."""
+    longest = np.argsort(-(points**2).sum(1), kind="stable")[: n - 1]
     return np.unique(np.r_[start, longest])
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors over their greatest component (as a power of two, which rounds nothing), so that squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def lifted(v: np.ndarray) -> np.ndarray:
     """Vectors with one more coordinate, so that nearest means largest inner product."""
     sq = (v**2).sum(1)
-    return np.concatenate([v, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1).astype(np.float32)
+    return np.concatenate([v, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], 1)
 
 
 def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degree: int = DEGREE, alpha: float = ALPHA) -> DataFrame:
@@ -175,7 +194,7 @@ def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degre
         v = np.stack(rows["v"].to_numpy()).astype(np.float64)
         order = np.lexsort(v.T[::-1])
         v, ids = v[order], [np.asarray(x, np.int64) for x in rows["ids"].to_numpy()[order]]
-        graph, start = build_graph(lifted(v), degree, alpha)
+        graph, start = build_graph(lifted(scaled(v)), degree, alpha)
         ends = np.cumsum([len(x) for x in ids]).astype(np.int32)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "start": [start], "vectors": [v.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [np.concatenate(ids).tobytes()], "id_ends": [ends.tobytes()]})
 
@@ -206,9 +225,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
             ids = np.split(np.frombuffer(row.ids, np.int64), ends[:-1])
             q_ids = [q["id"] for q in row.queries]
             q = np.array([q["v"] for q in row.queries], np.float64)
-            points = lifted(v)
-            flat = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-            found, _ = _nearest(graph, points, flat, entries(points, row.start), max(beam, k + 1, ENTRIES))
+            points = scaled(v)
+            each_scaled = np.stack([scaled(x) for x in q])
+            found, _ = _nearest(graph, points, each_scaled, entries(points, row.start), max(beam, k + 1, ENTRIES), inner=True)
             for i, q_id in enumerate(q_ids):
                 near = found[i][found[i] >= 0]
                 score = (v[near] * q[i]).sum(1)
