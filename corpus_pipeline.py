@@ -21,12 +21,12 @@ def tokenizer() -> dict[str, str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from documents whose language is given; documents without any letter go; a missing language is filled in."""
-    train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True))
-    profiles = language_id.learn(docs.where(train), "text", "lang")
+    """Learns from all documents whose language is given; documents without any letter go; a missing language is filled in if any was learnt."""
+    profiles = language_id.learn(docs, "text", "lang")
     keyed = docs.withColumns({_ID: F.struct("doc_id", F.xxhash64("text").alias("row"))})
-    found = language_id.predict(keyed, _ID, "text", profiles).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    found = found.select(F.col(_ID)["doc_id"].alias(_ID), F.col(_ID)["row"].alias(_ROW), F.col("lang_pred").alias("__lang")).dropDuplicates([_ID, _ROW])
+    found = language_id.predict(keyed, _ID, "text", profiles).where("has_letter")
+    known = F.when(F.col("lang_pred") != language_id.UNDETERMINED, F.col("lang_pred"))
+    found = found.select(F.col(_ID)["doc_id"].alias(_ID), F.col(_ID)["row"].alias(_ROW), known.alias("__lang")).dropDuplicates([_ID, _ROW])
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs["text"]) == F.col(_ROW)))
     return joined.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 

@@ -121,7 +121,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, *, profile: int = PROFI
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *, profile: int = PROFILE) -> DataFrame:
-    """``(id, lang_pred, score)``; score is 1 less the nearest distance over the greatest possible one."""
+    """``(id, lang_pred, score, has_letter)``; score is 1 less the nearest distance over the greatest possible one."""
     spark = docs.sparkSession
     kept = written(profiles, "language-profiles")
     n_langs = kept.select("lang").distinct().count()
@@ -141,9 +141,10 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, known, ranks = shared.value
         for batch in batches:
-            pred, score = [], []
+            pred, score, letter = [], [], []
             for text in batch.column(1):
                 mine = top(*grams(text.as_py() or ""), profile)
+                letter.append(len(mine) > 0)
                 if not len(mine) or not langs:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
@@ -156,8 +157,8 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
                 best = int(away.argmin())
                 pred.append(langs[best])
                 score.append(1.0 - float(away[best]) / (profile * len(mine)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letter, pa.bool_())], ["id", "lang_pred", "score", "has_letter"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {kind}, lang_pred string, score double, has_letter boolean").withColumnRenamed("id", id_col)
