@@ -356,7 +356,7 @@ _WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in D.IMPORTANT_WORDS)
 _DIRS = " OR ".join(f"contains(lower(file_path), '{w}')" for w in D.IMPORTANT_DIRS)
 ORACLES["review_candidates"] = f"WITH {_files_sql()} SELECT repo_name, file_path, reason FROM (SELECT *, CASE WHEN length(text) % 11 = 0 THEN 'parse_error' WHEN length(text) % 2 = 0 AND ({_WORDS} OR {_DIRS}) THEN 'low_confidence' END AS reason FROM lf) WHERE reason IS NOT NULL"
 
-_ROOTS = "SELECT 'c' || c_nationkey AS repo_name, CASE c_custkey % 9 WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'app' || (c_custkey % 4) || '.csproj' WHEN 3 THEN 'setup.py' WHEN 4 THEN 'package.json' WHEN 5 THEN '.sln' WHEN 6 THEN 'x.sln' WHEN 7 THEN 'README.md' ELSE 'Pipfile' END AS name FROM {customer} WHERE c_nationkey % 5 = c_custkey % 5"
+_ROOTS = "SELECT 'c' || c_nationkey AS repo_name, CASE (c_custkey % 3 + c_nationkey) % 9 WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'app' || (c_custkey % 4) || '.csproj' WHEN 3 THEN 'setup.py' WHEN 4 THEN 'package.json' WHEN 5 THEN '.sln' WHEN 6 THEN 'x.sln' WHEN 7 THEN 'README.md' ELSE 'Pipfile' END AS name FROM {customer}"
 
 
 @query
