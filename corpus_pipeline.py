@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, jaccard_join, language_id, line_dedup, mixing
-from loomspan.llm.support import shared_dir
+from loomspan.llm.support import shared_dir, written
 
 _ID, _ROW = "__stage_id", "__stage_row"
 
@@ -41,10 +41,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    classes = jaccard_join.join(docs, "doc_id", "text")
-    gone = classes.where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias(_ID), F.col("row").alias(_ROW)).dropDuplicates([_ID, _ROW])
-    return docs.join(gone, (docs["doc_id"] == F.col(_ID)) & (F.xxhash64(docs["text"]) == F.col(_ROW)), "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one document stays: the least by id (null first), then text hash, then the other columns."""
+    classes = written(jaccard_join.join(docs, "doc_id", "text"), "classes")
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("class_row"))
+    key = [F.col("doc_id").alias(_ID), F.col("row").alias(_ROW)]
+    same = docs["doc_id"].eqNullSafe(F.col(_ID)) & (F.xxhash64(docs["text"]) == F.col(_ROW))
+    kept = docs.join(classes.where(~head).select(*key).distinct(), same, "left_anti")
+    # Representatives that are several rows; rows without a word (n_equal 0) are no group.
+    repeated = written(classes.where(head & (F.col("n_equal") > 0)).groupBy(*key).count().where(F.col("count") > 1), "repeated-rows")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    row = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    one = docs.join(repeated, same).groupBy(_ID, _ROW).agg(F.min(row).alias("__least")).select(F.col(_ID).alias("doc_id"), "__least.*")
+    return kept.join(repeated, same, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,9 +335,10 @@ def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
 
 def join(docs: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, threshold: float = THRESHOLD, tokens: int = TOKENS, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """``(id, row, class_id, n_links, n_equal)``: one row a document.
+    """``(id, row, class_id, class_row, n_links, n_equal)``: one row a document.
 
-    ``class_id``: the least id that a chain of links reaches (its own id without any); ``n_links``:
+    ``class_id``: the least id that a chain of links reaches (its own id without any); ``class_row``: the
+    least ``row`` with that id in the class, so that both name its representative; ``n_links``:
     different sets whose similarity to the document's reaches the threshold; ``n_equal``: other
     documents with the same set; ``row``: a hash of the text.
     """
@@ -354,9 +355,9 @@ def join(docs: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, thr
     counts = exact.groupBy("sid").agg(F.sum("links").alias("n_links"))
     whole = components(exact.where(F.col("sid") != F.col("to")).select(F.col("sid").alias("a"), F.col("to").alias("b")))
     of_set = heads.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = of_set.groupBy("root").agg(F.min("id").alias("class_id"))
-    of_set = of_set.join(named, "root").join(counts, "sid", "left").select("s1", "s2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_equal"))
+    named = of_set.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.row").alias("class_row"))
+    of_set = of_set.join(named, "root").join(counts, "sid", "left").select("s1", "s2", "class_id", "class_row", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_equal"))
     rows = filled.select("id", "row", "s1", "s2").join(of_set, ["s1", "s2"]).drop("s1", "s2")
-    alone = signed.where(F.col("n") == 0).select("id", "row", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_equal"))
+    alone = signed.where(F.col("n") == 0).select("id", "row", F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_equal"))
     named_null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    return rows.unionByName(alone).select(named_null("id"), "row", named_null("class_id"), "n_links", "n_equal").withColumnRenamed("id", id_col)
+    return rows.unionByName(alone).select(named_null("id"), "row", named_null("class_id"), "class_row", "n_links", "n_equal").withColumnRenamed("id", id_col)
