@@ -69,17 +69,33 @@ def word_grams(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold shares a bucket of the deepest level with this probability.
+def loss(runs: int, threshold: float = THRESHOLD, depth: int = DEPTH, tokens: int = TOKENS) -> float:
+    """Probability that a pair at the threshold shares no bucket of the deepest level in any of the runs, or falls to the sketches' cut.
 
     In a split the pair meets in a child with probability 1 - (1 - p)(1 - p q): one position always, a
-    second with q = 1/threshold - 1; a pair in more than one child only helps.
+    second with q = 1/threshold - 1; a pair in more than one child only helps. All runs split on the same
+    tokens, so p is the share of tokens on which the pair agrees, and the loss is its mean over that.
     """
     q = 1 / threshold - 1
-    meets = 1.0
-    for _ in range(depth):  # generating function of the shared children, from the last level up
-        meets = 1 - (1 - threshold * meets) * (1 - threshold * q * meets)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    lost = 0.0
+    for same in range(tokens + 1):
+        p, meets = same / tokens, 1.0
+        for _ in range(depth):  # generating function of the shared children, from the last level up
+            meets = 1 - (1 - p * meets) * (1 - p * q * meets)
+        lost += math.comb(tokens, same) * threshold**same * (1 - threshold) ** (tokens - same) * (1.0 if same < least_same(tokens, threshold) else (1 - meets) ** runs)
+    return lost
+
+
+def least_same(tokens: int, threshold: float) -> float:
+    """Equal tokens that a pair of sketches must have: four deviations below the threshold."""
+    return tokens * threshold - 4 * math.sqrt(tokens * threshold * (1 - threshold))
+
+
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH, tokens: int = TOKENS) -> int:
+    """Runs after which a pair at the threshold is found with this probability."""
+    if loss(1 << 16, threshold, depth, tokens) > 1 - recall:
+        raise ValueError(f"{tokens} tokens can't give a recall of {recall}")
+    return next(r for r in range(1, (1 << 16) + 1) if loss(r, threshold, depth, tokens) <= 1 - recall)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, tokens: int = TOKENS) -> DataFrame:
@@ -125,7 +141,7 @@ def _children(sets: DataFrame, threshold: float, tokens: int) -> DataFrame:
 def _similar(n: np.ndarray, sk: np.ndarray, m: np.ndarray, sl: np.ndarray, threshold: float) -> np.ndarray:
     """Matrix of pairs that may reach the threshold: set sizes allow it, sketches are within four deviations."""
     t = sk.shape[1]
-    least = t * threshold - 4 * math.sqrt(t * threshold * (1 - threshold))
+    least = least_same(t, threshold)
     ratio = np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :]) - 1e-9
     same = np.zeros(ratio.shape, np.int16)
     for j in range(t):
@@ -170,7 +186,7 @@ def candidates(sets: DataFrame, *, threshold: float = THRESHOLD, tokens: int = T
     must be split, sketches only for buckets with at least two sets.
     """
     spark = sets.sparkSession
-    runs = runs_for(recall, threshold, depth)
+    runs = runs_for(recall, threshold, depth, tokens)
     sketch = sets.select("sid", "n", F.transform("sig", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("sk"))
     open_rows = _children(sets.select("sid", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path")), threshold, tokens).select("path", "sid")
     leaves = None
