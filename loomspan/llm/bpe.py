@@ -2,7 +2,8 @@
 
 Edge cases: a null text counts as empty (no tokens; hash of no bytes). Every row gives one row,
 repeated ids included; other columns are never read. Very long texts are cut at places that no
-match of the pattern crosses, so the ids are those of the whole text.
+match of the pattern crosses, so the ids are those of the whole text; a long run of any white space
+is one match and is merged as such, because the library's pattern matcher would overflow its stack.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from loomspan.llm.support import text_batches
 #: Characters after which a long text is cut at the next safe place.
 PIECE_CHARS = 1 << 16
 
+# What the library's patterns count as white space (Unicode's property; Python's \\s has more).
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # No match spans a change from non-space to space, so a cut before such a space changes nothing.
 _WORD_END = re.compile(r"(?<=\S)[ \n]")
 # A run of spaces before a word is one match up to its last space, which starts the next match; at the end, all of it.
-_SPACE_RUN = re.compile(r"(?<!\s)[ \t\n\r\x0b\x0c]{256,}(?=\S|\Z)")
-_ALL_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]{255,}")
+_SPACE_RUN = re.compile(rf"(?<![{_SPACES}])[{_SPACES}]{{256,}}(?=[^{_SPACES}]|\Z)")
+_ALL_SPACE = re.compile(rf"[{_SPACES}]{{255,}}")
 
 _LOADED: dict[tuple[str, str], tiktoken.Encoding] = {}
 
@@ -93,22 +96,31 @@ def decode(tokens: DataFrame, id_col: str, ids_col: str, *, rank_file: str, patt
     return text_batches(rows).mapInArrow(run, "id long, raw binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass, digests only.
+def round_trip(docs: DataFrame, id_col: str, text_col: str, *, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS, with_ids: bool = False) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass.
 
-    Token ids stay inside the task; what leaves it is a few bytes a document.
+    Without ``with_ids`` the token ids stay inside the task and a few bytes a document leave it; with
+    it they are returned as ``token_ids array<int>``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(rank_file, pattern)
         for batch in batches:
-            counts, of_ids, of_raw = [], [], []
-            for text in batch.column(1):
-                ids = encode_text(enc, text.as_py(), piece_chars)
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                of_raw.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_raw)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return text_batches(rows).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                packed, of_raw = [], []
+                for text in part.column(1):
+                    ids = encode_text(enc, text.as_py(), piece_chars)
+                    packed.append(np.array(ids, "<u4"))
+                    of_raw.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                counts = np.array([len(x) for x in packed], np.int64)
+                of_ids = [hashlib.sha256(x.tobytes()).hexdigest() for x in packed]
+                columns = [part.column(0), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_raw, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, counts.cumsum()].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, "<u4"), *packed]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return text_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)

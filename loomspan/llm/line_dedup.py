@@ -4,7 +4,8 @@ Hashes of the line keys are range-partitioned by (hash, document) and sorted by
 document first, position). A range cut may fall inside one hash, so a line that a third of all
 documents hold is spread over many tasks. Each task streams its sorted rows once, with a constant
 state per run. Only the first and the last run of a task can continue in another one; their few
-totals are joined back. Results are bitmaps by document; the text is touched again only to apply
+totals are joined back. Hashes are written once, because range cuts need a pass over them before the
+one that deals them out. Results are bitmaps by document; the text is touched again only to apply
 them.
 
 A document is a doc_id. Rows with the same doc_id count as one document; rows that also have the
@@ -110,14 +111,15 @@ def _runs(min_docs: int):
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(doc, row, dropped, drop_bitmap)`` for each row of ``docs`` that loses a line.
+    """``(doc, row, dropped, keep_bitmap)`` for each row of ``docs`` that loses a line.
 
-    ``doc`` is the id (nulls: the smallest long), ``row`` a hash of the text. ``drop_bitmap`` holds
-    one bit a line (1: lost), packed little-endian and deflated; documents not listed keep all.
+    ``doc`` is the id (nulls: the smallest long), ``row`` a hash of the text. ``keep_bitmap`` holds
+    one bit a line (1: kept), packed little-endian and deflated, up to the last line that is lost; all
+    lines after it are kept, and so are all lines of documents not listed.
     """
     lines = docs.select(_doc(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), line_key)).alias("pos", "key"))
     hashes = lines.where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "row", "pos")
-    ordered = hashes.repartitionByRange(partitions(docs.sparkSession), "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "row", "pos")
+    ordered = written(hashes, "line-hashes").repartitionByRange(partitions(docs), "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "row", "pos")
     found = written(ordered.mapInArrow(_runs(min_docs), "h1 long, h2 long, doc long, row long, pos int, n_docs long"), "line-runs")
     sure = found.where((F.col("n_docs") == 0) & F.col("pos").isNotNull()).select("doc", "row", "pos")
     # At most two rows of totals a task, whatever the data: small enough to broadcast.
@@ -130,13 +132,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int
             n, maps = [], []
             for at in batch.column(2):
                 at = np.asarray(at.values)
-                bits = np.zeros(int(at[-1]) + 1, np.uint8)
-                bits[at] = 1
+                bits = np.ones(int(at[-1]) + 1, np.uint8)
+                bits[at] = 0
                 n.append(len(at))
                 maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["doc", "row", "dropped", "drop_bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["doc", "row", "dropped", "keep_bitmap"])
 
-    return lost.mapInArrow(pack, "doc long, row long, dropped long, drop_bitmap binary")
+    return lost.mapInArrow(pack, "doc long, row long, dropped long, keep_bitmap binary")
 
 
 def _doc(id_col: str) -> Column:
@@ -144,22 +146,27 @@ def _doc(id_col: str) -> Column:
 
 
 def _without(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    """Texts less the lines that their bitmaps mark."""
+    """The lines of texts that their bitmaps keep."""
     def one(t: str, b: bytes) -> str:
         lines = t.split("\n")
-        lost = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[: len(lines)]
-        return "\n".join(x for x, gone in zip(lines, np.pad(lost, (0, len(lines) - len(lost)))) if not gone)
+        kept = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[: len(lines)]
+        return "\n".join(x for x, keep in zip(lines, np.pad(kept, (0, len(lines) - len(kept)), constant_values=1)) if keep)
 
     return text.combine(bitmap, one)
 
 
-def kept_text(docs: DataFrame, id_col: str, text_col: str, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` plus ``kept_text`` and ``n_dropped``. Only the rows that lose a line go through Python."""
-    doc, row = "__line_doc", "__line_row"
-    small = bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias("n_dropped"), F.col("drop_bitmap").alias("__line_map"))
+def kept_text(docs: DataFrame, id_col: str, text_col: str, bitmaps: DataFrame, *, text_out: str = "kept_text", dropped_out: str = "n_dropped") -> DataFrame:
+    """``docs`` plus the text that is kept and the number of lines dropped, under the names given.
+
+    A column of ``docs`` that has one of these two names gives way to the result; choose other names to
+    keep it. Only the rows that lose a line go through Python.
+    """
+    docs = docs.drop(*[c for c in (text_out, dropped_out) if c not in (id_col, text_col)])
+    doc, row, lost, kept = "__line_doc", "__line_row", "__line_lost", "__line_map"
+    small = bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias(lost), F.col("keep_bitmap").alias(kept))
     both = docs.withColumns({doc: _doc(id_col), row: F.xxhash64(text_col)}).join(small, [doc, row], "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.col("__line_map").isNull()
-    changed = text_batches(both).where(~none).withColumn("kept_text", F.pandas_udf(_without, "string")(text, F.col("__line_map")))
-    same = both.where(none).withColumn("kept_text", text)
-    return same.unionByName(changed).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop(doc, row, "__line_map")
+    none = F.col(kept).isNull()
+    changed = text_batches(both).where(~none).withColumn(text_out, F.pandas_udf(_without, "string")(text, F.col(kept)))
+    same = both.where(none).withColumn(text_out, text)
+    return same.unionByName(changed).withColumn(dropped_out, F.coalesce(lost, F.lit(0).cast("long"))).drop(doc, row, lost, kept)

@@ -13,24 +13,42 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder in local mode (tests) and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-loomspan-"))
     return _OWN_DIR[0]
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables below the shared one."""
+    return f"{shared_dir(spark)}/loomspan-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def tidy(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. For the end of a job: results still to be computed read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+TASK_BYTES = 1 << 27  # of input to a partition that is dealt by an explicit number
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions for dealing out ``df`` (a table, or narrow steps over one): the session's number, more if it is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), 1 << 20))
 
 
 TEXT_ROWS = 1024  # whole texts in one Arrow batch
@@ -38,7 +56,8 @@ TEXT_ROWS = 1024  # whole texts in one Arrow batch
 
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, whose rows hold whole texts and go to Python: batches are counted in rows, so the session's
-    default of 10,000 would hold gigabytes of long texts at once. Lowers the session's setting to TEXT_ROWS."""
+    default of 10,000 would hold gigabytes of long texts at once. Spark reads the setting from the session when
+    the query runs, so this lowers it there, to TEXT_ROWS, for what follows too."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
         df.sparkSession.conf.set(key, str(TEXT_ROWS))
