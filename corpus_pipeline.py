@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, jaccard_join, language_id, line_dedup, mixing
-from loomspan.llm.support import shared_dir, written
+from loomspan.llm.support import scratch, written
 
-_ID, _ROW = "__stage_id", "__stage_row"
+_ID, _ROW, _TEXT, _LOST = "__stage_id", "__stage_row", "__stage_text", "__stage_lost"
 
 
 def tokenizer() -> dict[str, str]:
@@ -21,7 +21,11 @@ def tokenizer() -> dict[str, str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all documents whose language is given; documents without any letter go; a missing language is filled in if any was learnt."""
+    """Learns from all documents whose language is given; documents without any letter go; a missing language is filled in if any was learnt.
+
+    Null texts have no letter and go. Null ids are ordinary; repeated rows all stay or all go. Columns
+    not named are carried along, whatever their names.
+    """
     profiles = language_id.learn(docs, "text", "lang")
     keyed = docs.withColumns({_ID: F.struct("doc_id", F.xxhash64("text").alias("row"))})
     found = language_id.predict(keyed, _ID, "text", profiles).where("has_letter")
@@ -32,16 +36,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat across documents stay in one document only; documents left without text go."""
-    kept = line_dedup.kept_text(docs, "doc_id", "text", line_dedup.keep_bitmaps(docs, "doc_id", "text"))
-    changed = F.col("n_dropped") > 0
-    out = kept.where(~changed | (F.trim("kept_text") != ""))
-    out = out.withColumn("n_chars", F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+    """Lines that repeat across documents stay in one document only; documents left without text go.
+
+    Rows with one id are one document; a null id is one document, the least. Documents that lose no line
+    stay as they are, empty ones too. Columns not named are carried along, whatever their names.
+    """
+    kept = line_dedup.kept_text(docs, "doc_id", "text", line_dedup.keep_bitmaps(docs, "doc_id", "text"), text_out=_TEXT, dropped_out=_LOST)
+    changed = F.col(_LOST) > 0
+    out = kept.where(~changed | (F.trim(_TEXT) != ""))
+    out = out.withColumn("n_chars", F.when(changed, F.char_length(_TEXT).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.when(changed, F.col(_TEXT)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays: the least by id (null first), then text hash, then the other columns."""
+    """Of each group of near duplicates one document stays: the least by id (null first), then text hash, then the other columns.
+
+    Rows with one id and like texts are a group as any other. Texts without a word are no group and stay.
+    Columns not named are carried along, whatever their names.
+    """
     classes = written(jaccard_join.join(docs, "doc_id", "text"), "classes")
     head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("class_row"))
     key = [F.col("doc_id").alias(_ID), F.col("row").alias(_ROW)]
@@ -57,7 +69,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words, to the nearest whole time."""
+    """Documents as often as the mix takes their words, to the nearest whole time; texts without a word go.
+
+    A null source is a source of its own. Rows with one id, text and source share what is taken for them.
+    Columns not named are carried along, whatever their names.
+    """
     taken = mixing.mix(docs, "doc_id", "text", "source").groupBy("doc_id", "row", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = taken.where(F.col("size") > 0).select(F.col("doc_id").alias(_ID), F.col("row").alias(_ROW), F.col("source").alias("__source"), times.alias("__times")).where(F.col("__times") > 0)
@@ -66,8 +82,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and their digests."""
-    return bpe.round_trip(docs, "doc_id", "text", **tokenizer())
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids)`` of every row; a null text has no token."""
+    return bpe.round_trip(docs, "doc_id", "text", **tokenizer(), with_ids=True)
 
 
 STAGES = [
@@ -84,7 +100,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's result written to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
 
     def step(docs: DataFrame, numbered: tuple) -> DataFrame:
         k, (_, stage) = numbered
