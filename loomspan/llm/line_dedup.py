@@ -114,8 +114,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int
     """``(doc, row, dropped, keep_bitmap)`` for each row of ``docs`` that loses a line.
 
     ``doc`` is the id (nulls: the smallest long), ``row`` a hash of the text. ``keep_bitmap`` holds
-    one bit a line (1: kept), packed little-endian and deflated, up to the last line that is lost; all
-    lines after it are kept, and so are all lines of documents not listed.
+    one bit a line (1: kept), packed little-endian and deflated, up to the last line that is lost;
+    all lines after it are kept, and so are all lines of documents not listed.
     """
     lines = docs.select(_doc(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.posexplode(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), line_key)).alias("pos", "key"))
     hashes = lines.where(F.char_length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "row", "pos")
@@ -132,7 +132,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int
             n, maps = [], []
             for at in batch.column(2):
                 at = np.asarray(at.values)
-                bits = np.ones(int(at[-1]) + 1, np.uint8)
+                bits = np.ones(int(at[-1]) // 8 * 8 + 8, np.uint8)  # whole bytes
                 bits[at] = 0
                 n.append(len(at))
                 maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes()))

@@ -45,15 +45,19 @@ def op4_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replica(pages: DataFrame) -> DataFrame:
-    """A second copy of the pages in which some bodies are reversed and some cut short."""
+    """A second copy of the pages: some bodies are reversed, some cut short, some pages lost, some there twice under another id."""
     body = F.when(F.col("page_id") % 97 == 13, F.reverse("html")).when(F.col("page_id") % 211 == 5, F.substring("html", F.lit(1), F.floor(F.length("html") / 2).cast("int"))).otherwise(F.col("html"))
-    return pages.select("page_id", "url", body.alias("html"))
+    own = F.array(F.col("page_id"))
+    ids = F.when(F.col("page_id") % 389 == 7, F.array().cast("array<bigint>")).when(F.col("page_id") % 401 == 11, F.array(F.col("page_id"), F.col("page_id") + 1_000_000_007)).otherwise(own)
+    return pages.select(F.explode(ids).alias("page_id"), "url", body.alias("html"))
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = warc_fixity.compare(pages, _replica(pages), "page_id", "url", "html")
-    return found.select("archive", "idx", F.col("id").alias("page_id"), F.col("start").alias("start_offset"), F.col("stop").alias("stop_offset"), "digest", "replica_digest", "kind")
+    # Where the record lies in the first replica, or in the second if the first lacks it.
+    places = [F.coalesce(c, f"replica_{c}").alias(f"{c}_offset") for c in ("start", "stop")]
+    return found.select("archive", "idx", F.col("id").alias("page_id"), *places, "digest", "replica_digest", "kind")
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +133,15 @@ WITH p AS (
     chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, b FROM p
 ), x AS (
   SELECT page_id, head || strlen(a) || gap || a || gap AS ra, head || strlen(b) || gap || b || gap AS rb FROM w
-), d AS (
-  SELECT page_id, page_id // 256 AS archive, strlen(ra) AS n, sha256(ra) AS digest, sha256(rb) AS replica_digest FROM x
+), u AS (
+  SELECT 'a' AS side, page_id, strlen(ra) AS n, sha256(ra) AS digest FROM x
+  UNION ALL SELECT 'b', page_id, strlen(rb), sha256(rb) FROM x WHERE page_id % 389 <> 7
+  UNION ALL SELECT 'b', page_id + 1000000007, strlen(rb), sha256(rb) FROM x WHERE page_id % 389 <> 7 AND page_id % 401 = 11
 ), o AS (
-  SELECT *, row_number() OVER s - 1 AS idx, sum(n) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING) AS stop FROM d WINDOW s AS (PARTITION BY archive ORDER BY page_id, digest)
-)
-SELECT archive, idx, page_id, CAST(stop - n AS BIGINT) AS start_offset, CAST(stop AS BIGINT) AS stop_offset, digest, replica_digest, 'altered' AS kind
-FROM o WHERE digest <> replica_digest""",
+  SELECT *, page_id // 256 AS archive, page_id % 256 AS idx, sum(n) OVER (PARTITION BY side, page_id // 256 ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS stop FROM u
+), a AS (SELECT * FROM o WHERE side = 'a'), b AS (SELECT * FROM o WHERE side = 'b')
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.idx, b.idx) AS idx, coalesce(a.page_id, b.page_id) AS page_id, CAST(coalesce(a.stop - a.n, b.stop - b.n) AS BIGINT) AS start_offset, CAST(coalesce(a.stop, b.stop) AS BIGINT) AS stop_offset,
+  a.digest, b.digest AS replica_digest,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS kind
+FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.digest IS DISTINCT FROM b.digest""",
 }

@@ -1,24 +1,34 @@
 """WARC fixity audit with Merkle trees.
 
-A record's leaf is the SHA-256 of its WARC bytes; its archive's records, in order of offset, form
-ranges of FANOUT children whose node hashes each child's hash and length, up to one root an
-archive. Two replicas compare roots first and then only the children of nodes that differ, so an
-intact archive costs one comparison and a corrupt record a path from root to leaf.
-
-Edge cases: null urls and bodies count as empty; null ids form archive -1; records with the same
-id are ordered by digest. A record that one replica lacks shows as missing (the places after it
-in that archive then differ too). Empty tables give an empty result. Other columns are not read.
+A record's leaf is the SHA-256 of its WARC bytes. An archive holds the records of PER_ARCHIVE ids; its
+tree stands on fixed places: a slot an id, ranges of FANOUT slots above, up to one root. A node's hash
+covers each child's place, hash and length, and its offsets follow from the lengths. Two replicas
+compare roots first and then only the children of nodes that differ, so an intact archive costs one
+comparison and a corrupt record a path from root to leaf; a record that is lost or added moves the
+offsets of those after it, but no place in the tree, so it is named alone.
+
+Many records of one id meet no task together: below a slot they are dealt to PARTS parts by digest, and
+a part's hash is the exclusive or of its distinct records' hashes, added up in each task first.
+
+Edge cases: null urls and bodies count as empty. Null ids have no order: their records form archives
+from NULL_ARCHIVE on, placed by digest. Repeated rows are one record with a number of copies. Of an id
+whose records differ, one record lost and one gained make one ``altered`` row; otherwise the lost ones
+are ``missing`` and the gained ones ``extra``. Empty tables give an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.support import written
 
 FANOUT = 16
-RECORDS = 256  # of an archive
+PER_ARCHIVE = 256  # ids
+NULL_ARCHIVE = -(1 << 62)
+SLOT, PART = ["archive", "slot"], ["archive", "slot", "part"]  # four hex digits of the digest make a part
 
 
 def record_bytes(url: Column, body: Column) -> Column:
@@ -27,70 +37,107 @@ def record_bytes(url: Column, body: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, per_archive: int = RECORDS) -> DataFrame:
-    """``(archive, idx, id, start, stop, digest)``: leaves in order of offset within their archive.
-
-    One shuffle of digests and lengths; the bodies stay where they are read.
-    """
+def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, per_archive: int = PER_ARCHIVE) -> DataFrame:
+    """``(archive, slot, part, id, digest, n, copies)``: distinct records; digests and lengths are shuffled, bodies stay where they are read."""
     raw = record_bytes(F.col(url_col), F.col(body_col))
-    leaf = pages.select(F.coalesce(F.floor(F.col(id_col) / per_archive), F.lit(-1)).cast("long").alias("archive"), F.col(id_col).cast("long").alias("id"), F.octet_length(raw).cast("long").alias("n"), F.sha2(raw, 256).alias("digest"))
-    order = Window.partitionBy("archive").orderBy("id", "digest")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return leaf.select("archive", (F.row_number().over(order) - 1).cast("long").alias("idx"), "id", (upto - F.col("n")).alias("start"), upto.alias("stop"), "digest")
-
-
-def tree(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
-    """``(archive, level, idx, id, start, stop, digest)``: leaves at level 0, roots at level ``depth``.
-
-    Every level groups by archive and range, so the leaves' one shuffle serves all of them.
-    """
-    level = leaves.select("archive", F.lit(0).alias("level"), "idx", "id", "start", "stop", "digest")
-    nodes = level
+    leaf = pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(raw).cast("long").alias("n"), F.sha2(raw, 256).alias("digest"))
+    digits = lambda at, k: F.conv(F.substring("digest", at, k), 16, 10).cast("long")
+    above = F.floor(F.col("id") / per_archive).cast("long")
+    place = leaf.withColumns({
+        "archive": F.coalesce(above, NULL_ARCHIVE + digits(1, 2)),
+        "slot": F.coalesce(F.col("id") - above * per_archive, digits(3, 2)),
+        "part": F.when(F.col("id").isNull(), digits(5, 4)).otherwise(digits(1, 4)),
+    })
+    return place.groupBy(*PART, "id", "digest").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+
+
+def parts(leaves: DataFrame) -> DataFrame:
+    """``(archive, slot, part, bytes, hash)``: records of a slot whose digests begin alike."""
+    each = [F.bit_xor(F.xxhash64(F.lit(k), "digest", "copies")) for k in range(2)]
+    return leaves.groupBy(*PART).agg(F.sum(F.col("n") * F.col("copies")).alias("bytes"), F.concat(*[F.hex(x) for x in each]).alias("hash"))
+
+
+def tree(of_parts: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """``(archive, level, idx, bytes, hash)``: slots at level 0, roots at level ``depth``; at most ``fanout`` children a node, or 65,536 parts a slot."""
+    def above(children: DataFrame, place: str, idx: Column, level: int) -> DataFrame:
+        child = F.struct(F.col(place), F.concat_ws(":", place, "hash", "bytes").alias("d"))
+        grouped = children.groupBy("archive", idx.cast("long").alias("idx")).agg(F.array_sort(F.collect_list(child)).alias("kids"), F.sum("bytes").alias("bytes"))
+        return grouped.select("archive", F.lit(level).alias("level"), "idx", "bytes", F.sha2(F.array_join(F.transform("kids", lambda x: x["d"]), "\n"), 256).alias("hash"))
+
+    levels = [above(of_parts, "part", F.col("slot"), 0)]
     for k in range(1, depth + 1):
-        child = F.struct("idx", F.concat(F.col("digest"), F.lit(":"), (F.col("stop") - F.col("start")).cast("string")).alias("d"))
-        grouped = level.groupBy("archive", F.floor(F.col("idx") / fanout).alias("above")).agg(F.array_sort(F.collect_list(child)).alias("kids"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-        level = grouped.select("archive", F.lit(k).alias("level"), F.col("above").alias("idx"), F.lit(None).cast("long").alias("id"), "start", "stop", F.sha2(F.array_join(F.transform("kids", lambda x: x["d"]), "\n"), 256).alias("digest"))
-        nodes = nodes.unionByName(level)
-    return nodes
+        levels.append(above(levels[-1], "idx", F.floor(F.col("idx") / fanout), k))
+    return reduce(DataFrame.unionByName, levels)
 
 
-def depth_for(*leaves: DataFrame, fanout: int = FANOUT) -> int:
-    """Levels above the leaves of the longest archive."""
-    most = max([(x.agg(F.max("idx")).first()[0] or 0) + 1 for x in leaves], default=1)
+def depth_for(per_archive: int = PER_ARCHIVE, fanout: int = FANOUT) -> int:
+    """Levels above the slots of an archive (of null ids: 256 slots)."""
     depth = 1
-    while fanout**depth < most:
+    while fanout**depth < max(per_archive, 256):
         depth += 1
     return depth
 
 
-def audit(nodes_a: DataFrame, nodes_b: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
-    """``(archive, idx, id, start, stop, replica_start, replica_stop, digest, replica_digest, kind)``.
-
-    Compares roots, then the children of differing nodes only, level by level; returns leaves.
-    """
-    def side(nodes: DataFrame, level: int, frontier: DataFrame | None, prefix: str) -> DataFrame:
-        here = nodes.where(F.col("level") == level)
-        if frontier is not None:
-            here = here.withColumn("above", F.floor(F.col("idx") / fanout)).join(frontier, ["archive", "above"], "left_semi")
-        return here.select(F.col("archive").alias(f"{prefix}archive"), F.col("idx").alias(f"{prefix}idx"), *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "start", "stop", "digest")])
-
+def differing_slots(a: DataFrame, b: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """``(archive, slot)`` where two trees differ: roots are compared, then the children of differing nodes only."""
     frontier = None
     for level in range(depth, -1, -1):
-        a, b = side(nodes_a, level, frontier, "a_"), side(nodes_b, level, frontier, "b_")
-        both = a.join(b, (F.col("a_archive") == F.col("b_archive")) & (F.col("a_idx") == F.col("b_idx")), "full_outer")
-        differ = both.where(~F.col("a_digest").eqNullSafe(F.col("b_digest")))
-        frontier = differ.select(F.coalesce("a_archive", "b_archive").alias("archive"), F.coalesce("a_idx", "b_idx").alias("above"))
-    kind = F.when(F.col("b_digest").isNull(), "missing").when(F.col("a_digest").isNull(), "extra").otherwise("altered")
-    return differ.select(
-        F.coalesce("a_archive", "b_archive").alias("archive"), F.coalesce("a_idx", "b_idx").alias("idx"), F.coalesce("a_id", "b_id").alias("id"),
-        F.col("a_start").alias("start"), F.col("a_stop").alias("stop"), F.col("b_start").alias("replica_start"), F.col("b_stop").alias("replica_stop"),
-        F.col("a_digest").alias("digest"), F.col("b_digest").alias("replica_digest"), kind.alias("kind"),
+        here = [x.where(F.col("level") == level) for x in (a, b)]
+        if frontier is not None:
+            here = [x.withColumn("above", F.floor(F.col("idx") / fanout)).join(frontier, ["archive", "above"], "left_semi") for x in here]
+        frontier = _unequal(*here, ["archive", "idx"], "hash").withColumnRenamed("idx", "above")
+    return frontier.withColumnRenamed("above", "slot")
+
+
+def _unequal(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys that only one side has or whose values differ."""
+    both = a.select(*keys, F.col(value).alias("va")).join(b.select(*keys, F.col(value).alias("vb")), keys, "full_outer")
+    return both.where(~F.col("va").eqNullSafe(F.col("vb"))).select(*keys)
+
+
+def _placed(leaves: DataFrame, of_parts: DataFrame, nodes: DataFrame, where: DataFrame, spots: DataFrame) -> DataFrame:
+    """Records of differing parts with their offsets: the slot's, plus the parts and records before. Each window holds a slot or a part at most."""
+    def before(keys: list[str], *order: str, value: Column) -> Column:
+        return F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)) - value
+
+    slots = nodes.where(F.col("level") == 0).join(where.select("archive").distinct(), "archive", "left_semi").withColumn("slot_at", before(["archive"], "idx", value=F.col("bytes")))
+    ps = of_parts.join(where, SLOT, "left_semi").withColumn("part_at", before(SLOT, "part", value=F.col("bytes")))
+    rs = leaves.join(spots, PART, "left_semi").withColumn("at", before(PART, "digest", "id", value=F.col("n") * F.col("copies")))
+    rs = rs.join(ps.select(*PART, "part_at"), PART).join(slots.select("archive", F.col("idx").alias("slot"), "slot_at"), SLOT)
+    start = F.col("slot_at") + F.col("part_at") + F.col("at")
+    return rs.select(*PART, "id", "digest", "copies", start.alias("start"), (start + F.col("n") * F.col("copies")).alias("stop"))
+
+
+def audit(a: DataFrame, b: DataFrame, *, per_archive: int = PER_ARCHIVE, fanout: int = FANOUT) -> DataFrame:
+    """``(archive, idx, id, start, stop, replica_start, replica_stop, digest, replica_digest, copies, kind)`` for two tables of records."""
+    of_parts = [written(parts(x), "warc-parts") for x in (a, b)]
+    nodes = [written(tree(p, depth_for(per_archive, fanout), fanout), "warc-tree") for p in of_parts]
+    where = written(differing_slots(*nodes, depth_for(per_archive, fanout), fanout), "warc-differing")
+    spots = written(_unequal(*[p.join(where, SLOT, "left_semi") for p in of_parts], PART, "hash"), "warc-parts-differing")
+    sides = [_placed(*x, where, spots) for x in zip((a, b), of_parts, nodes)]
+    names = ["start", "stop", "copies"]
+    one, two = (s.withColumns({"key": F.coalesce("id", F.lit(0).cast("long"))}).select(*PART, "key", "id", "digest", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k, s in enumerate(sides))
+    both = one.join(two.withColumnRenamed("id", "id_1"), [*PART, "key", "digest"], "full_outer")
+    less = F.coalesce("copies_0", F.lit(0)) - F.coalesce("copies_1", F.lit(0))
+    changed = both.withColumn("id", F.coalesce("id", "id_1")).withColumn("less", less).where(F.col("less") != 0)
+    changed = written(changed, "warc-changed")
+    lost, gained = F.col("less") > 0, F.col("less") < 0
+    # An id with one record lost and one gained, as often: altered.
+    of_id = changed.where(F.col("id").isNotNull()).groupBy("archive", "slot", "id").agg(
+        F.count_if(lost).alias("n_lost"), F.count_if(gained).alias("n_gained"), F.sum("less").alias("net"), F.max(F.abs("less")).alias("copies"),
+        *[F.max(F.when(k, F.col(c))).alias(n) for n, k, c in (("start", lost, "start_0"), ("stop", lost, "stop_0"), ("replica_start", gained, "start_1"), ("replica_stop", gained, "stop_1"), ("digest", lost, "digest"), ("replica_digest", gained, "digest"))],
+    )
+    altered = of_id.where((F.col("n_lost") == 1) & (F.col("n_gained") == 1) & (F.col("net") == 0))
+    rest = changed.join(altered.select("archive", "slot", "id"), ["archive", "slot", "id"], "left_anti")
+    columns = ["archive", F.col("slot").alias("idx"), "id", "start", "stop", "replica_start", "replica_stop", "digest", "replica_digest", "copies", "kind"]
+    single = rest.select(
+        "archive", "slot", "id", F.col("start_0").alias("start"), F.col("stop_0").alias("stop"), F.col("start_1").alias("replica_start"), F.col("stop_1").alias("replica_stop"),
+        F.when(lost, F.col("digest")).alias("digest"), F.when(gained, F.col("digest")).alias("replica_digest"), F.abs("less").alias("copies"), F.when(lost, "missing").otherwise("extra").alias("kind"),
     )
+    return altered.withColumn("kind", F.lit("altered")).select(*columns).unionByName(single.select(*columns))
 
 
-def compare(pages: DataFrame, replica: DataFrame, id_col: str, url_col: str, body_col: str, per_archive: int = RECORDS, fanout: int = FANOUT) -> DataFrame:
+def compare(pages: DataFrame, replica: DataFrame, id_col: str, url_col: str, body_col: str, per_archive: int = PER_ARCHIVE, fanout: int = FANOUT) -> DataFrame:
     """Audit of two replicas given as tables of pages."""
     sides = [written(records(x, id_col, url_col, body_col, per_archive), "warc-leaves") for x in (pages, replica)]
-    depth = depth_for(*sides, fanout=fanout)
-    nodes = [written(tree(x, depth, fanout), "warc-tree") for x in sides]
-    return audit(nodes[0], nodes[1], depth, fanout)
+    return audit(*sides, per_archive=per_archive, fanout=fanout)

@@ -197,6 +197,26 @@ def test_fixity_finds_altered_missing_and_extra(spark):
     assert warc_fixity.compare(a.where("false"), a.where("false"), "page_id", "url", "html").count() == 0
 
 
+def test_fixity_names_what_is_lost_or_added_in_the_middle(spark):
+    rows = [(i, f"http://x/{i}", "b" * (i % 50)) for i in range(256) if i != 99]
+    whole = spark.createDataFrame(rows, "page_id long, url string, html string")
+    gone = whole.where("page_id <> 10").unionByName(spark.createDataFrame([(99, "new", "n")], whole.schema))
+    got = {r.id: r for r in warc_fixity.compare(whole, gone, "page_id", "url", "html").collect()}
+    assert {k: r.kind for k, r in got.items()} == {10: "missing", 99: "extra"}
+    sizes = [len("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: \r\nContent-Length: ") + len(u) + len(str(len(h))) + 8 + len(h) for _, u, h in rows]
+    assert (got[10].start, got[10].stop) == (sum(sizes[:10]), sum(sizes[:11]))
+    at = sum(sizes[:99]) - sizes[10]
+    assert got[99].replica_start == at and got[99].replica_stop == at + len("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: new\r\nContent-Length: 1") + 8 + 1
+
+
+def test_fixity_of_null_and_repeated_ids(spark):
+    rows = [(None, f"u{i}", "x") for i in range(50)] + [(7, f"v{i}", "x") for i in range(50)] + [(8, "same", "x")] * 5 + [(-3, "neg", "x")]
+    whole = spark.createDataFrame(rows, "page_id long, url string, html string")
+    less = spark.createDataFrame([r for r in rows if r[1] not in ("u3", "v4", "v5")] + [(7, "v99", "x")] + [(8, "same", "x")], whole.schema)
+    got = sorted((r.id or 0, r.kind, r.copies) for r in warc_fixity.compare(whole, less, "page_id", "url", "html").collect())
+    assert got == [(0, "missing", 1), (7, "extra", 1), (7, "missing", 1), (7, "missing", 1), (8, "extra", 1)]
+
+
 def test_kd_shards(spark, odd, empty):
     rows = queries.op6_kd_sharding(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
