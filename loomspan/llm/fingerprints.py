@@ -1,16 +1,20 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Only DataFrame functions. A text's paragraphs (pieces of at least PIECE_CHARS up to a sentence end,
-or the rest of a line) are hashed to 64 bits; the set of digests fills a sketch of 3 x WIDTH cells
-(count, xor of digests, xor of check hashes). Subtracting two sketches leaves the digests in which
-they differ; peeling recovers them one pure cell at a time. Where peeling fails, it is tried again
-with the digests dealt into blocks of about BLOCK, each with a sketch of its own, and a block that
-fails yet again gets larger sketches. What the largest cannot peel is compared exactly, so that a
-likeness is always defined.
-
-Likeness: 1 - differing digests / digests of both; 1 if neither has any. Equal texts have equal
-fingerprints. Edge cases: null and empty texts have no paragraph and an empty sketch; repeated
-paragraphs count once; rows with equal or null ids are ordered by id (null first), then text hash.
+Only DataFrame functions. A text is cut into pieces: its first HEAD_CHARS code points finely, so that
+short texts have several, the rest at sentence ends, at word ends that the character before them
+picks, or at the greatest length. A piece's digest is 64 bits: a hash, and in the low 12 bits the piece's length.
+Digests are dealt by their top bits to blocks of at most LOAD on average, and each block has a sketch
+of 3 x width cells (count, exclusive or of digests, exclusive or of check hashes). The width is the
+least of WIDTHS at which the block's own sketch can be peeled, so a fingerprint of any size gives back
+all its digests by itself, and whatever follows from the digests follows from the fingerprint.
+
+To compare two fingerprints, the sketches of equal blocks are subtracted and the difference is peeled
+one pure cell at a time. Where the two have different numbers of blocks or widths, or peeling fails, it
+is retried larger: with the greater number of blocks, then the next width. Likeness is 1 - length of
+the differing pieces / length of the pieces of both, or 1 if neither has any: the share of text in common.
+
+Equal texts have equal fingerprints. Edge cases: null and empty texts have no piece; repeated
+pieces count once; rows with equal or null ids are ordered by id (null first), then text hash.
 Columns other than the id and the text are not read.
 """
 
@@ -21,24 +25,51 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.support import let, partitions
 
-PIECE_CHARS, WIDTH, BLOCK = 160, 16, 20
-RETRY_WIDTHS = (64, 512)
+HEAD_CHARS = (32, 256)  # up to the first in pieces of 8, up to the second in pieces of 32 and more
+HEAD_PIECES = (r"[^\n]{1,8}", r"[^\n]{32,64}?(?=\s|$)|[^\n]{1,64}")
+PIECES = r"[^\n]{160,480}?(?:[.!?](?=\s|$)|[\u3002\uff01\uff1f\uff61])|[^\n]{160,480}?[b-gB-G0-4,;:)}](?=\s)|[^\n]{1,480}"
+LOAD, WIDTHS = 12, (16, 64, 512)
+MAX_DEPTH = 10  # 4**10 blocks: a string holds no more pieces
 ROUNDS = 24
+MAX_RANGES = 8192  # a row finds its range by looking at every cut
+_LENGTH = 0xFFF
 _NULL_ID = -(1 << 63)
 
 
+
+def pieces(text: Column) -> Column:
+    """All pieces of a text, in order."""
+    fine, some = HEAD_CHARS
+    zones = [(F.substring(text, 1, fine), HEAD_PIECES[0]), (F.substring(text, fine + 1, some - fine), HEAD_PIECES[1]), (F.substring(text, F.lit(some + 1), F.char_length(text)), PIECES)]
+    return F.concat(*[F.regexp_extract_all(zone, F.lit(pattern), F.lit(0)) for zone, pattern in zones])
+
+
 def digests(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{{PIECE_CHARS},}}?[.!?](?=\s|$)|[^\n]+"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    def digest(p: Column) -> Column:
+        return F.xxhash64(p).bitwiseAND(~_LENGTH).bitwiseOR(F.char_length(p).cast("bigint"))
+
+    return F.array_distinct(F.transform(pieces(text), digest))
+
+
+def _shifted(k: Column, by: Column | int) -> Column:
+    return F.call_function("shiftrightunsigned", k, F.lit(by) if isinstance(by, int) else by)
+
 
+def depth_of(n: Column) -> Column:
+    """Blocks are 4 to this power."""
+    return F.when(n <= LOAD, 0).otherwise(F.least(F.lit(MAX_DEPTH), F.ceil(F.log2(n / F.lit(float(LOAD))) / 2))).cast("int")
 
-def _place(key: Column, sign: Column, width: Column, seed: Column) -> Column:
-    """Struct of the key, its sign, its check hash and its cell in each of the three sub-tables."""
-    def of(h: Column) -> Column:
-        cells = F.array(*[F.pmod(F.shiftrightunsigned(h, 20 * j), width).cast("int") for j in range(3)])
-        return F.struct(sign.alias("s"), key.alias("k"), F.xxhash64(seed, key).alias("h"), cells.alias("at"))
 
-    return let(F.xxhash64(seed + 1, key), of)
+def blocks(keys: Column, depth: Column) -> Column:
+    """Digests dealt to 4**depth blocks by their top bits, two bits a level: each digest is looked at four times a level."""
+    def level(j: int, dealt: Column) -> Column:
+        def quarter(b: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.filter(b, lambda k: _shifted(k, 64 - 2 * j).bitwiseAND(F.lit(3).cast("bigint")) == i))
+
+        finer = F.when(depth >= j, F.flatten(F.transform(dealt, quarter))).otherwise(dealt)
+        return finer if j == MAX_DEPTH else let(finer, lambda x: level(j + 1, x))
+
+    return F.when(depth == 0, F.array(keys)).otherwise(let(F.array(keys), lambda x: level(1, x)))
 
 
 def _cell(c: Column, k: Column, h: Column) -> Column:
@@ -49,116 +80,148 @@ def _zero() -> Column:
     return _cell(F.lit(0), F.lit(0), F.lit(0))
 
 
-def _added(table: Column, placed: Column, j: Column) -> Column:
-    """Sub-table j plus the placed keys."""
-    def one(cell: Column, i: Column) -> Column:
-        return F.aggregate(placed, cell, lambda c, p: F.when(F.get(p["at"], j) == i, _cell(c["c"] + p["s"], c["k"].bitwiseXOR(p["k"]), c["h"].bitwiseXOR(p["h"]))).otherwise(c))
+def _at(k: Column, table: Column | int, width: int) -> Column:
+    """A digest's cell in a sub-table."""
+    return _shifted(k, 12 + 9 * table).bitwiseAND(F.lit(width - 1).cast("bigint"))
+
 
-    return F.transform(table, one)
+def sketch(keys: Column, width: int = WIDTHS[0]) -> Column:
+    """Three sub-tables of ``width`` cells for the digests of a block."""
+    xor = lambda xs, f: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(f(k)))
 
+    def sub_table(j: int) -> Column:
+        def cell(i: Column) -> Column:
+            mine = F.filter(keys, lambda k: _at(k, j, width) == i)
+            return let(mine, lambda ks: F.when(F.size(ks) == 0, _zero()).otherwise(_cell(F.size(ks), xor(ks, lambda k: k), xor(ks, F.xxhash64))))
 
-def sketch(keys: Column, width: Column | int = WIDTH, seed: Column | int = 0) -> Column:
-    """Three sub-tables of ``width`` cells."""
-    width, seed = (F.lit(x) if isinstance(x, int) else x for x in (width, seed))
-    blank = F.array_repeat(_zero(), width)
-    return let(F.transform(keys, lambda k: _place(k, F.lit(1), width, seed)), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: _added(blank, placed, j)))
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+
+    return F.array(*[sub_table(j) for j in range(3)])
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda s, t: F.zip_with(s, t, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))))
 
 
-def peel(tables: Column, width: Column | int = WIDTH, seed: Column | int = 0) -> Column:
+def peel(tables: Column, width: int = WIDTHS[0]) -> Column:
     """Digests that a subtracted sketch holds, or null if it can't be peeled.
 
     Each step takes the pure cells of one sub-table (a count of 1 or -1 whose check hash fits its
     digest). They hold different digests; their cells empty, and the digests leave the other two
     sub-tables. The three take turns: ``t`` is the one at hand, ``u`` and ``v`` come next.
     """
-    width, seed = (F.lit(x) if isinstance(x, int) else x for x in (width, seed))
-
     def pure(c: Column) -> Column:
-        return (F.abs(c["c"]) == 1) & (F.xxhash64(seed, c["k"]) == c["h"])
+        return (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"]) == c["h"])
 
-    def state(t: Column, u: Column, v: Column, keys: Column) -> Column:
-        return F.struct(t.alias("t"), u.alias("u"), v.alias("v"), keys.alias("keys"))
+    def state(t: Column, u: Column, v: Column, keys: Column, idle: Column) -> Column:
+        return F.struct(t.alias("t"), u.alias("u"), v.alias("v"), keys.alias("keys"), idle.alias("idle"))
 
-    def step(at: Column, r: Column) -> Column:
-        def removed(placed: Column) -> Column:
-            rest = F.transform(at["t"], lambda c: F.when(pure(c), _zero()).otherwise(c))
-            return state(_added(at["u"], placed, F.pmod(r + 1, F.lit(3))), _added(at["v"], placed, F.pmod(r + 2, F.lit(3))), rest, F.concat(at["keys"], F.transform(placed, lambda p: p["k"])))
+    def less(table: Column, found: Column, j: Column) -> Column:
+        def one(cell: Column, i: Column) -> Column:
+            return F.aggregate(found, cell, lambda c, f: F.when(_at(f["k"], j, width) == i, _cell(c["c"] - f["c"], c["k"].bitwiseXOR(f["k"]), c["h"].bitwiseXOR(f["h"]))).otherwise(c))
+
+        return F.transform(table, one)
 
+    def step(at: Column, r: Column) -> Column:
         def without(found: Column) -> Column:
-            return F.when(F.size(found) == 0, state(at["u"], at["v"], at["t"], at["keys"])).otherwise(let(F.transform(found, lambda c: _place(c["k"], -c["c"], width, seed)), removed))
+            rest = F.transform(at["t"], lambda c: F.when(pure(c), _zero()).otherwise(c))
+            gone = state(less(at["u"], found, F.pmod(r + 1, F.lit(3))), less(at["v"], found, F.pmod(r + 2, F.lit(3))), rest, F.concat(at["keys"], F.transform(found, lambda c: c["k"])), F.lit(0))
+            return F.when(F.size(found) == 0, state(at["u"], at["v"], at["t"], at["keys"], at["idle"] + 1)).otherwise(gone)
 
-        return let(F.filter(at["t"], pure), without)
+        return F.when(at["idle"] >= 3, at).otherwise(let(F.filter(at["t"], pure), without))
 
-    start = state(*[F.get(tables, F.lit(j)) for j in range(3)], F.array().cast("array<bigint>"))
+    start = state(*[F.get(tables, F.lit(j)) for j in range(3)], F.array().cast("array<bigint>"), F.lit(0))
     end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
     empty = lambda t: F.forall(t, lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0))
     return let(end, lambda e: F.when(empty(e["t"]) & empty(e["u"]) & empty(e["v"]), e["keys"]))
 
 
-def _by_blocks(a: Column, b: Column) -> Column:
-    """Number of differing digests, block by block; a block that fails gets larger sketches."""
-    n = F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) / F.lit(float(BLOCK)))).cast("int")
+def block_sketch(keys: Column) -> Column:
+    """The sketch of the least width that gives back its own digests."""
+    def tried(k: int) -> Column:
+        if k == len(WIDTHS) - 1:
+            return sketch(keys, WIDTHS[k])
+        return let(sketch(keys, WIDTHS[k]), lambda t: F.when(peel(t, WIDTHS[k]).isNotNull(), t).otherwise(tried(k + 1)))
+
+    return tried(0)
+
+
+def sketches(dealt: Column) -> Column:
+    return F.transform(dealt, block_sketch)
 
-    def block(i: Column, blocks: Column) -> Column:
-        def mine(x: Column) -> Column:
-            return F.filter(x, lambda k: F.pmod(F.xxhash64(F.lit(99), k), blocks) == i)
 
-        def tried(p: Column) -> Column:
-            def attempt(width: Column) -> Column:
-                return F.array_size(peel(subtract(sketch(p["a"], width, width), sketch(p["b"], width, width)), width, width))
+def recovered(tables: Column) -> Column:
+    """All digests of a fingerprint, from its sketches alone."""
+    def one(t: Column) -> Column:
+        width = F.size(F.get(t, F.lit(0)))
+        return F.coalesce(*[F.when(width == w, peel(t, w)) for w in WIDTHS])
 
-            def larger(found: Column, width: Column) -> Column:
-                return F.when(found >= 0, found).otherwise(F.coalesce(attempt(width), F.lit(-1)))
+    return F.flatten(F.transform(tables, one))
 
-            widths = F.array(*[F.lit(w) for w in (WIDTH, *RETRY_WIDTHS)])
-            exact = F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"]))
-            return let(F.aggregate(widths, F.lit(-1), larger), lambda found: F.when(found >= 0, found).otherwise(exact))
 
-        return let(F.struct(mine(a).alias("a"), mine(b).alias("b")), tried)
+def _difference(a: Column, b: Column) -> Column:
+    """Digests in one of two blocks only; each is (keys, cells)."""
+    def attempt(w: int) -> Column:
+        given = lambda x: F.when(F.size(F.get(x["cells"], F.lit(0))) == w, x["cells"]).otherwise(sketch(x["keys"], w))
+        least = F.greatest(F.size(F.get(a["cells"], F.lit(0))), F.size(F.get(b["cells"], F.lit(0))))
+        return F.when(least <= w, peel(subtract(given(a), given(b)), w))
 
-    return let(n, lambda blocks: F.aggregate(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: block(i, blocks)), F.lit(0), lambda s, x: s + x))
+    sets = F.concat(F.array_except(a["keys"], b["keys"]), F.array_except(b["keys"], a["keys"]))  # should the largest fail: what both give back
+    return F.when(F.size(a["keys"]) + F.size(b["keys"]) == 0, F.array().cast("array<bigint>")).otherwise(F.coalesce(*[attempt(w) for w in WIDTHS], sets))
 
 
-def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Number of digests in one of two sets only, by peeling the difference of their sketches."""
-    fails_surely = F.abs(F.size(a) - F.size(b)) > 3 * WIDTH  # more digests than cells
-    first = F.when(~fails_surely, F.array_size(peel(subtract(cells_a, cells_b))))
-    return F.coalesce(first, _by_blocks(a, b))
+def differing(a_blocks: Column, a_cells: Column, b_blocks: Column, b_cells: Column) -> Column:
+    """Digests in one of two fingerprints only. The one with fewer blocks gives back its digests, which are dealt and sketched anew."""
+    def at_depth(dealt: Column, cells: Column, most: Column) -> Column:
+        pair = lambda k, c: F.struct(k.alias("keys"), c.alias("cells"))
+        anew = let(blocks(F.flatten(dealt), F.round(F.log2(most.cast("double")) / 2).cast("int")), lambda x: F.zip_with(x, sketches(x), pair))
+        return F.when(F.size(dealt) == most, F.zip_with(dealt, cells, pair)).otherwise(anew)
 
+    most = F.greatest(F.size(a_blocks), F.size(b_blocks))
+    return F.flatten(F.zip_with(at_depth(a_blocks, a_cells, most), at_depth(b_blocks, b_cells, most), _difference))
 
-def likeness(n_diff: Column, a: Column, b: Column) -> Column:
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(1.0 - n_diff / both)
+
+def length(keys: Column) -> Column:
+    """Code points that digests stand for."""
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, k: s + k.bitwiseAND(F.lit(_LENGTH).cast("bigint")))
+
+
+def likeness(different: Column, a_blocks: Column, b_blocks: Column) -> Column:
+    both = length(F.flatten(a_blocks)) + length(F.flatten(b_blocks))
+    return let(both, lambda n: F.when(n == 0, F.lit(1.0)).otherwise(1.0 - length(different) / n))
 
 
 def rendered(n: Column, root: Column, cells: Column) -> Column:
-    """Text form: digests, hash of the whole text, then each cell as count:key:check in hex ('.': empty)."""
-    cell = F.transform(cells, lambda t: F.transform(t, lambda c: F.when((c["c"] == 0) & (c["k"] == 0), F.lit(".")).otherwise(F.concat(c["c"].cast("string"), F.lit(":"), F.lower(F.hex(c["k"])), F.lit(":"), F.lower(F.hex(c["h"]))))))
-    return F.concat_ws(" ", n.cast("string"), F.lower(F.hex(root)), F.array_join(F.flatten(cell), " "))
+    """Text form: digests, hash of the whole text, then for each block its width and its cells in use as place=count:digest:check in hex."""
+    def block(t: Column) -> Column:
+        cell = F.transform(F.flatten(t), lambda c, i: F.when((c["c"] != 0) | (c["k"] != 0), F.concat(F.hex(i), F.lit("="), c["c"].cast("string"), F.lit(":"), F.hex(c["k"]), F.lit(":"), F.hex(c["h"]))))
+        return F.concat(F.size(F.get(t, F.lit(0))).cast("string"), F.lit(" "), F.array_join(cell, " "))
+
+    return F.lower(F.concat_ws("|", n.cast("string"), F.hex(root), F.array_join(F.transform(cells, block), "|")))
 
 
 def fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, digests, cells, fingerprint)`` of each row; row-local."""
+    """``(id, blocks, cells, fingerprint)`` of each row; row-local."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(F.col(id_col), F.xxhash64(text).alias("root"), digests(text).alias("digests")).withColumn("cells", sketch(F.col("digests")))
-    return one.select(id_col, "digests", "cells", rendered(F.size("digests"), F.col("root"), F.col("cells")).alias("fingerprint"))
+    one = _sketched(docs.select(F.col(id_col), text.alias("text")), "text", "")
+    return one.select(id_col, "blocks", "cells", rendered(F.size(F.flatten("blocks")), F.xxhash64("text"), F.col("cells")).alias("fingerprint"))
+
+
+def _sketched(rows: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    dealt = let(digests(F.col(text_col)), lambda k: blocks(k, depth_of(F.size(k))))
+    return rows.withColumn(f"{prefix}blocks", dealt).withColumn(f"{prefix}cells", sketches(F.col(f"{prefix}blocks")))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, digests, cells, next_text, next_digests, next_cells)`` in ascending id order; the last row's next is the first.
+    """``(id, text, blocks, cells, next_text, next_blocks, next_cells)`` in ascending id order; the last row's next is the first.
 
     Rows go to ranges of the id, cut at quantiles (a few numbers a partition on the driver). The row
     that starts a range is also sent to the range before it, so each range is complete by itself:
     one shuffle, of the texts. Digests and sketches are made after it, once a row.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions(spark)
+    n = min(partitions(docs), MAX_RANGES)
     quantiles = F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n) if n > 1 else F.array().cast("array<bigint>")
     ends = docs.select(key.alias("key")).agg(quantiles.alias("q"), F.min("key").alias("low")).first()
     cuts = sorted({q for q in ends["q"] or [] if q > ends["low"]})
@@ -176,10 +239,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         places = F.when(F.col("key") == ends["low"], F.array(own, place(F.lit(len(cuts)), True, 1))).otherwise(places)
     placed = rows.withColumn("p", F.explode(places)).select("id", "key", "text", "p.*").withColumn("tie", F.xxhash64("text"))
     dealt = placed.repartitionById(max(n, len(cuts) + 1), "part")
-    made = dealt.withColumn("digests", digests(F.col("text"))).withColumn("cells", sketch(F.col("digests")))
+    made = _sketched(dealt, "text", "")
     order = Window.partitionBy("part").orderBy("turn", "key", "tail", "tie")
-    following = {f"next_{c}": F.lead(c).over(order) for c in ("text", "digests", "cells")}
-    return made.withColumns(following).where(~F.col("tail")).select(F.col("id").alias(id_col), "text", "digests", "cells", *following)
+    following = {f"next_{c}": F.lead(c).over(order) for c in ("text", "blocks", "cells")}
+    return made.withColumns(following).where(~F.col("tail")).select(F.col("id").alias(id_col), "text", "blocks", "cells", *following)
 
 
 def compare_edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,16 +253,17 @@ def compare_edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     rows = rows.withColumn("edited", edited).select(
         id_col, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("root"), F.xxhash64("edited").alias("edited_root"),
-        "digests", "cells", "next_digests", "next_cells", digests(F.col("edited")).alias("edited_digests"),
+        "blocks", "cells", "next_blocks", "next_cells", "edited",
     )
-    rows = rows.withColumn("edited_cells", sketch(F.col("edited_digests")))
-    rows = rows.withColumn("diff_edited", differing(F.col("digests"), F.col("edited_digests"), F.col("cells"), F.col("edited_cells")))
-    rows = rows.withColumn("diff_next", differing(F.col("digests"), F.col("next_digests"), F.col("cells"), F.col("next_cells")))
+    rows = _sketched(rows, "edited", "edited_").drop("edited")
+    mine = (F.col("blocks"), F.col("cells"))
+    rows = rows.withColumn("diff_edited", differing(*mine, F.col("edited_blocks"), F.col("edited_cells")))
+    rows = rows.withColumn("diff_next", differing(*mine, F.col("next_blocks"), F.col("next_cells")))
     return rows.select(
         id_col, "n_chars", "edited_sha256",
-        rendered(F.size("digests"), F.col("root"), F.col("cells")).alias("fingerprint"),
-        rendered(F.size("edited_digests"), F.col("edited_root"), F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(F.col("diff_edited"), F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("diff_next"), F.col("digests"), F.col("next_digests")).alias("near_next"),
-        F.col("diff_edited").cast("long").alias("n_diff_edited"), F.col("diff_next").cast("long").alias("n_diff_next"),
+        rendered(F.size(F.flatten("blocks")), F.col("root"), F.col("cells")).alias("fingerprint"),
+        rendered(F.size(F.flatten("edited_blocks")), F.col("edited_root"), F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("diff_edited"), F.col("blocks"), F.col("edited_blocks")).alias("near_edited"),
+        likeness(F.col("diff_next"), F.col("blocks"), F.col("next_blocks")).alias("near_next"),
+        F.size("diff_edited").cast("long").alias("n_diff_edited"), F.size("diff_next").cast("long").alias("n_diff_next"),
     )

@@ -4,7 +4,9 @@ Only DataFrame operations. The dimensions describe the text alone (bytes, lines,
 point, mean line length), so equal texts always share a leaf. A split's weighted median comes from
 histograms: one pass bins every node's widest dimension, one refines the bin that holds half of
 the node's bytes, and one splits ties on the median value by a hash of the text. A histogram has
-at most nodes x bins rows however large the input.
+at most nodes x bins rows however large the input. Nodes and their cuts are small tables that rows
+are joined to, so thousands of leaves cost no more than rows in those tables; the driver only gets
+the ranges of the four dimensions.
 
 Edge cases: null texts have size 1 (0 bytes plus 1). Equal texts, repeated rows and null texts
 each form one group that is never split; if such a group outweighs a leaf's target, leaves are as
@@ -42,81 +44,54 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _cut(rows: DataFrame, value: Column, low: Column, high: Column, target: str, bins: int) -> list:
-    """For each node, the bin of ``value`` in [low, high] that holds the target weight: (node, bin, weight below)."""
+def _cut(inside: DataFrame, value: Column, low: Column, high: Column, bins: int) -> DataFrame:
+    """For each node of (shard, size, v, goal), the bin of ``value`` in [low, high] that holds the goal's weight, and the weight below it."""
     span = high - low
     at = F.when(span > 0, F.least(F.floor((value - low) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    hist = rows.groupBy("node", at.cast("int").alias("bin")).agg(F.sum("size").alias("w"), F.first(target).alias("goal"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
-    upto = Window.partitionBy("node").orderBy("bin")
-    cum = hist.withColumn("upto", F.sum("w").over(upto))
-    return cum.where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("w") < F.col("goal"))).select("node", "bin", "v_min", "v_max", (F.col("upto") - F.col("w")).alias("below"), "goal", "w").collect()
-
-
-def _case(node_values: dict[int, object], otherwise: object = None) -> Column:
-    """A literal for each node: at most one branch a node of the tree's level."""
-    out = F.lit(otherwise)
-    for node, v in node_values.items():
-        out = F.when(F.col("node") == node, F.lit(v)).otherwise(out)
-    return out
+    hist = inside.groupBy("shard", at.cast("int").alias("bin")).agg(F.sum("size").alias("w"), F.first("goal").alias("goal"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    cum = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("shard").orderBy("bin")))
+    found = cum.where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("w") < F.col("goal")))
+    return found.withColumn("under", F.col("upto") - F.col("w"))
 
 
 def leaves(rows: DataFrame, n_leaves: int, bins: int = BINS) -> DataFrame:
-    """``rows`` plus ``shard`` in 0..n_leaves-1. Three small aggregations a level, over narrow rows."""
-    node: Column = F.lit(0)
-    share = {0: n_leaves}  # leaves below each open node
-    done: dict[int, int] = {}
-    next_id, level = 1, 0
-    while any(n > 1 for n in share.values()):
-        level += 1
-        here = rows.withColumn("node", node)
-        spread = here.groupBy("node").agg(F.sum("size").alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]).collect()
-        spread = [r for r in spread if share.get(r["node"], 1) > 1]
-        if level == 1:
-            if not spread:
-                break
-            unit = {d: (spread[0][f"max_{d}"] - spread[0][f"min_{d}"]) or 1.0 for d in DIMENSIONS}
-        widest = {r["node"]: max(DIMENSIONS, key=lambda d: ((r[f"max_{d}"] - r[f"min_{d}"]) / unit[d], d)) for r in spread}
-        goal = {r["node"]: r["w"] * (share[r["node"]] // 2) / share[r["node"]] for r in spread}
-        value = F.lit(None).cast("double")
-        for d in DIMENSIONS:
-            mine = [n for n, w in widest.items() if w == d]
-            value = F.when(F.col("node").isin(mine), F.col(d)).otherwise(value) if mine else value
-        open_rows = here.where(F.col("node").isin(list(widest))).withColumn("v", value)
-        low = {r["node"]: r[f"min_{widest[r['node']]}"] for r in spread}
-        high = {r["node"]: r[f"max_{widest[r['node']]}"] for r in spread}
-        # Pass 1 and 2: narrow the range of values that holds the median.
-        below: dict[int, float] = {}
+    """``rows`` plus ``shard`` in 0..n_leaves-1. A few aggregations a level, over narrow rows.
+
+    A node is named by the first shard below it and has k of them; a split gives k // 2 to the left.
+    """
+    ends = rows.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]).first()
+    unit = {d: ((ends[f"max_{d}"] or 0.0) - (ends[f"min_{d}"] or 0.0)) or 1.0 for d in DIMENSIONS}
+    rows = rows.withColumns({"shard": F.lit(0), "k": F.lit(n_leaves)})
+    for _ in range((n_leaves - 1).bit_length()):
+        spread = rows.where(F.col("k") > 1).groupBy("shard", "k").agg(F.sum("size").alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)])
+        widest = F.greatest(*[F.struct(((F.col(f"max_{d}") - F.col(f"min_{d}")) / unit[d]).alias("span"), F.lit(d).alias("d"), F.col(f"min_{d}").alias("low"), F.col(f"max_{d}").alias("high")) for d in DIMENSIONS])
+        left = F.floor(F.col("k") / 2).cast("int")
+        nodes = spread.withColumn("x", widest).select("shard", F.col("x.d").alias("dim"), F.col("x.low").alias("low"), F.col("x.high").alias("high"), (F.col("w") * left / F.col("k")).alias("goal"))
+        value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS])
+
+        def within(nodes: DataFrame) -> DataFrame:
+            opened = rows.where(F.col("k") > 1).join(nodes, "shard").withColumn("v", value)
+            return opened.where(F.col("v").between(F.col("low"), F.col("high")))
+
+        # Pass 1 and 2 narrow the range of values that holds the median.
         for _ in range(2):
-            inside = open_rows.where((F.col("v") >= _case(low)) & (F.col("v") <= _case(high))).withColumn("goal", _case({n: goal[n] - below.get(n, 0.0) for n in goal}))
-            for r in _cut(inside, F.col("v"), _case(low), _case(high), "goal", bins):
-                low[r["node"]], high[r["node"]] = r["v_min"], r["v_max"]
-                below[r["node"]] = below.get(r["node"], 0.0) + r["below"]
-        # Pass 3: within the values left (mostly one), the hash of the text orders the rows.
-        tied = open_rows.where((F.col("v") >= _case(low)) & (F.col("v") <= _case(high))).withColumn("goal", _case({n: goal[n] - below.get(n, 0.0) for n in goal}))
-        tie = {}
-        for r in _cut(tied, F.col("tie"), F.lit(0.0), F.lit(1.0), "goal", bins):
-            near_end = r["below"] + r["w"] - r["goal"] <= r["goal"] - r["below"]  # a group is never split: take the nearer edge
-            tie[r["node"]] = (r["bin"] + (1 if near_end else 0)) / bins
-        left = (F.col("v") < _case(low)) | ((F.col("v") <= _case(high)) & (F.col("tie") < _case(tie, 0.0)))
-        child, grown = {}, {}
-        for n, k in share.items():
-            if n in widest:
-                child[n] = (next_id, next_id + 1)
-                grown[next_id], grown[next_id + 1] = k // 2, k - k // 2
-                next_id += 2
-            else:
-                done[n] = k
-        side = F.lit(None).cast("int")
-        for n, (a, b) in child.items():
-            side = F.when(F.col("node") == n, F.when(left, F.lit(a)).otherwise(F.lit(b))).otherwise(side)
-        stepped = here.drop("at").withColumn("v", value).withColumn("node", F.coalesce(side, F.col("node"))).drop("v")
-        # Written each level: the next level's conditions refer to a stored column, not to all conditions so far.
-        rows, node = written(stepped.withColumnRenamed("node", "at"), "kd-level"), F.col("at")
-        share = grown
-    done.update(share)
-    number = {n: i for i, n in enumerate(sorted(done))}
-    last = rows.withColumn("node", node)
-    return last.withColumn("shard", _case(number, 0).cast("int")).drop("node", "at")
+            nodes = written(nodes, "kd-nodes")
+            cut = _cut(within(nodes), F.col("v"), F.col("low"), F.col("high"), bins)
+            nodes = nodes.select("shard", "dim").join(cut.select("shard", F.col("v_min").alias("low"), F.col("v_max").alias("high"), (F.col("goal") - F.col("under")).alias("goal")), "shard")
+        # Pass 3: within the values left (mostly one), the hash of the text orders the rows. A group is never split: take the nearer edge.
+        nodes = written(nodes, "kd-nodes")
+        cut = _cut(within(nodes), F.col("tie"), F.lit(0.0), F.lit(1.0), bins)
+        near_end = F.col("upto") - F.col("goal") <= F.col("goal") - F.col("under")
+        cut = cut.select("shard", ((F.col("bin") + F.when(near_end, 1).otherwise(0)) / bins).alias("tie_cut"))
+        nodes = written(nodes.join(cut, "shard"), "kd-nodes")
+        placed = rows.join(nodes.select("shard", "dim", "low", "high", "tie_cut"), "shard", "left").withColumn("v", value)
+        goes_left = (F.col("v") < F.col("low")) | ((F.col("v") <= F.col("high")) & (F.col("tie") < F.col("tie_cut")))
+        is_open = F.col("k") > 1
+        shard = F.when(is_open & ~goes_left, F.col("shard") + left).otherwise(F.col("shard"))
+        k = F.when(~is_open, F.col("k")).when(goes_left, left).otherwise(F.col("k") - left)
+        # Written each level: the next level reads stored columns, not all conditions so far.
+        rows = written(placed.withColumns({"shard": shard.cast("int"), "k": k.cast("int")}).select(*rows.columns), "kd-level")
+    return rows.drop("k")
 
 
 def slots(rows: DataFrame, shard: str = "shard") -> DataFrame:

@@ -217,6 +217,43 @@ def test_fixity_of_null_and_repeated_ids(spark):
     assert got == [(0, "missing", 1), (7, "extra", 1), (7, "missing", 1), (7, "missing", 1), (8, "extra", 1)]
 
 
+def brute_kd(rows, n):
+    """Recursive weighted medians on sorted rows; ties on the median go by the hash, in 4096ths, at the edge nearer to the goal."""
+    dims = kd_sharding.DIMENSIONS
+    unit = {d: (max(r[d] for r in rows) - min(r[d] for r in rows)) or 1.0 for d in dims}
+
+    def split(rows, first, k):
+        if k == 1 or not rows:
+            return {r["id"]: first for r in rows}
+        d = max(dims, key=lambda d: ((max(r[d] for r in rows) - min(r[d] for r in rows)) / unit[d], d))
+        goal, at = sum(r["size"] for r in rows) * (k // 2) / k, 0
+        for value in sorted({r[d] for r in rows}):
+            here = [r for r in rows if r[d] == value]
+            if at + sum(r["size"] for r in here) >= goal:
+                break
+            at += sum(r["size"] for r in here)
+        for b in range(4096):
+            w = sum(r["size"] for r in here if int(r["tie"] * 4096) == b)
+            if at + w >= goal and w:
+                break
+            at += w
+        edge = b + (at + w - goal <= goal - at)
+        left = [r for r in rows if r[d] < value or (r[d] == value and r["tie"] * 4096 < edge)]
+        ids = {id(r) for r in left}
+        return split(left, first, k // 2) | split([r for r in rows if id(r) not in ids], first + k // 2, k - k // 2)
+
+    return split(rows, 0, n)
+
+
+def test_kd_shards_by_target_bytes_have_thousands_of_leaves(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), cast(1 + id % 7 AS int)) AS text")
+    rows = kd_sharding.shard(docs, "doc_id", "text", target_bytes=100).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 20_000 and len(sizes) > 3700 and max(sizes.values()) < 250
+
+
 def test_kd_shards(spark, odd, empty):
     rows = queries.op6_kd_sharding(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -232,6 +269,7 @@ def test_kd_shards(spark, odd, empty):
     assert all(len(s) == 1 for s in shard_of.values())
     total = sum(r.size for r in rows)
     assert max(sum(r.size for r in rs) for rs in by.values()) < 1.6 * total / 16
+    assert {r.doc_id: r.shard for r in rows} == brute_kd([m.asDict() for m in kd_sharding.measured(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text").collect()], 16)
     placed = kd_sharding.shard(odd, "doc_id", "text", n_shards=3).collect()
     assert len(placed) == 13 and len({r.shard for r in placed if r.doc_id in (7, 9)}) == 1
     assert kd_sharding.shard(empty, "doc_id", "text", n_shards=4).count() == 0
