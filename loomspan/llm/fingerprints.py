@@ -20,15 +20,17 @@ Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.support import let, partitions
 
-HEAD_CHARS = (32, 256)  # up to the first in pieces of 8, up to the second in pieces of 32 and more
-HEAD_PIECES = (r"[^\n]{1,8}", r"[^\n]{32,64}?(?=\s|$)|[^\n]{1,64}")
-PIECES = r"[^\n]{160,480}?(?:[.!?](?=\s|$)|[\u3002\uff01\uff1f\uff61])|[^\n]{160,480}?[b-gB-G0-4,;:)}](?=\s)|[^\n]{1,480}"
-LOAD, WIDTHS = 12, (16, 64, 512)
+HEAD_CHARS = (16, 256)  # up to the first in pieces of 8, up to the second in pieces of 40 and more
+HEAD_PIECES = (r"[^\n]{1,8}", r"[^\n]{40,80}?(?=\s|$)|[^\n]{1,80}")
+PIECES = r"[^\n]{200,600}?(?:[.!?](?=\s|$)|[\u3002\uff01\uff1f\uff61])|[^\n]{200,600}?[b-gB-G0-4,;:)}](?=\s)|[^\n]{1,600}"
+LOAD, WIDTHS = 8, (16, 64, 512)
 MAX_DEPTH = 10  # 4**10 blocks: a string holds no more pieces
 ROUNDS = 24
 MAX_RANGES = 8192  # a row finds its range by looking at every cut
@@ -62,14 +64,14 @@ def depth_of(n: Column) -> Column:
 
 def blocks(keys: Column, depth: Column) -> Column:
     """Digests dealt to 4**depth blocks by their top bits, two bits a level: each digest is looked at four times a level."""
-    def level(j: int, dealt: Column) -> Column:
+    def finer(dealt: Column, j: Column) -> Column:
         def quarter(b: Column) -> Column:
             return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.filter(b, lambda k: _shifted(k, 64 - 2 * j).bitwiseAND(F.lit(3).cast("bigint")) == i))
 
-        finer = F.when(depth >= j, F.flatten(F.transform(dealt, quarter))).otherwise(dealt)
-        return finer if j == MAX_DEPTH else let(finer, lambda x: level(j + 1, x))
+        return F.flatten(F.transform(dealt, quarter))
 
-    return F.when(depth == 0, F.array(keys)).otherwise(let(F.array(keys), lambda x: level(1, x)))
+    levels = F.slice(F.array(*[F.lit(j) for j in range(1, MAX_DEPTH + 1)]), F.lit(1), depth)
+    return F.aggregate(levels, F.array(keys), finer)
 
 
 def _cell(c: Column, k: Column, h: Column) -> Column:
@@ -90,11 +92,14 @@ def sketch(keys: Column, width: int = WIDTHS[0]) -> Column:
     xor = lambda xs, f: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(f(k)))
 
     def sub_table(j: int) -> Column:
-        def cell(i: Column) -> Column:
-            mine = F.filter(keys, lambda k: _at(k, j, width) == i)
-            return let(mine, lambda ks: F.when(F.size(ks) == 0, _zero()).otherwise(_cell(F.size(ks), xor(ks, lambda k: k), xor(ks, F.xxhash64))))
+        def cells(hit: Column) -> Column:
+            def cell(i: Column) -> Column:
+                mine = F.filter(keys, lambda k: _at(k, j, width) == i)
+                return F.when(F.array_contains(hit, i), let(mine, lambda ks: _cell(F.size(ks), xor(ks, lambda k: k), xor(ks, F.xxhash64)))).otherwise(_zero())
+
+            return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), cell)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+        return let(F.transform(keys, lambda k: _at(k, j, width)), cells)
 
     return F.array(*[sub_table(j) for j in range(3)])
 
@@ -108,7 +113,8 @@ def peel(tables: Column, width: int = WIDTHS[0]) -> Column:
 
     Each step takes the pure cells of one sub-table (a count of 1 or -1 whose check hash fits its
     digest). They hold different digests; their cells empty, and the digests leave the other two
-    sub-tables. The three take turns: ``t`` is the one at hand, ``u`` and ``v`` come next.
+    sub-tables. The three take turns: ``t`` is the one at hand, ``u`` and ``v`` come next. Often every
+    digest is alone in some cell: then the pure cells of all three hold as much as the first, and are all.
     """
     def pure(c: Column) -> Column:
         return (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"]) == c["h"])
@@ -117,10 +123,14 @@ def peel(tables: Column, width: int = WIDTHS[0]) -> Column:
         return F.struct(t.alias("t"), u.alias("u"), v.alias("v"), keys.alias("keys"), idle.alias("idle"))
 
     def less(table: Column, found: Column, j: Column) -> Column:
-        def one(cell: Column, i: Column) -> Column:
-            return F.aggregate(found, cell, lambda c, f: F.when(_at(f["k"], j, width) == i, _cell(c["c"] - f["c"], c["k"].bitwiseXOR(f["k"]), c["h"].bitwiseXOR(f["h"]))).otherwise(c))
+        def one(cell: Column, i: Column, hit: Column) -> Column:
+            without = F.aggregate(found, cell, lambda c, f: F.when(_at(f["k"], j, width) == i, _cell(c["c"] - f["c"], c["k"].bitwiseXOR(f["k"]), c["h"].bitwiseXOR(f["h"]))).otherwise(c))
+            return F.when(F.array_contains(hit, i.cast("bigint")), without).otherwise(cell)
+
+        return let(F.transform(found, lambda f: _at(f["k"], j, width)), lambda hit: F.transform(table, lambda cell, i: one(cell, i, hit)))
 
-        return F.transform(table, one)
+    def total(cells: Column) -> Column:
+        return F.aggregate(cells, _zero(), lambda s, c: _cell(s["c"] + c["c"], s["k"].bitwiseXOR(c["k"]), s["h"].bitwiseXOR(c["h"])))
 
     def step(at: Column, r: Column) -> Column:
         def without(found: Column) -> Column:
@@ -130,10 +140,16 @@ def peel(tables: Column, width: int = WIDTHS[0]) -> Column:
 
         return F.when(at["idle"] >= 3, at).otherwise(let(F.filter(at["t"], pure), without))
 
+    return let(tables, lambda given: _peeled(given, pure, total, state, step))
+
+
+def _peeled(tables: Column, pure: Callable, total: Callable, state: Callable, step: Callable) -> Column:
     start = state(*[F.get(tables, F.lit(j)) for j in range(3)], F.array().cast("array<bigint>"), F.lit(0))
     end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
     empty = lambda t: F.forall(t, lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-    return let(end, lambda e: F.when(empty(e["t"]) & empty(e["u"]) & empty(e["v"]), e["keys"]))
+    peeled = let(end, lambda e: F.when(empty(e["t"]) & empty(e["u"]) & empty(e["v"]), e["keys"]))
+    alone = F.array_distinct(F.filter(F.flatten(tables), pure))
+    return let(alone, lambda cs: F.when(total(cs) == total(F.get(tables, F.lit(0))), F.transform(cs, lambda c: c["k"])).otherwise(peeled))
 
 
 def block_sketch(keys: Column) -> Column:
@@ -174,7 +190,7 @@ def differing(a_blocks: Column, a_cells: Column, b_blocks: Column, b_cells: Colu
     """Digests in one of two fingerprints only. The one with fewer blocks gives back its digests, which are dealt and sketched anew."""
     def at_depth(dealt: Column, cells: Column, most: Column) -> Column:
         pair = lambda k, c: F.struct(k.alias("keys"), c.alias("cells"))
-        anew = let(blocks(F.flatten(dealt), F.round(F.log2(most.cast("double")) / 2).cast("int")), lambda x: F.zip_with(x, sketches(x), pair))
+        anew = let(blocks(F.flatten(dealt), F.round(F.log2(most.cast("double")) / 2).cast("int")), lambda x: F.zip_with(x, F.transform(x, sketch), pair))
         return F.when(F.size(dealt) == most, F.zip_with(dealt, cells, pair)).otherwise(anew)
 
     most = F.greatest(F.size(a_blocks), F.size(b_blocks))

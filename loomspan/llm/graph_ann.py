@@ -9,7 +9,8 @@ Queries come in blocks; each block runs a beam search by the inner product itsel
 a query's best of all shards, scored on the original vectors, are its result. All in double precision.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
-nor do rows with a null id. Rows with one id and several vectors stand for the least of these.
+nor do rows with a null id. Of rows with one id and several vectors each is a candidate, and the id
+counts once, at its best score; as a query the id stands for the least of them.
 Vectors are only compared with vectors of the same length. Equal vectors are one node that knows
 its k+1 least ids, which are all that can be among k nearest. Columns not named are not read.
 """
@@ -30,17 +31,18 @@ SHARDS_A_UNIT = 4  # searched in one task, which returns their best together
 DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 QUERY_BLOCK = 512
+BLOCKS_TOGETHER = 2  # query blocks that share a copy of a unit
 ENTRIES = 32  # of a search in a shard
 LENGTH_RATIO = 4  # of the longest to the shortest vector that a shard may hold
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, v array<double>)``: one row an id, invalid vectors left out."""
+    """``(id, v array<double>)``: the distinct rows, invalid vectors left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.where(finite & some).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(finite & some).distinct()
 
 
 def shards(nodes: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
@@ -199,7 +201,7 @@ def build(nodes: DataFrame, k: int, *, shard_vectors: int = SHARD_VECTORS, degre
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "start": [start], "vectors": [v.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [np.concatenate(ids).tobytes()], "id_ends": [ends.tobytes()]})
 
     # A shard is seconds of work on little data: an explicit number of partitions keeps shards apart.
-    dealt = shards(nodes, k, shard_vectors).repartition(partitions(nodes.sparkSession), "dim", "shard")
+    dealt = shards(nodes, k, shard_vectors).repartition(partitions(nodes), "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, start int, vectors binary, graph binary, ids binary, id_ends binary")
 
 
@@ -207,14 +209,17 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
     """``(query_id, rank, id, score)``: the k nearest found for each query (id, v), its own id excluded.
 
     Query blocks go to every unit of a few shards of their vectors' length. Each pair of a unit and a
-    block is bounded work; it merges its shards' finds and returns at most k rows a query.
+    block is bounded work in a group of its own; it merges its shards' finds and returns at most k rows
+    a query. A unit is copied once for BLOCKS_TOGETHER blocks, which keeps tasks apart as queries grow.
     """
-    n = partitions(queries.sparkSession)
-    n_blocks = max(1, math.ceil(queries.count() / block))
-    packed = queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")}).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    packed = written(_packed(queries.groupBy("id").agg(F.min("v").alias("v")), block), "ann-queries")
     units = index.withColumn("unit", F.floor(F.col("shard") / SHARDS_A_UNIT).cast("int"))
     to_units = packed.join(units.groupBy("dim").agg(F.collect_set("unit").alias("unit_list")), "dim").withColumn("unit", F.explode("unit_list")).drop("unit_list")
-    met = units.repartition(n, "dim", "unit").join(to_units.repartition(n, "dim", "unit"), ["dim", "unit"])
+    groups = packed.groupBy("dim").agg(F.collect_set("lot").alias("lots"))
+    copies = units.join(groups, "dim").withColumn("lot", F.explode("lots")).drop("lots")
+    keys = ["dim", "unit", "lot"]
+    n = partitions(index)
+    met = copies.repartition(n, *keys).join(to_units.repartition(n, *keys), keys)
 
     def beam_search(key: tuple, shards_of: pd.DataFrame) -> pd.DataFrame:
         out: dict[int, list] = {}
@@ -223,18 +228,36 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int = SEARCH_B
             graph = np.frombuffer(row.graph, np.int32).reshape(len(v), -1).astype(np.int64)
             ends = np.frombuffer(row.id_ends, np.int32)
             ids = np.split(np.frombuffer(row.ids, np.int64), ends[:-1])
-            q_ids = [q["id"] for q in row.queries]
-            q = np.array([q["v"] for q in row.queries], np.float64)
+            q_ids = np.frombuffer(row.q_ids, np.int64).tolist()
+            q = np.frombuffer(row.q_vectors, np.float64).reshape(-1, row.dim)
             points = scaled(v)
             each_scaled = np.stack([scaled(x) for x in q])
             found, _ = _nearest(graph, points, each_scaled, entries(points, row.start), max(beam, k + 1, ENTRIES), inner=True)
             for i, q_id in enumerate(q_ids):
                 near = found[i][found[i] >= 0]
                 score = (v[near] * q[i]).sum(1)
-                each = [(float(s), int(c)) for s, node in zip(score, near) for c in ids[node] if c != q_id]
-                out[q_id] = sorted(out.get(q_id, []) + each, key=lambda x: (-x[0], x[1]))[:k]
-        return pd.DataFrame([(q_id, c, s) for q_id, best in out.items() for s, c in best], columns=["query_id", "id", "score"])
-
-    hits = met.groupBy("dim", "unit", "block").applyInPandas(beam_search, "query_id long, id long, score double")
+                best = dict(out.get(q_id, []))  # an id counts once, at its best
+                for s, node in zip(score.tolist(), near):
+                    for c in ids[node].tolist():
+                        if c != q_id and s > best.get(c, -math.inf):
+                            best[c] = s
+                out[q_id] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        return pd.DataFrame([(q_id, c, s) for q_id, best in out.items() for c, s in best], columns=["query_id", "id", "score"])
+
+    hits = met.groupBy(*keys, "block").applyInPandas(beam_search, "query_id long, id long, score double")
+    hits = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _packed(queries: DataFrame, block: int) -> DataFrame:
+    """``(dim, lot, block, q_ids, q_vectors)``: queries of one length as bytes, at most ``block`` to a row; a lot is about BLOCKS_TOGETHER blocks."""
+    lots = max(1, math.ceil(queries.count() / (block * BLOCKS_TOGETHER)))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [rows.iloc[at : at + block] for at in range(0, len(rows), block)]
+        packed = lambda f: [f(p).tobytes() for p in parts]
+        return pd.DataFrame({"dim": key[0], "lot": key[1], "block": range(len(parts)), "q_ids": packed(lambda p: p["id"].to_numpy(np.int64)), "q_vectors": packed(lambda p: np.stack(p["v"].to_numpy()).astype(np.float64))})
+
+    dealt = queries.withColumns({"dim": F.size("v"), "lot": F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int")})
+    return dealt.groupBy("dim", "lot").applyInPandas(pack, "dim int, lot int, block int, q_ids binary, q_vectors binary")

@@ -36,7 +36,7 @@ TOKENS = 64  # MinHash tokens of a set
 BUCKET, DEPTH, RECALL = 128, 4, 0.999
 BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1024  # of one side of an exact comparison
 WORDS_HELD = 1 << 17  # word hashes that a worker remembers
-FILTER_BITS = 1 << 24  # of the filter that keeps unlinked texts out of the shuffle
+FILTER_BITS = (1 << 20, 1 << 28)  # least and most (32 MB) of the filter that keeps unlinked texts out of the shuffle; 16 a linked set
 _NULL_ID = -(1 << 63)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _WORD_HASH: dict[str, int] = {}
@@ -192,7 +192,8 @@ def candidates(sets: DataFrame, *, threshold: float = THRESHOLD, tokens: int = T
     leaves = None
     for level in range(1, depth + 1):
         open_rows = written(open_rows, "paths")
-        size = open_rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        # Written by itself, so that the join deals out rows alone and a hot bucket can be split.
+        size = written(open_rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "bucket-sizes")
         sized = written(open_rows.join(size, "path"), "path-sizes")
         small = sized.where(F.col("size") <= bucket).select("path", "sid")
         leaves = small if leaves is None else leaves.unionByName(small)
@@ -283,17 +284,19 @@ def _intersections(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def _may_be_in(keys: DataFrame, col: str) -> Callable:
-    """A test that passes every value of ``col`` and few others: one bit a value in FILTER_BITS bits, whatever the input."""
-    place = F.col(col).bitwiseAND(FILTER_BITS - 1)
+    """A test that passes every value of ``col`` and, while there are at most 2**24 of them, few others: one bit a value."""
+    least, most = FILTER_BITS
+    n_bits = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
+    place = F.col(col).bitwiseAND(n_bits - 1)
     words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(n_bits // 64, np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def test(values: pd.Series) -> pd.Series:
-        at = values.to_numpy() & (FILTER_BITS - 1)
+        at = values.to_numpy() & (n_bits - 1)
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     return test
@@ -371,8 +374,11 @@ def join(docs: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, thr
     counts = exact.groupBy("sid").agg(F.sum("links").alias("n_links"))
     whole = components(exact.where(F.col("sid") != F.col("to")).select(F.col("sid").alias("a"), F.col("to").alias("b")))
     of_set = heads.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = of_set.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.row").alias("class_row"))
+    # Written, so that the joins below deal out rows alone: a class or a set with a third of all rows can be split.
+    of_set = written(of_set, "set-roots")
+    named = written(of_set.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.row").alias("class_row")), "class-names")
     of_set = of_set.join(named, "root").join(counts, "sid", "left").select("s1", "s2", "class_id", "class_row", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_equal"))
+    of_set = written(of_set, "set-results")
     rows = filled.select("id", "row", "s1", "s2").join(of_set, ["s1", "s2"]).drop("s1", "s2")
     alone = signed.where(F.col("n") == 0).select("id", "row", F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_equal"))
     named_null = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)

@@ -13,10 +13,11 @@ texts are counted piece by piece, whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from loomspan.llm.support import text_batches, written
 
 PROFILE = 400  # grams of a profile
 UNDETERMINED = "und"
-MAX_LANGUAGES = 10_000  # profiles are broadcast: at most PROFILE rows each
+LANGUAGES_A_PASS = 256  # whose profiles are broadcast together, at most PROFILE rows each
 _PIECE = 1 << 20
 _LETTER: list[np.ndarray] = []
 
@@ -121,14 +122,29 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, *, profile: int = PROFI
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *, profile: int = PROFILE) -> DataFrame:
-    """``(id, lang_pred, score, has_letter)``; score is 1 less the nearest distance over the greatest possible one."""
-    spark = docs.sparkSession
+    """``(id, lang_pred, score, has_letter)``; score is 1 less the nearest distance over the greatest possible one.
+
+    Texts pass the profiles of LANGUAGES_A_PASS languages at a time, in the order of their names, so that
+    what a task holds does not grow with their number.
+    """
     kept = written(profiles, "language-profiles")
-    n_langs = kept.select("lang").distinct().count()
-    if n_langs > MAX_LANGUAGES:
-        raise ValueError(f"{n_langs} languages; profiles are broadcast for at most {MAX_LANGUAGES}")
+    names = Window.orderBy("lang")  # one row a language
+    numbered = written(kept.select("lang").distinct().withColumn("turn", F.floor((F.row_number().over(names) - 1) / LANGUAGES_A_PASS)), "languages")
+    passes = numbered.agg(F.max("turn")).first()[0]
+    kind = dict(docs.dtypes)[id_col]
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("has_letter"))
+    last = passes if passes is not None else 0
+    for turn in range(last + 1):
+        mine = kept.join(numbered.where(F.col("turn") == turn), "lang").select("lang", "gram", "rank")
+        text = "text string, " if turn < last else ""  # for the passes to come
+        found = text_batches(found).mapInArrow(_nearer(_slab(mine), profile, turn < last), f"id {kind}, {text}lang_pred string, score double, has_letter boolean")
+    return found.select(F.col("id").alias(id_col), F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), "score", "has_letter")
+
+
+def _slab(profiles: DataFrame) -> Broadcast:
+    """Names, grams and ranks of at most LANGUAGES_A_PASS profiles."""
     by_lang: dict[str, list] = {}
-    for lang, gram, rank in kept.toLocalIterator():  # n_langs * profile rows, checked above
+    for lang, gram, rank in profiles.toLocalIterator():
         by_lang.setdefault(lang, []).append((gram, rank))
     langs = sorted(by_lang)
     known = np.unique(np.array([g for x in by_lang.values() for g, _ in x], np.int64))
@@ -136,18 +152,19 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
     for i, lang in enumerate(langs):
         g, r = np.array(by_lang[lang], np.int64).T
         ranks[i, np.searchsorted(known, g)] = r
-    shared = spark.sparkContext.broadcast((langs, known, ranks))
+    return profiles.sparkSession.sparkContext.broadcast((langs, known, ranks))
+
 
+def _nearer(shared: Broadcast, profile: int, with_text: bool) -> Callable:
+    """A pass over texts: the language of this slab, if it is nearer than what was found before it. Earlier names win ties."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, known, ranks = shared.value
         for batch in batches:
-            pred, score, letter = [], [], []
-            for text in batch.column(1):
+            pred, score, letter = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for i, text in enumerate(batch.column(1)):
                 mine = top(*grams(text.as_py() or ""), profile)
                 letter.append(len(mine) > 0)
                 if not len(mine) or not langs:
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
                     continue
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 at = np.where(known[at] == mine, at, len(known))
@@ -155,10 +172,11 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
                 place = np.arange(1, len(mine) + 1)
                 away = np.where(theirs < 0, profile, np.minimum(np.abs(theirs - place), profile)).sum(1)
                 best = int(away.argmin())
-                pred.append(langs[best])
-                score.append(1.0 - float(away[best]) / (profile * len(mine)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letter, pa.bool_())], ["id", "lang_pred", "score", "has_letter"])
-
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInArrow(run, f"id {kind}, lang_pred string, score double, has_letter boolean").withColumnRenamed("id", id_col)
+                near = 1.0 - float(away[best]) / (profile * len(mine))
+                if pred[i] is None or near > score[i]:
+                    pred[i], score[i] = langs[best], near
+            text = {"text": batch.column(1)} if with_text else {}
+            out = {"id": batch.column(0), **text, "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "has_letter": pa.array(letter, pa.bool_())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return run

@@ -1,10 +1,13 @@
 """Mix sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents are laid in a shuffled order (a hash of the id) into a stream of tokens,
-repeated where its target exceeds its size, and cut into equal blocks. Slot s of the schedule has
-the golden-ratio point frac((s+1) * phi), mapped through the cumulative target weights to a source;
+repeated where its target exceeds its size, and cut into blocks of equal length. Slot s of the schedule
+has the golden-ratio point frac((s+1) * phi), mapped through the cumulative target weights to a source;
 its rank among that source's slots names the block. Every source is within a few blocks of its
-target after any number of slots; one closing slot a source takes what is left to the target.
+target after any number of slots; closing slots take what is left to each target.
+
+Sources are a table as any other: they are numbered, weighed and matched to slots by joins, however
+many there are. The driver gets a few sums.
 
 Edge cases: null texts and texts without a token have size 0 and are never taken; a null source is
 a source of its own, last in order; null and repeated ids are ordinary rows (identical rows share
@@ -14,119 +17,139 @@ not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomspan.llm.support import written
+from loomspan.llm.support import partitions, written
 
 WEIGHTS, SHARE, MAX_REPEAT = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_TOKENS, MIN_SLOTS = 2048, 1 << 16
+BLOCK_TOKENS = 512
 BUCKET_ROWS = 1 << 12
-MAX_SOURCES = 100_000  # the table of sources is handled on the driver
 _PHI32 = 2654435769  # 2**32 over the golden ratio, odd
 
 
-@dataclass(frozen=True)
-class Share:
-    source: str | None
-    size: int
-    rows: int
-    target: float
-
-
 def word_count(text: Column) -> Column:
     """Runs of anything but space and \\x09-\\x0D."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Targets in proportion to the weights, none above ``most`` times its size; the excess is reshared."""
-    targets, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = total
-    while free and left > 0:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in free if weights[i] * unit >= most * sizes[i]]
-        if not full:
-            for i in free:
-                targets[i] = weights[i] * unit
+def _upto(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``df`` plus the sum of ``value`` over the rows before, within ``keys``, in the order of ``order``."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(value).over(w) - F.col(value))
+
+
+def _ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` written in ranges of ``order``, numbered by ``range``."""
+    return written(df.repartitionByRange(partitions(df), *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+
+
+def _running(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``df`` plus the sum of ``value`` over all rows before: within ranges of the order, and of the ranges (one row each)."""
+    ranged = _ranged(df, *order)
+    inside = ranged.withColumn(name, F.sum(value).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value))
+    sums = _upto(ranged.groupBy("range").agg(F.sum(value).alias("n")).withColumn("all", F.lit(1)), ["all"], "range", "n", "before").select("range", "before")
+    return inside.join(sums, "range").withColumn(name, F.col(name) + F.col("before")).drop("range", "before")
+
+
+def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT) -> DataFrame:
+    """``(src, source, rows, source_size, target)``: sources by code point, null last, weigh in turn.
+
+    Targets are in proportion to the weights and add up to ``share`` of all sizes; none is above ``most``
+    times its size, the excess is reshared among the others until none is. A round is one sum over the
+    sources that are not full yet.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).withColumn("one", F.lit(1).cast("long"))
+    ordered = _running(sums, [F.col("source").asc_nulls_last()], "one", "src").drop("one")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    found = written(ordered.withColumn("w", F.get(turn, (F.col("src") % len(weights)).cast("int"))), "mix-sources")
+    left = share * (found.agg(F.sum("source_size")).first()[0] or 0)
+    free = (F.col("source_size") > 0)
+    unit = 0.0
+    while left > 0:
+        w = found.where(free).agg(F.sum("w")).first()[0]
+        if not w:
+            break
+        unit = left / w
+        full = F.col("w") * unit >= most * F.col("source_size")
+        now = found.where(free & full).agg(F.sum("source_size")).first()[0]
+        if not now:
             break
-        for i in full:
-            targets[i] = most * sizes[i]
-            left -= targets[i]
-        free = [i for i in free if i not in set(full)]
-    return targets
-
-
-def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT) -> list[Share]:
-    """Sizes and targets by source, ordered by code point, null last; one row a source comes to the driver."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python orders strings by code point
-    sizes = [r["size"] for r in found]
-    targets = fill(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most)
-    return [Share(r["source"], r["size"], r["rows"], t) for r, t in zip(found, targets)]
-
-
-def schedule(spark, plan: list[Share], block: int) -> DataFrame:
-    """``(src, rank, tokens)``: the slots, each a block of a source's stream."""
-    total = sum(s.target for s in plan)
-    n_slots = int(total // block)
-    ends, at = [], 0.0
-    for s in plan:
-        at += s.target / total if total else 0.0
-        ends.append(at)
-    slot = spark.range(n_slots).withColumnRenamed("id", "slot")
-    point = (((F.col("slot") + 1) % (1 << 31)) * F.lit(_PHI32) % (1 << 32)) / F.lit(float(1 << 32))
-    bounds = F.array(*[F.lit(x) for x in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<double>")
-    src = F.size(F.filter(bounds, lambda x: x <= F.col("u"))).cast("int")
-    slots = slot.withColumn("u", point).withColumn("src", src).withColumn("chunk", F.floor(F.col("slot") / BUCKET_ROWS))
-    inside = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")))
-    n = slots.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("chunk")) - F.col("n")).drop("n")
-    ranked = inside.join(before, ["src", "chunk"]).select("src", (F.col("r") + F.col("before") - 1).alias("rank"))
-    goal = spark.createDataFrame([(i, int(s.target)) for i, s in enumerate(plan)], "src int, goal long")
-    whole = ranked.join(F.broadcast(goal), "src").withColumn("start", F.col("rank") * block).where(F.col("start") < F.col("goal"))
-    taken = whole.select("src", "rank", F.least(F.lit(block), F.col("goal") - F.col("start")).cast("long").alias("tokens"))
-    # Closing slots: from the last whole block of a source to its target, block by block (a few at most).
-    counts = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    rest = F.broadcast(goal).join(F.broadcast(counts), "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("goal") > F.col("n") * block)
-    last = F.floor((F.col("goal") - 1) / block)
-    closing = rest.select("src", "goal", F.explode(F.sequence(F.col("n"), last)).alias("rank")).select("src", "rank", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).cast("long").alias("tokens"))
-    return taken.unionByName(closing)
+        left -= most * now
+        free = free & ~full
+    target = F.when(F.col("source_size") == 0, 0.0).when(free & (left > 0), F.col("w") * unit).otherwise(most * F.col("source_size"))
+    return written(found.select("src", "source", "rows", "source_size", target.cast("double").alias("target")), "mix-targets")
 
 
-def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
-    """``(id, row, source, size, source_size, target, taken)`` for each row of ``docs``; ``row`` hashes the text.
+def schedule(plan: DataFrame, block: int) -> DataFrame:
+    """``(slot, src, rank, tokens)``: the slots, each a block of a source's stream; closing slots follow in the order of the sources.
 
-    Two narrow shuffles of ids and sizes (by source and hash bucket; by source and block), none of
-    text. A hot source spreads over its hash buckets and blocks.
+    Slots meet sources by equal cells of the unit interval, about one a source, then by the exact bounds.
     """
-    spark = docs.sparkSession
+    spark = plan.sparkSession
+    facts = plan.where("target > 0").agg(F.sum("target"), F.count(F.lit(1))).first()
+    total, n_sources = facts[0] or 0.0, facts[1]
+    n_slots, cells = int(total // block), max(1, n_sources)
+    laid = _running(plan.where("target > 0"), ["src"], "target", "low").withColumns({"low": F.col("low") / (total or 1.0), "high": (F.col("low") + F.col("target")) / (total or 1.0)})
+    in_cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    last = F.col("high") >= 1 - 1e-9
+    laid = written(laid.withColumn("high", F.when(last, 2.0).otherwise(F.col("high"))).select("src", "target", "low", "high", F.explode(F.sequence(in_cell(F.col("low")), in_cell(F.col("high")))).alias("cell")), "mix-cells")
+    point = (((F.col("id") + 1) % (1 << 31)) * F.lit(_PHI32) % (1 << 32)) / F.lit(float(1 << 32))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", in_cell(F.col("u")))
+    met = slots.join(laid, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "src", "target", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
+    inside = met.withColumn("r", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")))
+    before = _upto(met.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n")), ["src"], "chunk", "n", "before")
+    ranked = inside.join(before, ["src", "chunk"]).select("slot", "src", F.floor("target").alias("goal"), (F.col("r") + F.col("before") - 1).alias("rank"))
+    taken = ranked.where(F.col("rank") * block < F.col("goal")).select("slot", "src", "rank", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).cast("long").alias("tokens"))
+    # From the last whole block of a source to its target, block by block (a few at most).
+    counts = before.groupBy("src").agg(F.sum("n").alias("n"))
+    rest = plan.where("target > 0").select("src", F.floor("target").alias("goal")).join(counts, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("goal") > F.col("n") * block)
+    closing = rest.select("src", "goal", F.explode(F.sequence(F.col("n"), F.floor((F.col("goal") - 1) / block))).alias("rank"))
+    return taken.unionByName(closing.select((F.col("src") + n_slots).alias("slot"), "src", "rank", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).cast("long").alias("tokens")))
+
+
+def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The rows, each with its place in its source's stream: ``(src, bucket, nth, id, row, source, size, source_size, target, start)``; and the sources."""
     sized = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     plan = shares(sized, weights, share, most)
-    total = sum(s.target for s in plan)
-    block = int(min(block_tokens, max(1, total // MIN_SLOTS)))
-    facts = spark.createDataFrame([(i, s.source, s.size, s.target, max(1, -(-s.rows // BUCKET_ROWS))) for i, s in enumerate(plan)], T.StructType([T.StructField("src", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("buckets", T.IntegerType())]))
-    # MAX_SOURCES rows at most.
-    rows = sized.withColumnRenamed("source", "own_source").join(F.broadcast(facts), F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
+    facts = plan.select("src", F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"))
+    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     mixed = F.xxhash64(F.lit(seed), "id", "row")
     rows = rows.withColumn("h", mixed).withColumn("bucket", F.floor(F.shiftrightunsigned("h", 32) * F.col("buckets") / F.lit(float(1 << 32))))
-    order = Window.partitionBy("src", "bucket").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(order)).withColumn("nth", F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "id", "row")))
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).drop("n")
+    order = Window.partitionBy("src", "bucket").orderBy("h", "id", "row")
+    rows = rows.withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "nth": F.row_number().over(order)})
+    before = _upto(rows.groupBy("src", "bucket").agg(F.sum("size").alias("n")), ["src"], "bucket", "n", "before").drop("n")
     laid = rows.join(before, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
-    laid = written(laid.select("src", "bucket", "nth", "id", "row", "source", "size", "source_size", "target", "start"), "mix-streams")
-    # A document's pieces: the blocks it overlaps in each pass over its source's stream.
-    passes = laid.where(F.col("size") > 0).select("src", "bucket", "nth", "size", "target", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.lit(most)).cast("int") - 1), lambda p: F.col("start") + p * F.col("source_size"))).alias("a"))
-    passes = passes.where(F.col("a") < F.col("target"))
+    return written(laid.select("src", "bucket", "nth", "id", "row", "source", "size", "source_size", "target", "start"), "mix-streams"), plan
+
+
+def drawn(laid: DataFrame, plan: DataFrame, *, block: int = BLOCK_TOKENS, most: float = MAX_REPEAT) -> DataFrame:
+    """``(slot, src, rank, bucket, nth, first, n)``: the pieces of documents in each slot of the mix; ``first`` is a piece's first token in its document."""
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1)), lambda p: F.col("start") + p * F.col("source_size"))).alias("a")
+    passes = laid.where(F.col("size") > 0).select("src", "bucket", "nth", "size", "target", place).where(F.col("a") < F.col("target"))
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))))
-    slots = schedule(spark, plan, block)
-    drawn = pieces.join(slots, ["src", "rank"]).select("src", "bucket", "nth", (F.least(F.col("a") + F.col("size"), F.col("rank") * block + F.col("tokens")) - F.greatest("a", F.col("rank") * block)).alias("n"))
-    taken = drawn.where(F.col("n") > 0).groupBy("src", "bucket", "nth").agg(F.sum("n").alias("taken"))
+    first = F.greatest("a", F.col("rank") * block)
+    n = F.least(F.col("a") + F.col("size"), F.col("rank") * block + F.col("tokens")) - first
+    return pieces.join(schedule(plan, block), ["src", "rank"]).select("slot", "src", "rank", "bucket", "nth", (first - F.col("a")).alias("first"), n.alias("n")).where(F.col("n") > 0)
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, source_col: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+    """``(slot, source, id, row, first, n)``: the mix in order: of each slot, which words of which documents it holds."""
+    laid, plan = streams(docs, id_col, text_col, source_col, weights=weights, share=share, most=most, seed=seed)
+    out = drawn(laid, plan, block=block_tokens, most=most).join(laid.select("src", "bucket", "nth", "source", "id", "row"), ["src", "bucket", "nth"])
+    return out.select("slot", "source", F.col("id").alias(id_col), "row", "first", "n")
+
+
+def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+    """``(id, row, source, size, source_size, target, taken)`` for each row of ``docs``; ``row`` hashes the text.
+
+    Two narrow shuffles of ids and sizes (by source and hash bucket; by source and block), none of
+    text. A hot source spreads over its hash buckets and blocks; only the sums of its buckets, one row
+    for BUCKET_ROWS documents, pass one task.
+    """
+    laid, plan = streams(docs, id_col, text_col, source_col, weights=weights, share=share, most=most, seed=seed)
+    taken = drawn(laid, plan, block=block_tokens, most=most).groupBy("src", "bucket", "nth").agg(F.sum("n").alias("taken"))
     out = laid.join(taken, ["src", "bucket", "nth"], "left")
     return out.select(F.col("id").alias(id_col), "row", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -48,7 +48,8 @@ TASK_BYTES = 1 << 27  # of input to a partition that is dealt by an explicit num
 def partitions(df: DataFrame) -> int:
     """Partitions for dealing out ``df`` (a table, or narrow steps over one): the session's number, more if it is large."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), 1 << 20))
+    known = size if size < 1 << 60 else 0  # Spark takes rows that it can't size for endless
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // TASK_BYTES), 1 << 20))
 
 
 TEXT_ROWS = 1024  # whole texts in one Arrow batch

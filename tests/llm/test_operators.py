@@ -46,13 +46,18 @@ def test_query_equals_its_sql(spark, name):
     check(spark, queries.QUERIES, queries.ORACLES, name, SF)
 
 
-def test_fingerprints_equal_brute_force(spark, odd, empty):
-    def pieces(t):
-        return {m.group(0) for m in re.finditer(r"[^\n]{160,}?[.!?](?=\s|$)|[^\n]+", t)}
+def brute_pieces(t):
+    """Distinct pieces of a text by the documented cuts."""
+    out = re.findall(r"[^\n]{1,8}", t[:16]) + re.findall(r"[^\n]{40,80}?(?=\s|$)|[^\n]{1,80}", t[16:256])
+    return set(out + re.findall(r"[^\n]{200,600}?(?:[.!?](?=\s|$)|[\u3002\uff01\uff1f\uff61])|[^\n]{200,600}?[b-gB-G0-4,;:)}](?=\s)|[^\n]{1,600}", t[256:]))
+
 
-    def like(a, b):
-        return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+def brute_like(a, b):
+    n = lambda ps: sum(map(len, ps))
+    return 1 - n(a ^ b) / (n(a) + n(b)) if a or b else 1.0
 
+
+def test_fingerprints_equal_brute_force(spark, odd, empty):
     docs = duck(SF, "SELECT doc_id, text FROM documents ORDER BY 1")
     got = {r.doc_id: r for r in queries.op1_fingerprints(spark, SF).collect()}
     texts = list(docs.text)
@@ -61,21 +66,36 @@ def test_fingerprints_equal_brute_force(spark, odd, empty):
         edited = t[: len(t) - q] + nxt[:q]
         r = got[k]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
-        assert r.near_edited == pytest.approx(like(pieces(t), pieces(edited))) and r.near_next == pytest.approx(like(pieces(t), pieces(nxt)))
+        assert r.near_edited == pytest.approx(brute_like(brute_pieces(t), brute_pieces(edited))) and r.near_next == pytest.approx(brute_like(brute_pieces(t), brute_pieces(nxt)))
+        assert r.near_edited > 0 or len(t) < 20
     rows = fingerprints.compare_edited(odd, "doc_id", "text").collect()
     assert len(rows) == 13 and len({r.fingerprint for r in rows if r.doc_id in (7, 9)}) == 1
     assert all(0 <= r.near_next <= 1 for r in rows)
     assert fingerprints.compare_edited(empty, "doc_id", "text").count() == 0
 
 
+def test_fingerprints_give_back_their_digests_at_any_size(spark):
+    rng = random.Random(6)
+    texts = ["", "a", "短い文。" * 3, "one word", *(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in (5, 50, 500, 5000, 100_000)), "漢字の長い文章" * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = fingerprints.fingerprint(docs, "doc_id", "text").select("doc_id", fingerprints.recovered(F.col("cells")).alias("got"), F.flatten("blocks").alias("want"))
+    for r in own.collect():
+        assert sorted(r.got) == sorted(r.want) and len(r.want) == len(brute_pieces(texts[r.doc_id]))
+    for r in fingerprints.compare_edited(docs, "doc_id", "text").collect():
+        nxt = texts[(r.doc_id + 1) % len(texts)]
+        assert r.near_next == pytest.approx(brute_like(brute_pieces(texts[r.doc_id]), brute_pieces(nxt)))
+        assert r.near_edited > 0.4 or r.n_chars < 20  # long texts without a sentence end, too
+
+
 def test_peeling_recovers_and_fails_as_it_should(spark):
-    few = spark.createDataFrame([([1, 2, 3, 4], [3, 4, 5])], "a array<long>, b array<long>")
+    few = spark.createDataFrame([([1 << 12, 2 << 12, 3 << 20, 4 << 30], [3 << 20, 4 << 30, 5 << 33])], "a array<long>, b array<long>")
     got = few.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))).alias("d")).first().d
-    assert sorted(got) == [1, 2, 5]
-    many = spark.createDataFrame([(list(range(400)), list(range(300, 1000)))], "a array<long>, b array<long>")
-    a, b = F.col("a"), F.col("b")
-    r = many.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(a), fingerprints.sketch(b))).alias("d"), fingerprints.differing(a, b, fingerprints.sketch(a), fingerprints.sketch(b)).alias("n")).first()
-    assert r.d is None and r.n == 900
+    assert sorted(got) == [1 << 12, 2 << 12, 5 << 33]
+    keys = [random.Random(k).getrandbits(63) for k in range(1000)]
+    many = spark.createDataFrame([(keys[:400], keys[300:])], "a array<long>, b array<long>")
+    ab = [F.struct(F.col(c).alias("keys"), fingerprints.sketch(F.col(c)).alias("cells")) for c in "ab"]
+    r = many.select(fingerprints.peel(fingerprints.subtract(ab[0]["cells"], ab[1]["cells"])).alias("d"), fingerprints._difference(*ab).alias("n")).first()
+    assert r.d is None and sorted(r.n) == sorted(set(keys[:300] + keys[400:]))
 
 
 def brute_lines(rows, least=20, docs=3):
@@ -350,6 +370,44 @@ def test_language_id_held_out_accuracy_and_odd_texts(spark, odd, empty):
     assert {r.lang_pred for r in language_id.predict(odd, "doc_id", "text", none).collect()} == {"und"}
 
 
+def brute_grams(text):
+    """One to three letters of a word with a mark at each end, counted."""
+    out = collections.Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        word = "".join(c for c in word if c.isalpha())
+        out.update(word)  # single letters
+        out.update(a + b for a, b in zip(word, word[1:] + "$"))
+        out["^" + word[0]] += 1
+        padded = f"^{word}$"
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 256])
+def test_language_id_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "LANGUAGES_A_PASS", at_once)
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)] for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "éfghi"))}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 80))), lang) for i in range(90) for lang in [("aa", "bb", "cc")[i % 3]]]
+    profile = 2000  # all grams: no order among equally frequent ones is cut off
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn(docs, "text", "lang", profile=profile)
+    got = {(r.lang, r.rank) for r in profiles.collect()}
+    counts = {lang: sum((brute_grams(t) for _, t, x in rows if x == lang), collections.Counter()) for lang in words}
+    assert {lang: max(r for x, r in got if x == lang) for lang in words} == {lang: len(c) for lang, c in counts.items()}
+    codes = {lang: {r.rank: r.gram for r in profiles.collect() if r.lang == lang} for lang in words}
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, "doc_id", "text", profiles, profile=profile).collect()}
+    for i, text, _ in rows:
+        mine = language_id.top(*language_id.grams(text), profile)
+        assert len(mine) == len(brute_grams(text))
+        away = {}
+        for lang in words:
+            place = {g: r for r, g in codes[lang].items()}
+            away[lang] = sum(min(profile, abs(place[int(g)] - k)) if int(g) in place else profile for k, g in enumerate(mine, 1))
+        best = min(sorted(away), key=lambda x: away[x])
+        assert pred[i] == (best, pytest.approx(1 - away[best] / (profile * len(mine))))
+
+
 def test_grams_do_not_depend_on_pieces(monkeypatch):
     text = "Ab cd éfg, hij. " * 50
     whole = language_id.grams(text)
@@ -358,15 +416,26 @@ def test_grams_do_not_depend_on_pieces(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
+def brute_targets(sizes, weights, total, most):
+    """By bisection: the unit at which the capped targets add up to the total."""
+    low, high = 0.0, most * sum(sizes) + 1
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(most * s, w * unit) for s, w in zip(sizes, weights)) < total else (low, unit)
+    return [min(most * s, w * high) for s, w in zip(sizes, weights)]
+
+
 def test_mix_meets_targets(spark, odd, empty):
     rows = queries.op9_mixing(spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     by = collections.defaultdict(list)
     for r in rows:
         by[r.source].append(r)
-        assert r.taken <= 2 * r.size
+        assert r.taken <= 2 * r.size and r.size == len([w for w in re.split("[\x20\x09-\x0d]+", docs[r.doc_id].text or "") if w]) and r.source == docs[r.doc_id].source
+    assert len(rows) == len(docs)
     names = sorted(by)
     sizes = [sum(r.size for r in by[s]) for s in names]
-    want = mixing.fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    want = brute_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
     for s, size, target in zip(names, sizes, want):
         assert by[s][0].source_size == size and by[s][0].target == pytest.approx(target)
         assert abs(sum(r.taken for r in by[s]) - target) <= 1
@@ -374,7 +443,29 @@ def test_mix_meets_targets(spark, odd, empty):
     mixed = mixing.mix(odd, "doc_id", "text", "source").collect()
     assert len(mixed) == 13 and all(r.taken <= 2 * r.size for r in mixed)
     assert mixing.mix(empty, "doc_id", "text", "source").count() == 0
-    assert mixing.fill([100, 10, 0], [1, 1, 1], 150, 2) == [130, 20, 0]
+
+
+def test_mix_of_many_sources_and_its_blocks(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "trim(repeat('w ', cast(1 + id % 40 AS int))) AS text", "concat('s', id % 150) AS source")
+    rows = mixing.mix(docs, "doc_id", "text", "source", block_tokens=7).collect()
+    taken, sizes, targets = collections.Counter(), collections.Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+        targets[r.source] = r.target
+    names = sorted(sizes)
+    want = brute_targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2)
+    assert [targets[s] for s in names] == pytest.approx(want) and all(abs(taken[s] - targets[s]) <= 1 for s in names)
+    parts = mixing.blocks(docs, "doc_id", "text", "source", block_tokens=7).collect()
+    got = collections.Counter()
+    for p in parts:
+        got[p.doc_id] += p.n
+        assert 0 <= p.first and p.first + p.n <= 1 + p.doc_id % 40
+    assert got == {r.doc_id: r.taken for r in rows if r.taken}
+    slots = collections.defaultdict(set)
+    for p in parts:
+        slots[p.slot].add(p.source)
+    assert all(len(s) == 1 for s in slots.values())
 
 
 def test_bpe_equals_the_library(spark, odd, empty):
