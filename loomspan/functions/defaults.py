@@ -34,11 +34,11 @@ INTENT_KEYWORDS = {
 }
 
 # Language by file extension.
-LANGUAGE_EXTS = {
-    "python": [".py"], "javascript": [".js", ".jsx"], "typescript": [".ts", ".tsx"], "java": [".java"], "kotlin": [".kt", ".kts"],
-    "scala": [".scala", ".sc"], "csharp": [".cs"], "cobol": [".cob", ".cbl", ".cpy"], "r": [".r"], "sql": [".sql"], "c": [".c"],
-    "cpp": [".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx"], "go": [".go"], "yaml": [".yml", ".yaml"], "json": [".json"],
-    "toml": [".toml"], "ini": [".ini"], "markdown": [".md"], "text": [".txt"], "notebook": [".ipynb"],
+LANGUAGE_OF_EXT = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".kt": "kotlin",
+    ".kts": "kotlin", ".scala": "scala", ".sc": "scala", ".cs": "csharp", ".cob": "cobol", ".cbl": "cobol", ".cpy": "cobol", ".r": "r",
+    ".sql": "sql", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".h": "cpp", ".hh": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".go": "go",
+    ".yml": "yaml", ".yaml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini", ".md": "markdown", ".txt": "text", ".ipynb": "notebook",
 }
 
 # Root files that name a stack.
@@ -60,7 +60,10 @@ IMPORTANT_WORDS = ["auth", "jwt", "oauth", "permission", "policy", "role", "rbac
 SECURITY_TYPES = ["auth_guard", "policy_check", "audit_log", "sensitive_op"]
 
 # Tokens before "(" that are not calls.
-CALL_SKIP = "if for while switch catch return sizeof typeof new throw assert await lambda super this base class def function defer select go".split()
+CALL_SKIP = [
+    "if", "for", "while", "switch", "catch", "return", "sizeof", "typeof", "new", "throw", "assert", "await", "lambda",
+    "super", "this", "base", "class", "def", "function", "defer", "select", "go",
+]
 
 BASE_TOP_K, MAX_CONTEXT_CHUNKS, MAX_CONTEXT_CHARS, HISTORY = 3, 10, 12_000, 12
 MAX_CALLEES, NODE_CHARS, DOC_CHARS, READ_CHARS, MAX_FILE_BYTES = 24, 8_000, 3_000, 400_000, 2_000_000

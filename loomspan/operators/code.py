@@ -17,12 +17,15 @@ from loomspan.functions import text as T
 from loomspan.operators import graph, spans
 
 FILE = ["repo_name", "file_path"]
-NODE = "array<struct<node_type:string,symbol:string,start_line:int,end_line:int,confidence:double,kind:string>>"
+NODE = "array<struct<node_type:string,symbol:string,start_line:int,end_line:int,confidence:double,kind:string,metadata:map<string,string>>>"
 
 
-def node(kind: str, symbol: Column, start: Column, stop: Column, confidence: float, detail: str | Column = "") -> Column:
-    detail = F.lit(detail) if isinstance(detail, str) else detail
-    return F.struct(F.lit(kind).alias("node_type"), symbol.alias("symbol"), start.cast("int").alias("start_line"), stop.cast("int").alias("end_line"), F.lit(confidence).alias("confidence"), detail.alias("kind"))
+def node(kind: str | Column, symbol: Column, start: Column, stop: Column, confidence: float | Column, detail: str | Column = "", **metadata: Column) -> Column:
+    """A node; entries of ``metadata`` that are null are left out."""
+    lit = lambda x: F.lit(x) if isinstance(x, (str, float)) else x
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in metadata.items()]) if metadata else F.array().cast("array<struct<key:string,value:string>>")
+    meta = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return F.struct(lit(kind).alias("node_type"), symbol.alias("symbol"), start.cast("int").alias("start_line"), stop.cast("int").alias("end_line"), lit(confidence).alias("confidence"), lit(detail).alias("kind"), meta.alias("metadata"))
 
 
 def _hit(pattern: str, group: int = 1) -> Column:
@@ -39,10 +42,19 @@ class Language:
     functions: list[tuple[str, int]] = field(default_factory=list)
     imports: list[tuple[str, str, float]] = field(default_factory=list)  # pattern, kind, confidence
     annotation: str = ""  # prefix; symbols start at their annotations
+    annotated: str = "all"  # or "types": functions start at their own line
+    annotations_name: str = "annotations"
     routes: Callable[[Column, Column], Column] | None = None  # (symbol, annotations) -> route symbol or null
     line_routes: Callable[[], Column] | None = None
     entries: list[tuple[str, str, str, float]] = field(default_factory=list)  # pattern, symbol, kind, confidence
     main: tuple[str, str, float] | None = None  # function name, kind, confidence
+    any_case_main: bool = False
+    type_entry: tuple[str, str, float] | None = None  # pattern of a type's line, kind, confidence; the symbol is the type's
+    kind_name: str = ""  # metadata key of the word that declares a type
+    kinds: str = ""  # pattern of that word
+    frameworks: tuple[tuple[str, str], ...] = ()  # pattern of an annotation, framework
+    file_framework: tuple[str, str] | None = None  # pattern anywhere in a file, framework of its classes
+    declaration_confidence: float | None = None  # of a function whose line ends in ';' (group 2 of the pattern)
     function_confidence: float = 1.0
     type_confidence: float = 1.0
     skip: tuple[str, ...] = ("if", "for", "while", "switch", "catch", "return")
@@ -65,7 +77,7 @@ _SPRING = r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|Reque
 # The patterns that define each language's nodes.
 LANGUAGES: dict[str, Language] = {
     "javascript": Language(
-        comment="//",
+        comment="//", annotation="@", annotated="types", annotations_name="decorators", any_case_main=True, file_framework=(r"""@(?:Component|Injectable|NgModule|Directive|Pipe)\b|from\s+["']@angular""", "angular"),
         types=[(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_]\w*)", 1)],
         functions=[
             (r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_]\w*)\s*\(", 1),
@@ -98,7 +110,8 @@ LANGUAGES: dict[str, Language] = {
         imports=[(r"^\s*import\s+([A-Za-z0-9_.*]+)\s*$", "import", 0.8)],
         routes=_mapping_route(_SPRING),
         line_routes=lambda: _hit(r"""\b(?:get|post|put|delete|patch|route)\s*\(\s*["']([^"']+)["']"""),
-        entries=[(r"^\s*(?:\w+\s+)*object\s+\w+\s*:\s*(App)\b", "App", "kotlin_app_object", 0.86)],
+        type_entry=(r"^\s*(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation)\s+)*object\s.*:\s*App\b", "kotlin_app_object", 0.86),
+        kind_name="kotlin_kind", kinds=r"\b(class|interface|object)\s", frameworks=((r"@(?:RestController|Controller|Service)", "spring-boot"),),
         main=("main", "kotlin_main", 0.88), function_confidence=0.88, type_confidence=0.9,
     ),
     "go": Language(
@@ -109,7 +122,7 @@ LANGUAGES: dict[str, Language] = {
         block_import=(r"^\s*import\s*\(\s*$", r"^\s*\)", r"""^\s*(?:[A-Za-z_]\w*\s+)?"([^"]+)\"""", "import_block", 0.8),
         line_routes=lambda: F.concat(F.upper(_hit(r"""\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*"([^"]+)\"""")), F.lit(":"), _hit(r"""\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\s*\(\s*"([^"]+)\"""", 2)),
         entries=[(r"\b((?:http\.)?ListenAndServe)\s*\(", "ListenAndServe", "server_start", 0.86)],
-        main=("main", "go_main", 0.9), function_confidence=0.88, type_confidence=0.86,
+        main=("main", "go_main", 0.9), function_confidence=0.88, type_confidence=0.86, kind_name="go_kind", kinds=r"\b(struct|interface)\b",
     ),
     "csharp": Language(
         comment="//", annotation="[",
@@ -122,16 +135,17 @@ LANGUAGES: dict[str, Language] = {
     "cpp": Language(
         comment="//",
         types=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:(?:inline|constexpr|static|virtual|friend|extern)\s+)*(?:[\w:<>~*&]+\s+)+([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)?)\s*\([^;{}]*\)\s*(?:const)?\s*(?:noexcept)?\s*(?:override)?\s*(?:final)?\s*(?:\{|;)", 1)],
+        functions=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:(?:inline|constexpr|static|virtual|friend|extern)\s+)*(?:[\w:<>~*&]+\s+)+([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)?)\s*\([^;{}]*\)\s*(?:const)?\s*(?:noexcept)?\s*(?:override)?\s*(?:final)?\s*(\{|;)", 1)],
         imports=[(r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""", "include", 0.78)],
-        main=("main", "cpp_main", 0.9), function_confidence=0.8, type_confidence=0.88,
+        main=("main", "cpp_main", 0.9), function_confidence=0.8, type_confidence=0.88, declaration_confidence=0.65,
     ),
     "scala": Language(
         comment="//",
         types=[(r"^\s*(?:sealed\s+|final\s+|abstract\s+|case\s+|private\s+|protected\s+)*(?:class|object|trait)\s+([A-Za-z_]\w*)", 1)],
         functions=[(r"^\s*(?:override\s+|private\s+|protected\s+|implicit\s+|final\s+)*def\s+([A-Za-z_]\w*)\b", 1)],
         imports=[(r"^\s*import\s+([A-Za-z0-9_.*{} ,]+)\s*$", "import", 0.8)],
-        entries=[(r"^\s*object\s+\w+\s+extends\s+(App)\b", "App", "scala_app_object", 0.86)],
+        type_entry=(r"^\s*(?:sealed\s+|final\s+|abstract\s+|case\s+|private\s+|protected\s+)*object\s.*extends App", "scala_app_object", 0.86),
+        kind_name="scala_kind", kinds=r"\b(class|object|trait)\s",
         main=("main", "scala_main", 0.9), function_confidence=0.88, type_confidence=0.9,
     ),
     "r": Language(
@@ -145,41 +159,71 @@ LANGUAGES: dict[str, Language] = {
 LANGUAGES["typescript"] = LANGUAGES["javascript"]
 
 
+def _import_nodes(modules: Column, line: Column, confidence: float, kind: str) -> Column:
+    return F.transform(modules, lambda m: node("import_usage", T.strip(m), line, line, confidence, kind)).cast(NODE)
+
+
 def extract(lines: DataFrame, language: str) -> DataFrame:
-    """``(file, node_type, symbol, start_line, end_line, confidence, kind)`` of one language's lines."""
+    """``(file, node_type, symbol, start_line, end_line, confidence, kind, metadata)`` of one language's lines.
+
+    Of nodes alike in file, type, symbol and lines, the one of the earlier rule stays.
+    """
     rules = LANGUAGES[language]
     rows = spans.brace_blocks(lines)
+    here, has_block = F.col("line_no"), F.contains("line", F.lit("{"))
+    t_start = f_start = here
+    anns = F.lit(None).cast("string")
     if rules.annotation:
         rows = spans.annotation_blocks(rows, rules.annotation)
-        start = F.col("ann_start")
-    else:
-        start = F.col("line_no")
+        t_start = F.col("ann_start")
+        f_start = here if rules.annotated == "types" else t_start
+        anns = F.nullif(F.array_join("annotations", "\n"), F.lit(""))
+    whole_file = Window.partitionBy(*FILE)
     if rules.component:
-        rows = rows.withColumn("ui", F.max(F.col("line").rlike(rules.component)).over(Window.partitionBy(*FILE)))
+        rows = rows.withColumn("ui", F.max(F.col("line").rlike(rules.component)).over(whole_file) | F.col("file_path").rlike(r"(?i)\.[jt]sx$"))
+    if rules.file_framework:
+        rows = rows.withColumn("file_framework", F.when(F.max(F.col("line").rlike(rules.file_framework[0])).over(whole_file), rules.file_framework[1]))
     rows = rows.withColumn("t_sym", F.coalesce(*[_hit(p, g) for p, g in rules.types]))
     rows = rows.withColumn("f_sym", F.when(F.col("t_sym").isNull(), F.coalesce(*[_hit(p, g) for p, g in rules.functions])))
     rows = rows.withColumn("f_sym", F.when(~F.col("f_sym").isin(*rules.skip), F.col("f_sym")))
-    here, has_block = F.col("line_no"), F.contains("line", F.lit("{"))
+    t_sym, f_sym = F.col("t_sym"), F.col("f_sym")
     end = F.when(has_block, F.col("block_end")).otherwise(here)
     if language == "r":
         rows = spans.statement_ends(rows)
-    kind_of = lambda plain, sym: F.when(F.col("ui") & F.substring(sym, 1, 1).rlike("[A-Z]"), "component").otherwise(plain) if rules.component else F.lit(plain)
-
-    def sym_node(plain: str, sym: Column, stop: Column, confidence: float) -> Column:
-        return F.when(sym.isNotNull(), F.struct(kind_of(plain, sym).alias("node_type"), sym.alias("symbol"), start.cast("int").alias("start_line"), stop.cast("int").alias("end_line"), F.lit(confidence).alias("confidence"), F.lit("").alias("kind")))
-
-    made = [sym_node("class", F.col("t_sym"), F.col("statement_end") if language == "r" else end, rules.type_confidence), sym_node("function", F.col("f_sym"), end, rules.function_confidence)]
+    upper = lambda sym: F.col("ui") & F.substring(sym, 1, 1).rlike("[A-Z]") if rules.component else F.lit(False)
+    kind_of = lambda plain, sym: F.when(upper(sym), "component").otherwise(plain)
+    by_annotation = [F.when(F.col("ann_text").rlike(p), name) for p, name in rules.frameworks]
+    rows = rows.withColumn("ann_text", anns)
+    framework = F.coalesce(*by_annotation, F.col("file_framework") if rules.file_framework else F.lit(None).cast("string"))
+    t_meta = {rules.annotations_name: F.col("ann_text"), "framework": framework}
+    if rules.kind_name:
+        t_meta[rules.kind_name] = _hit(rules.kinds)
+    f_meta = {} if rules.annotated == "types" else {rules.annotations_name: F.col("ann_text")}
+    if rules.component:
+        f_meta["framework"] = F.when(upper(f_sym), "react")
+    f_confidence, f_end = F.lit(rules.function_confidence), end
+    if rules.declaration_confidence is not None:
+        declares = F.coalesce(*[_hit(p, 2) for p, _ in rules.functions]) == ";"
+        f_meta["declaration"] = declares
+        f_confidence, f_end = F.when(declares, rules.declaration_confidence).otherwise(f_confidence), F.when(declares, here).otherwise(end)
+    made = [
+        F.when(t_sym.isNotNull(), node(kind_of("class", t_sym), t_sym, t_start, F.col("statement_end") if language == "r" else end, rules.type_confidence, **t_meta)),
+        F.when(f_sym.isNotNull(), node(kind_of("function", f_sym), f_sym, f_start, f_end, f_confidence, **f_meta)),
+    ]
+    if rules.type_entry:
+        pattern, kind, confidence = rules.type_entry
+        made.append(F.when(t_sym.isNotNull() & F.regexp("line", F.lit("(?U)" + pattern)), node("entrypoint", t_sym, here, here, confidence, kind)))
     if rules.routes:
-        path = rules.routes(F.col("f_sym"), F.col("annotations"))
-        made.append(F.when(F.col("f_sym").isNotNull() & path.isNotNull(), node("route", path, start, end, 0.88)))
+        path = rules.routes(f_sym, F.col("annotations"))
+        made.append(F.when(f_sym.isNotNull() & path.isNotNull(), node("route", path, f_start, end, 0.88, **f_meta)))
     if rules.line_routes:
         path = rules.line_routes()
-        made.append(F.when(F.col("t_sym").isNull() & path.isNotNull(), node("route", path, here, here, 0.8)))
+        made.append(F.when(t_sym.isNull() & path.isNotNull(), node("route", path, here, here, 0.8, framework=F.lit("react" if rules.object_routes else None).cast("string"))))
     if rules.object_routes:
         pattern, needs = rules.object_routes
-        rows = rows.withColumn("has_routes", F.max(F.col("line").rlike(needs)).over(Window.partitionBy(*FILE)))
+        rows = rows.withColumn("has_routes", F.max(F.col("line").rlike(needs)).over(whole_file))
         path = F.when(F.col("has_routes") & rules.line_routes().isNull(), _hit(pattern))
-        made.append(F.when(F.col("t_sym").isNull() & path.isNotNull(), node("route", path, here, here, 0.8)))
+        made.append(F.when(t_sym.isNull() & path.isNotNull(), node("route", path, here, here, 0.8, framework=F.coalesce("file_framework", F.lit("router")))))
     if rules.block_import:
         opens, closes, pattern, kind, confidence = rules.block_import
         mark = F.when(F.col("line").rlike(opens), True).when(F.col("line").rlike(closes), False)
@@ -187,21 +231,31 @@ def extract(lines: DataFrame, language: str) -> DataFrame:
         made.append(F.when(F.col("in_block") & _hit(pattern).isNotNull(), node("import_usage", _hit(pattern), here, here, confidence, kind)))
     if rules.main:
         name, kind, confidence = rules.main
-        made.append(F.when(F.lower("f_sym") == name, node("entrypoint", F.col("f_sym"), here, here, confidence, kind)))
-    made += [F.when(F.col("t_sym").isNull() & _hit(p).isNotNull(), node("entrypoint", F.lit(s), here, here, c, k)) for p, s, k, c in rules.entries]
-    made += [F.when(_hit(p).isNotNull(), node("import_usage", T.strip(_hit(p)), here, here, c, k)) for p, k, c in rules.imports]
-    found = rows.select(*FILE, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull()).cast(NODE)).alias("n")).select(*FILE, "n.*")
+        called = F.element_at(F.split(f_sym, "::"), -1)
+        made.append(F.when((F.lower(called) if rules.any_case_main else called) == name, node("entrypoint", f_sym, here, here, confidence, kind)))
+    made += [F.when(t_sym.isNull() & _hit(p).isNotNull(), node("entrypoint", F.lit(s), here, here, c, k)) for p, s, k, c in rules.entries]
+    listed = F.filter(F.array(*made), lambda x: x.isNotNull()).cast(NODE)
+    for pattern, kind, confidence in rules.imports:  # a pattern that may stand anywhere in a line counts as often as it does
+        found = F.array_compact(F.array(_hit(pattern))) if pattern.startswith("^") else F.regexp_extract_all("line", F.lit("(?U)" + pattern), F.lit(1))
+        listed = F.concat(listed, _import_nodes(found, here, confidence, kind))
+    found = rows.select(*FILE, F.posexplode(listed).alias("seq", "n")).select(*FILE, "seq", "n.*")
     comments = spans.hash_comments(lines).withColumn("kind", F.lit("line_block")) if rules.comment == "#" else spans.marked_comments(lines, rules.comment)
     named = F.when(F.col("kind") == "block", "comment_block").otherwise("comment_line")
-    comments = comments.select(*FILE, named.alias("node_type"), F.lit(None).cast("string").alias("symbol"), "start_line", "end_line", F.lit(0.78).alias("confidence"), "kind")
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    comments = comments.select(*FILE, F.lit(0).alias("seq"), named.alias("node_type"), F.lit(None).cast("string").alias("symbol"), "start_line", "end_line", F.lit(0.78).alias("confidence"), "kind", none.alias("metadata"))
     scopes = found.where(F.col("node_type").isin("function", "class", "component"))
     calls = graph.scoped_calls(scopes, graph.call_tokens(lines))
-    edges = graph.edge_nodes(calls, F.lit(language)).select(*FILE, "node_type", "symbol", "start_line", "end_line", "confidence", F.lit("calls").alias("kind"))
-    return found.unionByName(comments).unionByName(edges).withColumn("language", F.lit(language)).dropDuplicates([*FILE, "node_type", "symbol", "start_line", "end_line"])
+    edges = graph.edge_nodes(calls, F.lit(language))
+    ends = F.create_map(F.lit("relation"), F.lit("calls"), F.lit("caller"), F.split_part("symbol", F.lit("->"), F.lit(1)), F.lit("callee"), F.split_part("symbol", F.lit("->"), F.lit(2)))
+    edges = edges.select(*FILE, F.lit(0).alias("seq"), "node_type", "symbol", "start_line", "end_line", "confidence", F.lit("calls").alias("kind"), ends.alias("metadata"))
+    every = found.unionByName(comments).unionByName(edges)
+    first = every.groupBy(*FILE, "node_type", "symbol", "start_line", "end_line").agg(F.min_by(F.struct("confidence", "kind", "metadata"), "seq").alias("n"))
+    return first.select(*FILE, "node_type", "symbol", "start_line", "end_line", "n.*", F.lit(language).alias("language"))
 
 
 def sql_lineage(lines: DataFrame) -> DataFrame:
     """Tables, views, routines, statements, and edges from their callers to the tables and routines they name."""
+    # The patterns below define statements, names and references.
     name = r"([A-Za-z0-9_.$\"`\[\]]+)"
     rows = spans.statement_ends(lines)
     grab = lambda p, g=1: F.nullif(F.regexp_extract("line", "(?i)" + p, g), F.lit(""))
@@ -224,7 +278,8 @@ def sql_lineage(lines: DataFrame) -> DataFrame:
     comments = spans.marked_comments(lines, "--")
     named = F.when(F.col("kind") == "block", "comment_block").otherwise("comment_line")
     comments = comments.select(*FILE, named.alias("node_type"), F.lit(None).cast("string").alias("symbol"), "start_line", "end_line", F.lit(0.78).alias("confidence"), "kind")
-    return found.unionByName(edges).unionByName(comments).withColumn("language", F.lit("sql"))
+    every = found.unionByName(edges, allowMissingColumns=True).unionByName(comments, allowMissingColumns=True)
+    return every.withColumns({"metadata": F.coalesce("metadata", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))), "language": F.lit("sql")})
 
 
 # Division and paragraph names that are no labels.
@@ -233,6 +288,7 @@ COBOL_RESERVED = ["IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE", "WORKING
 
 def cobol(lines: DataFrame) -> DataFrame:
     """Programs, sections, paragraphs, and CALL edges owned by the latest label."""
+    # The patterns of programs, sections, paragraphs and calls.
     program = F.nullif(F.regexp_extract("line", r"(?i)^\s*PROGRAM-ID\.\s*([A-Za-z0-9_-]+)\.?", 1), F.lit(""))
     section = F.nullif(F.regexp_extract("line", r"(?i)^\s*([A-Za-z0-9-]+)\s+SECTION\.\s*$", 1), F.lit(""))
     para = F.nullif(F.regexp_extract("line", r"^\s*([A-Za-z0-9-]+)\.\s*$", 1), F.lit(""))
@@ -247,23 +303,25 @@ def cobol(lines: DataFrame) -> DataFrame:
     calls = rows.where(F.col("program").isNull() & ~F.col("is_section") & F.col("owner").isNotNull()).select(*FILE, "owner", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?i)\bCALL\s+['\"]?([A-Za-z0-9_-]+)"), F.lit(1))).alias("callee"))
     edges = calls.select(*FILE, F.lit("call_edge").alias("node_type"), F.concat("owner", F.lit("->"), "callee").alias("symbol"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(0.76).alias("confidence"), F.lit("calls").alias("kind")).distinct()
     comments = spans.cobol_comments(lines).select(*FILE, F.lit("comment_line").alias("node_type"), F.lit(None).cast("string").alias("symbol"), "start_line", "end_line", F.lit(0.78).alias("confidence"), F.lit("line_block").alias("kind"))
-    return found.unionByName(edges).unionByName(comments).withColumn("language", F.lit("cobol"))
+    every = found.unionByName(edges, allowMissingColumns=True).unionByName(comments, allowMissingColumns=True)
+    return every.withColumns({"metadata": F.coalesce("metadata", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))), "language": F.lit("cobol")})
 
 
 def python_symbols(lines: DataFrame) -> DataFrame:
     """``(file, node_type, symbol, start_line, end_line, indent)``: def and class with their bodies by indentation.
 
-    A body ends at the last non-blank line before the next one that is indented no deeper; that line
-    is found per indent level with one window over the non-blank lines.
+    A body ends at the last non-blank line before the next one that is indented no deeper. A file's headers
+    have few levels of indentation; a line is laid once on each level that it closes, and a header's next
+    line on its own level is its end. Rows grow with lines times levels.
     """
     text = lines.where(T.strip(F.col("line")) != "").withColumn("indent", F.length("line") - F.length(F.ltrim(F.col("line"), F.lit(T.SPACE))))
-    text = text.withColumn("prev", F.lag("line_no").over(spans.by_line()))
-    text = text.withColumn("last_line", F.max("line_no").over(Window.partitionBy(*FILE)))
+    text = text.withColumns({"prev": F.lag("line_no").over(spans.by_line()), "last_line": F.max("line_no").over(Window.partitionBy(*FILE))})
     head = r"(?U)^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"
-    heads = text.where(F.col("line").rlike(head)).select(*FILE, "line_no", "indent", "last_line", F.regexp_extract("line", head, 1).alias("k"), F.regexp_extract("line", head, 2).alias("symbol"))
-    ends = heads.select(*FILE, F.col("line_no").alias("h"), F.col("indent").alias("hi")).join(text.select(*FILE, "line_no", "indent", "prev"), FILE).where((F.col("line_no") > F.col("h")) & (F.col("indent") <= F.col("hi")))
-    ends = ends.groupBy(*FILE, "h").agg(F.min_by("prev", "line_no").alias("stop")).withColumnRenamed("h", "line_no")
-    out = heads.join(ends, [*FILE, "line_no"], "left")
+    is_head = F.col("line").rlike(head)
+    text = text.withColumn("levels", F.collect_set(F.when(is_head, F.col("indent"))).over(Window.partitionBy(*FILE)))
+    laid = text.withColumns({"k": F.when(is_head, F.regexp_extract("line", head, 1)), "symbol": F.regexp_extract("line", head, 2)})
+    laid = laid.withColumn("level", F.explode(F.filter("levels", lambda h: h >= F.col("indent")))).drop("levels", "line")
+    out = laid.withColumn("stop", F.lead("prev").over(spans.by_line("level"))).where(F.col("k").isNotNull() & (F.col("level") == F.col("indent")))
     return out.select(*FILE, F.when(F.col("k") == "class", "class").otherwise("function").alias("node_type"), "symbol", F.col("line_no").alias("start_line"), F.coalesce("stop", "last_line").alias("end_line"), "indent")
 
 
@@ -271,7 +329,7 @@ def python_calls(lines: DataFrame, most: int = 24) -> DataFrame:
     """``(file, caller, callee, line_no)``: the caller is the innermost function, with its enclosing classes."""
     symbols = python_symbols(lines)
     tokens = graph.call_tokens(lines.where(~F.col("line").rlike(r"^\s*(?:async\s+)?(?:def|class)\s")))
-    cover = tokens.join(symbols, FILE).where((F.col("line_no") > F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
+    cover = graph.within(symbols, tokens, F.col("start_line") + 1, F.col("end_line"))
     of = cover.groupBy(*FILE, "line_no", "pos", "callee").agg(F.max_by("symbol", "start_line").alias("inner"), F.max(F.when(F.col("node_type") == "function", F.struct("start_line", "symbol"))).alias("fn"), F.array_sort(F.collect_list(F.when(F.col("node_type") == "class", F.struct("start_line", "symbol")))).alias("cs"))
     caller = F.concat_ws(".", F.transform("cs", lambda x: x["symbol"]), F.col("fn.symbol"))
     first = of.where(F.col("fn").isNotNull()).groupBy(*FILE, caller.alias("caller"), "callee").agg(F.min(F.struct("line_no", "pos")).alias("at"))

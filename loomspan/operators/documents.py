@@ -10,6 +10,7 @@ from loomspan.operators import spans
 from loomspan.sources.corpus import snippet, with_lines
 
 FILE = ["repo_name", "file_path"]
+# What a heading and a fence look like.
 HEADING = r"(?U)^\s*(#{1,6})\s+(.+?)\s*$"
 FENCE = r"(?U)^\s*(```|~~~)\s*([A-Za-z0-9_+.\-#]*)"
 

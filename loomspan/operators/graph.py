@@ -9,6 +9,7 @@ from loomspan.functions import defaults as D
 from loomspan.functions import text as T
 
 FILE = ["repo_name", "file_path"]
+# Fixed value: a name before an opening bracket.
 CALL = r"(?<![A-Za-z0-9_])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*){0,2})\s*\("
 
 
@@ -18,14 +19,29 @@ def call_tokens(lines: DataFrame) -> DataFrame:
     return found.where(~F.lower(T.leaf(F.col("callee"))).isin(D.CALL_SKIP))
 
 
+BLOCK_LINES = 64
+
+
+def within(ranges: DataFrame, rows: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """``ranges`` joined with the rows of their file whose line_no lies in [start, stop].
+
+    Both sides are dealt to blocks of lines, so a range meets the rows of its own blocks only: work
+    follows the lengths of ranges, not ranges times rows of a file.
+    """
+    block = lambda x: F.floor(x / BLOCK_LINES)
+    dealt = ranges.withColumns({"lo": start, "hi": stop}).where(F.col("hi") >= F.col("lo")).withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
+    met = dealt.join(rows.withColumn("block", block(F.col("line_no"))), [*FILE, "block"])
+    return met.where(F.col("line_no").between(F.col("lo"), F.col("hi"))).drop("block", "lo", "hi")
+
+
 def scoped_calls(scopes: DataFrame, tokens: DataFrame, most: int = D.MAX_CALLEES) -> DataFrame:
     """``(file, caller, start_line, callee, line_no)``: first appearance of each callee in a scope, the first ``most`` a scope.
 
-    ``scopes``: (file, symbol, start_line, end_line). The interval join carries the file as equi-key.
+    ``scopes``: (file, symbol, start_line, end_line).
     """
     s = scopes.select(*FILE, F.col("symbol").alias("caller"), "start_line", "end_line", F.when(F.col("end_line") > F.col("start_line"), F.col("start_line") + 1).otherwise(F.col("start_line")).alias("from_line"))
     own = F.lower(T.leaf(F.col("caller"))) == F.lower(T.leaf(F.col("callee")))
-    inside = s.join(tokens, FILE).where((F.col("line_no") >= F.col("from_line")) & (F.col("line_no") <= F.col("end_line")) & ~own)
+    inside = within(s, tokens, F.col("from_line"), F.col("end_line")).where(~own)
     first = inside.groupBy(*FILE, "caller", "start_line", "callee").agg(F.min(F.struct("line_no", "pos")).alias("at"))
     order = Window.partitionBy(*FILE, "caller", "start_line").orderBy("at")
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(*FILE, "caller", "start_line", "callee", F.col("at.line_no").alias("line_no"))

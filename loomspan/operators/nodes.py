@@ -86,6 +86,20 @@ def review_candidates(files: DataFrame, errors: DataFrame, *, enabled: bool = Tr
     return marked.withColumn("reason", F.when(F.col("err"), "parse_error").when(weak, "low_confidence")).where(F.col("reason").isNotNull()).select(*FILE, "confidence", "reason")
 
 
+def security_eligible(files: DataFrame, exts: list[str], *, enabled: bool = True) -> DataFrame:
+    """Files that a security pass looks at: those with one of the extensions, none if the pass is off."""
+    return files.where(F.lit(enabled) & F.col("ext").isin(*exts)).select(*FILE, "ext", "lang")
+
+
+def unseen(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """Proposed nodes whose id is not known in their repository; of several with one id the first by lines and type."""
+    keys = ["repo_name", "node_id"]
+    new = proposed.join(known.select(*keys), keys, "left_anti")
+    rest = [c for c in new.columns if c not in keys]
+    order = F.struct("start_line", "end_line", "node_type", "content_hash")
+    return new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("n")).select(*keys, "n.*")
+
+
 def proposed_nodes(proposals: DataFrame, files: DataFrame, *, source: str, allowed: list[str] | None = None) -> DataFrame:
     """Nodes of JSON proposals (file, agent_json): castable lines clamped to the file, others dropped."""
     items = proposals.select(*FILE, F.explode(F.from_json("agent_json", PROPOSAL)["final"]["nodes"]).alias("n")).select(*FILE, "n.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
@@ -40,3 +42,53 @@ def store_names(csv: DataFrame) -> DataFrame:
     """``stores``: comma-separated names, trimmed, empty ones dropped, the first of each kept."""
     parts = F.filter(F.transform(F.split("names", ","), T.strip), lambda x: x != "")
     return csv.withColumn("stores", F.array_distinct(parts))
+
+
+def elapsed_seconds(started: Column, finished: Column) -> Column:
+    """Seconds between two times, to the microsecond."""
+    return F.round((F.unix_micros(finished) - F.unix_micros(started)) / F.lit(1e6), 6)
+
+
+def run_report(files: DataFrame, changed: DataFrame, nodes: DataFrame, *, run_id: str, started: Column, finished: Column, fallback: DataFrame | None = None) -> DataFrame:
+    """One row a repository of a run: files scanned and changed, nodes in all and by type, security tags, files that went to the fallback, times.
+
+    Each side is counted by itself and a repository that only one of them has is reported too.
+    """
+    count = lambda df, name: df.groupBy("repo_name").agg(F.count(F.lit(1)).alias(name))
+    by_type = nodes.groupBy("repo_name", "node_type").agg(F.count(F.lit(1)).alias("n"))
+    of_nodes = by_type.groupBy("repo_name").agg(F.sum("n").alias("nodes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_type", "n")))).alias("node_type_counts"), F.sum(F.when(F.col("node_type").isin(D.SECURITY_TYPES), F.col("n")).otherwise(0)).alias("security_tags"))
+    sides = [count(files, "files_scanned"), count(changed, "files_changed"), of_nodes]
+    if fallback is not None:
+        sides.append(count(fallback, "fallback_files"))
+    out = reduce(lambda a, b: a.join(b, "repo_name", "full_outer"), sides)
+    numbers = [c for c in out.columns if c not in ("repo_name", "node_type_counts")]
+    times = {"run_id": F.lit(run_id), "started_at": started, "finished_at": finished, "elapsed_seconds": elapsed_seconds(started, finished)}
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers}).withColumns(times)
+
+
+def batch_telemetry(batches: DataFrame) -> DataFrame:
+    """``(run_id, collection, batches, nodes, embed_seconds, upsert_seconds)`` from one row a batch (run_id, collection, nodes, embed_seconds, upsert_seconds), with the run's total (null collection)."""
+    kept = batches.rollup("run_id", "collection").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("nodes", "embed_seconds", "upsert_seconds")])
+    return kept.where(F.col("run_id").isNotNull())
+
+
+def retrieval_log(turns: DataFrame, hits: DataFrame) -> DataFrame:
+    """One event a finished turn, with its sources in order of citation.
+
+    ``turns``: (query_id, query, intent, stores, model, asked_at, answered_at, cited); ``hits``: (query_id, rank, repo_name,
+    file_path, start_line, end_line, node_type, collection, distance). A turn without hits has no sources, no citations and no model.
+    """
+    source = F.struct(F.col("rank").alias("citation_index"), "repo_name", "file_path", "start_line", "end_line", "node_type", "collection", "distance")
+    sources = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    j = turns.join(sources, "query_id", "left")
+    n = F.coalesce(F.size("sources"), F.lit(0))
+    none = F.col("sources").isNull()
+    return j.select(
+        "query_id", F.col("asked_at").alias("timestamp_utc"), F.lit("chat_turn").alias("event"), "query", "intent", F.col("stores").alias("repo_stores"), F.when(none, 0).otherwise(n).alias("source_count"), none.alias("no_sources"),
+        F.when(none, F.array().cast("array<int>")).otherwise(F.col("cited")).alias("cited_indices"), F.when(none, "").otherwise(F.col("model")).alias("model"), elapsed_seconds(F.col("asked_at"), F.col("answered_at")).alias("elapsed_seconds"), "sources",
+    )
+
+
+def append_json(events: DataFrame, path: str) -> None:
+    """Add reports or log events to a folder of JSON lines."""
+    events.write.mode("append").json(path)

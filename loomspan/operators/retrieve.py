@@ -30,6 +30,9 @@ def detect_intent(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"intent": intent, "score": best})
 
 
+SALTS = 32
+
+
 def weighted_limits(intents: DataFrame, base: int = D.BASE_TOP_K) -> DataFrame:
     """A row for each (query, collection) with a positive limit; unknown intents use the general profile."""
     def profile(weights: list[float]) -> Column:
@@ -55,11 +58,13 @@ def max_budget(base: int = D.BASE_TOP_K) -> int:
 def retrieve(budgets: DataFrame, vectors: DataFrame, cap: int = D.MAX_CONTEXT_CHUNKS) -> DataFrame:
     """``(query_id, rank, node_id, repo_name, collection, distance, ...)``: nearest within each budget, then the nearest ``cap``.
 
-    ``budgets`` carries ``embedding`` of the query. The literal bound next to the row's own budget lets
-    Spark's window group limit keep only candidates before the shuffle.
+    ``budgets`` carries ``embedding`` of the query. There are few collections and repositories and one may hold
+    a third of the vectors, so each is dealt to SALTS parts, which budgets meet one by one. The literal bound
+    next to the row's own budget lets Spark's window group limit keep only candidates before the shuffle.
     """
-    q = budgets.withColumnRenamed("embedding", "q_embedding")
-    near = q.join(vectors, ["collection", "repo_name"]).withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q_embedding"))).drop("embedding", "q_embedding")
+    q = budgets.withColumnRenamed("embedding", "q_embedding").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    vectors = vectors.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int"))
+    near = q.join(vectors, ["collection", "repo_name", "salt"]).withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q_embedding"))).drop("embedding", "q_embedding", "salt")
     inside = Window.partitionBy("query_id", "collection", "repo_name").orderBy("distance", "node_id")
     near = near.withColumn("r", F.row_number().over(inside)).where((F.col("r") <= max_budget()) & (F.col("r") <= F.col("budget")))
     overall = Window.partitionBy("query_id").orderBy("distance", "c_ord", "s_ord", "node_id")

@@ -6,12 +6,14 @@ The SQL side does not parse: it derives each expected node from how the files ar
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import code, graph, spans
+from loomspan.operators import code, graph, ingest, spans
 from loomspan.plans import fixtures as X
+from loomspan.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +29,8 @@ def lines_of(spark: SparkSession, d: str, language: str) -> DataFrame:
     return X.spark_sql(spark, d, X.code_lines(language)).select(*FILE, "line_no", "line")
 
 
-def _base(language: str) -> str:
-    """Common SQL: L (all lines), S (functions with header, end and the start after annotations), T (call tokens)."""
+def _base(language: str, only: str = "") -> str:
+    """Common SQL over the files that ``only`` leaves: L (all lines), S (functions with header, end and the start after annotations), T (call tokens)."""
     moves = language in ("java", "kotlin", "csharp")
     tokens = ["SELECT repo_name, file_path, line_no, 0 AS pos, 'g' || o_custkey AS callee FROM l WHERE part = 4", "SELECT repo_name, file_path, line_no, 1, 'h' || k % 50 FROM l WHERE part = 4"]
     if language != "r":
@@ -38,16 +40,17 @@ def _base(language: str) -> str:
         tokens.append(f"SELECT repo_name, file_path, line_no, 0, {extra} FROM l WHERE part = 1")
     if language == "r":
         tokens.append("SELECT repo_name, file_path, line_no, 0, 'library' FROM l WHERE part = 0")
-    start = "coalesce((SELECT max(a.line_no) FROM l a WHERE a.part = 1 AND a.o_custkey = h.o_custkey AND a.line_no BETWEEN h.line_no - 6 AND h.line_no - 1), h.line_no)" if moves else "h.line_no"
-    return f"""WITH l AS ({X.duck(X.code_lines(language))}),
-s AS (SELECT h.repo_name, h.file_path, h.o_custkey, h.k, h.line_no AS header, {start} AS start_line, e.line_no AS end_line FROM l h JOIN l e ON h.part = 2 AND e.part = 5 AND e.o_custkey = h.o_custkey AND e.k = h.k),
+    start = "coalesce(h.ann, h.line_no)" if moves else "h.line_no"
+    nearest = "max(CASE WHEN part = 1 THEN line_no END) OVER (PARTITION BY o_custkey ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
+    return f"""WITH l AS (SELECT * FROM ({X.duck(X.code_lines(language))}) {only}),
+s AS (SELECT h.repo_name, h.file_path, h.o_custkey, h.k, h.line_no AS header, {start} AS start_line, e.line_no AS end_line FROM (SELECT *, {nearest} AS ann FROM l) h JOIN l e ON h.part = 2 AND e.part = 5 AND e.o_custkey = h.o_custkey AND e.k = h.k),
 t AS ({' UNION ALL '.join(tokens)}),
 x AS (SELECT s.repo_name, s.file_path, s.k, 'F' || s.k AS caller, t.callee, min(t.line_no * 10 + t.pos) AS place FROM s JOIN t ON t.file_path = s.file_path AND t.line_no > s.start_line AND t.line_no <= s.end_line AND t.callee <> 'F' || s.k GROUP BY ALL),
 edges AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY file_path, k ORDER BY place) <= 24)
 """
 
 
-def _nodes_sql(language: str) -> str:
+def _nodes_sql(language: str, only: str = "") -> str:
     conf = code.LANGUAGES[language]
     kinds = {language_kind[1] for language_kind in conf.imports}
     kind = "import_from" if "import_from" in kinds else sorted(kinds)[0]
@@ -64,12 +67,12 @@ def _nodes_sql(language: str) -> str:
         parts.append("SELECT repo_name, file_path, 'route', '/p' || k, line_no, line_no, 0.8, '' FROM l WHERE part = 1")
     if language in ("java", "kotlin", "csharp"):
         parts.append("SELECT s.repo_name, s.file_path, 'route', 'F' || s.k || ':/p' || a.k, s.start_line, s.end_line, 0.88, '' FROM s JOIN l a ON a.file_path = s.file_path AND a.line_no = s.start_line AND a.part = 1")
-    return _base(language) + "SELECT DISTINCT repo_name, file_path, node_type, symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(confidence AS DOUBLE) AS confidence, kind FROM (" + " UNION ALL ".join(parts) + ")"
+    return _base(language, only) + "SELECT DISTINCT repo_name, file_path, node_type, symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(confidence AS DOUBLE) AS confidence, kind FROM (" + " UNION ALL ".join(parts) + ")"
 
 
 def _register(language: str, name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return code.extract(lines_of(spark, d, language), language).drop("language")
+        return code.extract(lines_of(spark, d, language), language).drop("language", "metadata")
 
     QUERIES[name] = run
     ORACLES[name] = _nodes_sql(language)
@@ -79,6 +82,37 @@ for _language, _name in (("javascript", "js_nodes"), ("java", "java_nodes"), ("k
     _register(_language, _name)
 
 
+#: In a mixed corpus each customer writes one language, or plain text of which nothing is known.
+MIXED = ("go", "java", "javascript", "r", "unknown")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    parts = [X.spark_sql(spark, d, X.code_lines("go" if lang == "unknown" else lang)).where(F.col("o_custkey") % len(MIXED) == i).withColumn("file_path", F.regexp_replace("file_path", "go$", "zz") if lang == "unknown" else F.col("file_path")) for i, lang in enumerate(MIXED)]
+    lines = reduce(DataFrame.unionByName, parts).groupBy(*FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return corpus.files_from_texts(lines, F.col("repo_name"), F.col("file_path"), F.col("text"))
+
+
+@query
+def corpus_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Files of several languages to one node table, with text, id and hash."""
+    made = ingest.corpus_nodes(_mixed(spark, d), ["go", "java", "javascript", "r"])
+    return made.select("repo_name", "file_path", "node_id", "node_type", F.coalesce("symbol", F.lit("")).alias("symbol"), "start_line", "end_line", "language", "confidence", "content_hash")
+
+
+def _mixed_sql() -> str:
+    of = [f"SELECT *, '{lang}' AS language FROM ({_nodes_sql(lang, f'WHERE o_custkey % {len(MIXED)} = {i}')}) n{i}" for i, lang in enumerate(MIXED[:-1])]
+    lines = " UNION ALL ".join(f"SELECT repo_name, {'file_path' if lang != 'unknown' else chr(39).join(['regexp_replace(file_path, ', 'go$', ', ', 'zz', ')'])} AS file_path, line_no, line FROM ({X.duck(X.code_lines('go' if lang == 'unknown' else lang))}) WHERE o_custkey % {len(MIXED)} = {i}" for i, lang in enumerate(MIXED))
+    return f"""WITH l AS ({lines}), f AS (SELECT repo_name, file_path, max(line_no) AS n FROM l GROUP BY ALL), n AS ({' UNION ALL '.join(of)}
+  UNION ALL SELECT repo_name, file_path, 'file', NULL, 1, n, 0.4, '', 'unknown' FROM f WHERE suffix(file_path, '.zz')),
+t AS (SELECT n.repo_name, n.file_path, n.node_type, n.symbol, n.start_line, n.end_line, n.language, n.confidence, sha256(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS content_hash
+  FROM n JOIN l ON l.repo_name = n.repo_name AND l.file_path = n.file_path AND l.line_no BETWEEN n.start_line AND n.end_line GROUP BY ALL)
+SELECT repo_name, file_path, CASE WHEN node_type = 'file' THEN 'file::' || file_path ELSE node_type || '::' || file_path || '::' || coalesce(symbol, 'NA') || '::' || start_line || '-' || end_line END AS node_id, node_type,
+  coalesce(symbol, '') AS symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, language, CAST(confidence AS DOUBLE) AS confidence, content_hash FROM t"""
+
+
+ORACLES["corpus_nodes"] = _mixed_sql()
+
+
 @query
 def brace_blocks(spark: SparkSession, d: str) -> DataFrame:
     return spans.brace_blocks(lines_of(spark, d, "go")).select("file_path", "line_no", "block_end")

@@ -122,6 +122,15 @@ def markdown_section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return documents.section_chunks(files, corpus.line_table(files)).select("repo_name", "file_path", "start_line", "end_line", "section_path", F.sha2("text", 256).alias("content_hash"))
 
 
+# Sections cut to chunks of 100 lines, 20 in common.
+ORACLES["markdown_section_chunks"] = ORACLES["markdown_sections"].replace("SELECT a.repo_name, a.file_path, a.line_no AS start_line", ", sec AS (SELECT a.repo_name, a.file_path, a.line_no AS start_line", 1) + """),
+k AS (SELECT *, end_line - start_line + 1 AS n, CAST(greatest(0, ceil((end_line - start_line + 1 - 100) / 80.0)) AS INT) AS m FROM sec WHERE end_line >= start_line),
+c AS (SELECT *, start_line + u.i * 80 AS a, least(start_line + u.i * 80 + 99, end_line) AS b FROM k, unnest(range(0, m + 1)) AS u(i)
+  UNION ALL SELECT *, 0, end_line - 19, end_line FROM k WHERE end_line - 19 > start_line + m * 80),
+x AS (SELECT c.repo_name, c.file_path, c.a, c.b, c.section_path, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body FROM c JOIN l ON l.repo_name = c.repo_name AND l.file_path = c.file_path AND l.line_no BETWEEN c.a AND c.b GROUP BY ALL)
+SELECT repo_name, file_path, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, section_path, sha256(body) AS content_hash FROM x WHERE trim(body, chr(10) || ' ') <> ''"""
+
+
 @query
 def markdown_titles(spark: SparkSession, d: str) -> DataFrame:
     files = _markdown(spark, d)
@@ -382,3 +391,50 @@ def manifest_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["manifest_snippets"] = f"WITH m AS ({X.duck(_MANIFEST)}) SELECT repo_name, name AS file_path, left(arg_max(text, length(text) * 10000000 + doc_id), 3000) AS snippet FROM m WHERE name <> 'other.txt' GROUP BY ALL"
+
+
+_TIMES = ("2024-01-01 00:00:00", "2024-01-01 00:01:30.25")
+
+
+@query
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    files, registry = _files(spark, d), _registry(spark, d)
+    started, finished = (F.lit(t).cast("timestamp") for t in _TIMES)
+    found = reports.run_report(files, store.changed_files(files, registry), documents.plain_chunks(files), run_id="run", started=started, finished=finished)
+    types = F.array_join(F.transform(F.map_entries("node_type_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.select("run_id", "repo_name", "files_scanned", "files_changed", "nodes", F.coalesce(types, F.lit("")).alias("types"), "security_tags", "elapsed_seconds")
+
+
+ORACLES["run_report"] = f"""WITH fs AS (SELECT *, sha256(text) AS file_hash FROM ({X.duck(X.FILES.format(ext='.txt'))})), reg AS ({X.duck(X.REGISTRY.format(sha='sha256', bits=''))}), ch AS ({_chunks_sql('.txt', 120, 20, 'doc', 0.9)}),
+a AS (SELECT repo_name, count(*) AS files_scanned, count(*) FILTER (NOT EXISTS (SELECT 1 FROM reg r WHERE r.repo_name = fs.repo_name AND r.file_path = fs.file_path AND r.file_hash = fs.file_hash)) AS files_changed FROM fs GROUP BY 1),
+n AS (SELECT repo_name, count(*) AS nodes FROM ch GROUP BY 1)
+SELECT 'run' AS run_id, a.repo_name, files_scanned, files_changed, coalesce(nodes, 0) AS nodes, CASE WHEN nodes IS NULL THEN '' ELSE 'doc=' || nodes END AS types, CAST(0 AS BIGINT) AS security_tags, CAST(90.25 AS DOUBLE) AS elapsed_seconds FROM a LEFT JOIN n ON a.repo_name = n.repo_name"""
+
+
+@query
+def security_eligible(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).unionByName(_files(spark, d, ".PY")).unionByName(_files(spark, d, ".sql"))
+    return nodes.security_eligible(files, [".py", ".java", ".sql"]).select("repo_name", "file_path", "ext", "lang")
+
+
+ORACLES["security_eligible"] = "SELECT source AS repo_name, 'd/' || doc_id || '.PY' AS file_path, '.py' AS ext, 'python' AS lang FROM documents UNION ALL SELECT source, 'd/' || doc_id || '.sql', '.sql', 'sql' FROM documents"
+
+
+@query
+def unseen_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals less those that are nodes already: every third was accepted before."""
+    made = nodes.proposed_nodes(X.spark_sql(spark, d, _PROPOSALS), _files(spark, d), source="reviewer")
+    known = made.where(F.pmod(F.length("file_path") + F.col("end_line"), F.lit(3)) == 0)
+    return nodes.unseen(made, known).select("file_path", "node_id", "node_type", "start_line", "end_line")
+
+
+ORACLES["unseen_proposals"] = f"SELECT DISTINCT file_path, node_id, node_type, start_line, end_line FROM ({_P}) WHERE (length(file_path) + end_line) % 3 <> 0"
+
+
+@query
+def metadata_page(spark: SparkSession, d: str) -> DataFrame:
+    v = X.spark_sql(spark, d, X.VECTORS)
+    return store.metadata_page(v.select("node_id", "collection", "repo_name", "file_path", "start_line"), F.col("repo_name") == "repo_1", 50, 20)
+
+
+ORACLES["metadata_page"] = f"SELECT node_id, collection, repo_name, file_path, start_line FROM ({X.duck(X.VECTORS)}) WHERE repo_name = 'repo_1' ORDER BY node_id LIMIT 50 OFFSET 20"

@@ -61,6 +61,21 @@ def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["retrieve_topk"] = _CTE + "SELECT query_id, rank, intent, collection, repo_name, node_id, round(distance, 6) AS distance FROM hits"
 
 
+@query
+def retrieval_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log event a question: its sources as cited. Questions without one store are there too."""
+    asked = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("query_id"))
+    turns = _intents(spark, d).select("query_id", F.col("text").alias("query"), "intent", "stores", F.lit("m").alias("model"), asked.alias("asked_at"), (asked + F.expr("INTERVAL '0.25' SECOND")).alias("answered_at"), F.array(F.lit(1)).alias("cited"))
+    events = reports.retrieval_log(turns, _hits(spark, d))
+    files = F.array_join(F.transform("sources", lambda x: F.concat(x["citation_index"].cast("string"), F.lit(":"), x["collection"], F.lit(":"), x["file_path"], F.lit(":"), x["start_line"].cast("string"))), ",")
+    return events.select("query_id", "event", "query", "intent", "source_count", "no_sources", F.array_join(F.transform("cited_indices", lambda x: x.cast("string")), ",").alias("cited"), "model", "elapsed_seconds", F.coalesce(files, F.lit("")).alias("sources"))
+
+
+ORACLES["retrieval_log"] = _CTE + """, s AS (SELECT query_id, count(*) AS n, string_agg(rank || ':' || collection || ':' || file_path || ':' || start_line, ',' ORDER BY rank) AS sources FROM hits GROUP BY 1)
+SELECT i.query_id, 'chat_turn' AS event, i.text AS query, i.intent, CAST(coalesce(n, 0) AS INT) AS source_count, n IS NULL AS no_sources, CASE WHEN n IS NULL THEN '' ELSE '1' END AS cited, CASE WHEN n IS NULL THEN '' ELSE 'm' END AS model,
+  CAST(0.25 AS DOUBLE) AS elapsed_seconds, coalesce(sources, '') AS sources FROM intents i LEFT JOIN s ON s.query_id = i.query_id"""
+
+
 @query
 def query_intent(spark: SparkSession, d: str) -> DataFrame:
     return _intents(spark, d).select("query_id", "intent", "score")

@@ -54,8 +54,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark, "ingest")
     q = streams.ingest(files, f"{base}/state", f"{base}/checkpoint", lambda f: documents.plain_chunks(f).select("repo_name", "file_path", "start_line", "end_line", "node_id", "content_hash", "confidence"))
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/state/nodes/{last}")
+    return streams.current(spark, f"{base}/state")[0].drop("bucket")
 
 
 QUERIES = {f.__name__: f for f in (stream_retrieval_health, stream_job_state, stream_ingest)}

@@ -12,7 +12,7 @@ FILE = ("repo_name", "file_path")
 
 
 def language_hint(ext: Column) -> Column:
-    pairs = [F.lit(x) for lang, exts in D.LANGUAGE_EXTS.items() for e in exts for x in (e, lang)]
+    pairs = [F.lit(x) for pair in D.LANGUAGE_OF_EXT.items() for x in pair]
     return F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit("unknown"))
 
 
@@ -35,8 +35,8 @@ def scan_files(spark: SparkSession, root: str, repo_name: str, exts: list[str],
 
 
 def files_from_texts(docs: DataFrame, repo: Column, path: Column, text: Column) -> DataFrame:
-    """The second form of a corpus: a table of texts."""
-    out = docs.select(repo.alias("repo_name"), path.alias("file_path"), F.coalesce(text, F.lit("")).alias("text"))
+    """The second form of a corpus: a table of texts. Line ends are unified before anything is hashed."""
+    out = docs.select(repo.alias("repo_name"), path.alias("file_path"), F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n").alias("text"))
     ext = T.extension(F.col("file_path"))
     return out.withColumns({"ext": ext, "lang": language_hint(ext), "size": F.octet_length("text").cast("long"), "file_hash": T.sha256(F.col("text"))})
 

@@ -4,33 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loomspan.operators import store
 
 
+BUCKETS = 256
+
+
+def current(spark: SparkSession, state: str, before: int | None = None, node_schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, registry)``: of each bucket of files the latest version, or the latest older than batch ``before``."""
+    registry = spark.read.parquet(f"{state}/registry")
+    registry = registry if before is None else registry.where(F.col("batch") < before)
+    versions = registry.groupBy("bucket").agg(F.max("batch").alias("batch"))  # BUCKETS rows at most
+    schema = None if node_schema is None else StructType([*node_schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
+    nodes = (spark.read.schema(schema) if schema else spark.read).parquet(f"{state}/nodes")
+    latest = lambda df: df.join(F.broadcast(versions), ["batch", "bucket"], "left_semi").drop("batch")
+    return latest(nodes), latest(registry)
+
+
 def ingest(files: DataFrame, state: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Hash-gated ingest: each batch extracts changed files and replaces their nodes.
 
-    ``state`` holds one folder of nodes and one of the registry a batch id; writing a batch again
-    overwrites the same folders from the same previous ones, so a replay changes nothing. The registry
-    is written last.
+    Files belong to buckets by their name's hash. A batch writes new versions of the buckets that hold a changed
+    file, in folders of its own, and nothing of the others, so its cost follows what has changed. Writing a batch
+    again overwrites the same folders from the same older versions, so a replay changes nothing. The registry,
+    which says what versions there are, is written last. Read the state with ``current``.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select("repo_name", "file_path", "text", "lang", "ext", "file_hash").dropDuplicates(["repo_name", "file_path"])
-        nodes_now, registry_now = f"{state}/nodes/{batch_id}", f"{state}/registry/{batch_id}"
+        bucket = F.pmod(F.xxhash64("repo_name", "file_path"), F.lit(BUCKETS)).cast("int")
+        registered = new.select("repo_name", "file_path", "file_hash")
         if batch_id:
-            registry = spark.read.parquet(f"{state}/registry/{batch_id - 1}")
-            changed = store.changed_files(new, registry)
-            nodes = store.replace_by_file(spark.read.parquet(f"{state}/nodes/{batch_id - 1}"), changed, extract(changed))
-            registry = store.upsert_latest(registry, new.select("repo_name", "file_path", "file_hash"), store.FILE)
+            old_nodes, old = current(spark, state, batch_id, extract(new).schema)
+            changed = store.changed_files(new, old).persist()
+            touched = [r[0] for r in changed.select(bucket).distinct().collect()]  # BUCKETS numbers at most
+            mine = lambda df: df.where(F.col("bucket").isin(touched)).drop("bucket")
+            nodes = store.replace_by_file(mine(old_nodes), changed, extract(changed))
+            registry = store.upsert_latest(mine(old), changed.select(*registered.columns), store.FILE)
         else:
-            nodes, registry = extract(new), new.select("repo_name", "file_path", "file_hash")
-        nodes.write.mode("overwrite").parquet(nodes_now)
-        registry.write.mode("overwrite").parquet(registry_now)
+            changed, nodes, registry = None, extract(new), registered
+        for what, df in (("nodes", nodes), ("registry", registry)):
+            df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/{what}/batch={batch_id}")
+        if changed is not None:
+            changed.unpersist()
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -84,7 +84,7 @@ def test_lines_of_odd_texts(spark):
     got = {}
     for r in corpus.line_table(files).orderBy("file_path", "line_no").collect():
         got.setdefault(r.file_path, []).append(r.line)
-    assert got == {"f1.md": ["a"], "f2.md": ["a", ""], "f3.md": ["a\r", "b"], "f5.md": ["x", "y"]}
+    assert got == {"f1.md": ["a"], "f2.md": ["a", ""], "f3.md": ["a", "b"], "f5.md": ["x", "y"]}
 
 
 def test_heading_paths_and_fences(spark):

@@ -31,10 +31,12 @@ def test_stream_ingest_is_idempotent_and_replaces_files(spark, tmp_path):
     go()
     push("b", [("r", "a.txt", "one"), ("r", "b.txt", "changed")])
     go()
-    first, second = (spark.read.parquet(f"{state}/nodes/{i}") for i in (0, 1))
+    (first, _), (second, registry) = (streams.current(spark, state, before) for before in (1, None))
     assert first.count() == second.count() == 2
     assert first.join(second, ["file_path", "content_hash"]).select("file_path").collect()[0].file_path == "a.txt"
-    assert spark.read.parquet(f"{state}/registry/1").count() == 2
+    assert registry.count() == 2
+    # The second batch wrote the bucket of the changed file only.
+    assert spark.read.parquet(f"{state}/registry").where("batch = 1").select("file_path").collect()[0].file_path == "b.txt"
 
 
 def test_health_stream_equals_batch(spark, tmp_path):
@@ -67,6 +69,8 @@ def test_ingest_twice_changes_nothing(spark):
 def test_embedding_inputs(spark):
     texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: r.embedding for r in embed.hashed_embeddings(texts, "id", "text", 8).collect()}
+    twice = spark.createDataFrame([(1, "a b a"), (1, "c"), (1, "c")], "id long, text string")
+    assert embed.hashed_embeddings(twice, "id", "text", 8).distinct().count() == 2
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and not any(got[2]) and not any(got[3])
     fn = lambda batch: [[float(len(t))] for t in batch]
     assert {r.id: r.embedding for r in embed.embed_batches(texts, "id", "text", fn, 2).collect()} == {1: [5.0], 2: [0.0], 3: [0.0]}
