@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
+from loomspan.functions import text as T
 from loomspan.operators import documents, embed, graph, nodes, reports, spans, store  # noqa: F401
 from loomspan.plans import fixtures as X
 from loomspan.sources import corpus
@@ -438,3 +439,25 @@ def metadata_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["metadata_page"] = f"SELECT node_id, collection, repo_name, file_path, start_line FROM ({X.duck(X.VECTORS)}) WHERE repo_name = 'repo_1' ORDER BY node_id LIMIT 50 OFFSET 20"
+
+
+@query
+def embedded_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose text has a vector, and those that lack one: vectors of every second place, one text changed since."""
+    v = X.spark_sql(spark, d, X.VECTORS).withColumn("content_hash", F.sha2("document", 256))
+    given = v.where(F.col("start_line") % 2 == 0).select("node_id", F.when(F.col("start_line") % 10 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"), "embedding")
+    have, lack = embed.with_embeddings(v.select("node_id", "content_hash", "start_line"), given)
+    return have.select("node_id", F.size("embedding").alias("dim")).unionByName(lack.select("node_id", F.lit(0).alias("dim")))
+
+
+ORACLES["embedded_nodes"] = f"SELECT node_id, CAST(CASE WHEN start_line % 2 = 0 AND start_line % 10 <> 0 THEN len(embedding) ELSE 0 END AS INT) AS dim FROM ({X.duck(X.VECTORS)})"
+
+
+@query
+def capped_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.spark_sql(spark, d, "SELECT doc_id, source FROM {documents}")
+    return rows.select("doc_id", T.capped_json(F.struct("doc_id", "source"), 24).alias("json"))
+
+
+_J = """'{"doc_id":' || doc_id || ',"source":"' || source || '"}'"""
+ORACLES["capped_json"] = f"SELECT doc_id, CASE WHEN length({_J}) > 24 THEN left({_J}, 24) || '...' ELSE {_J} END AS json FROM documents"
