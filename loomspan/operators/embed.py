@@ -19,11 +19,12 @@ def hashed_embeddings(texts: DataFrame, id_col: str, text_col: str, dim: int = 6
     """``(id, embedding)``: signed feature hashing of words, unit length; all zero without a word.
 
     Words are counted by bucket in each task before the shuffle, so at most ``dim`` rows a text move.
-    Rows with one id and different texts have a vector each; rows alike in both have one.
+    Rows with one id and different texts have a vector each; rows alike in both add up
+    to one, whose unit length hides how many they were.
     """
     words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\W+")
     row, key = F.xxhash64(text_col).alias("__row"), [id_col, "__row"]
-    hashed = texts.select(F.col(id_col), F.col(text_col)).distinct().select(F.col(id_col), row, F.explode(words).alias("w")).select(*key, "w", F.xxhash64("w").alias("h"))
+    hashed = texts.select(F.col(id_col), row, F.explode(words).alias("w")).select(*key, "w", F.xxhash64("w").alias("h"))
     sign = F.when(F.col("w") == "", 0).when(F.pmod(F.shiftright("h", 20), F.lit(2)) == 0, 1).otherwise(-1)
     sums = hashed.select(*key, F.pmod("h", F.lit(dim)).cast("int").alias("b"), sign.alias("s")).groupBy(*key, "b").agg(F.sum("s").alias("n"))
     maps = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
