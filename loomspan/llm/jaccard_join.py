@@ -252,9 +252,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         sym = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Least neighbours are written, so that the joins deal out links alone and a node with very many can be split.
+        low = written(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
         large = sym.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large-links")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = written(small.where(F.col("u") != F.col("v")).distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
