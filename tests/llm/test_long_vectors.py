@@ -26,3 +26,10 @@ def test_ann_recall_beside_a_long_vector(spark, times):
         s[q] = -np.inf
         found += len(ids & set(np.argsort(-s)[:20]))
     assert found / (20 * len(got)) >= 0.95
+
+
+def test_an_id_with_several_vectors_counts_once_at_its_best(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [3.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0])]
+    nodes = graph_ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = [(h.rank, h.id, h.score) for h in graph_ann.search(graph_ann.build(nodes, 5), nodes.where("id = 1"), 5).orderBy("rank").collect()]
+    assert got == [(1, 2, 3.0), (2, 3, 2.0)]
