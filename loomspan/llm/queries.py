@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspan.llm import bpe, fingerprints, graph_ann, jaccard_join, kd_sharding, language_id, line_dedup, mixing, url_filter, warc_fixity
+from loomspan.llm import bpe, fingerprints, graph_ann, jaccard_join, kd_sharding, language_id, line_dedup, mixing, source_audit, url_filter, warc_fixity
 from loomspan.llm.support import table
 
 RULES = [
@@ -89,12 +89,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", **corpus_pipeline.tokenizer())
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_url_filter, op4_graph_ann, op5_warc_fixity, op6_kd_sharding, op7_jaccard_join, op8_language_id, op9_mixing, op10_bpe, pipeline)
+    f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_url_filter, op4_graph_ann, op5_warc_fixity, op6_kd_sharding, op7_jaccard_join, op8_language_id, op9_mixing, op10_bpe, op13_source_audit, pipeline)
 }
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -144,4 +148,30 @@ SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.idx, b.idx) AS idx,
   a.digest, b.digest AS replica_digest,
   CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS kind
 FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.digest IS DISTINCT FROM b.digest""",
+    "op13_source_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (SELECT doc, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+w AS (SELECT lang, sum(total) AS total FROM s GROUP BY lang),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + v.v)::HUGEINT AS p
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), q AS (
+  SELECT x.lang, x.term, 1 + (1000000000::HUGEINT * (x.n + 1)) // (w.total + v.v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) x JOIN w USING (lang) JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM every) WHERE part = 'pair' OR r <= 200""",
 }
