@@ -211,12 +211,12 @@ def two_fattest(a: int, b: int) -> int:
 
 
 class _Node:
-    """A compacted node: its edge holds the depths in (above, depth] of the path that made it."""
+    """A compacted node: its edge holds the depths in (above, depth] of the path that made it, whose ``tag`` it keeps."""
 
-    __slots__ = ("above", "depth", "path", "first", "below", "least", "sums")
+    __slots__ = ("above", "depth", "path", "first", "tag", "up", "below", "least", "sums")
 
-    def __init__(self, above: int, depth: int, path: list[bytes], first: int, least: int, width: int) -> None:
-        self.above, self.depth, self.path, self.first, self.least = above, depth, path, first, least
+    def __init__(self, up: _Node | None, above: int, depth: int, path: list[bytes], first: int, tag: object, least: int, width: int) -> None:
+        self.up, self.above, self.depth, self.path, self.first, self.tag, self.least = up, above, depth, path, first, tag, least
         self.below: dict[bytes, _Node] = {}
         self.sums = [0] * width
 
@@ -229,11 +229,11 @@ class ZFastTrie:
 
     def __init__(self, start: bytes, depth: int, width: int) -> None:
         self.width = width
-        self.root = _Node(depth - 1, depth, [start], depth, 1 << 63, width)
+        self.root = _Node(None, depth - 1, depth, [start], depth, None, 1 << 63, width)
         self.handles: dict[tuple[int, bytes], _Node] = {}
 
     def exit(self, path: list[bytes], stop: int) -> tuple[_Node, _Node]:
-        """(the deepest node that the path passes, the node it leaves the trie in) by fat binary search; ``path`` begins at the root."""
+        """(the deepest node that the path passes, the node it leaves the trie in, the same if it goes on beyond it) by fat binary search; ``path`` begins at the root."""
         top = self.root.depth
         passed, a, b = self.root, top, stop
         while a < b:
@@ -245,14 +245,14 @@ class ZFastTrie:
                 passed = node
                 a = node.depth
             else:
-                return passed, node
+                return node.up, node
         here = passed.depth
         return passed, passed.below.get(path[here + 1 - top], passed) if here < stop else passed
 
     def _hang(self, node: _Node) -> None:
         self.handles[two_fattest(node.above, node.depth), node.prefix(two_fattest(node.above, node.depth))] = node
 
-    def locate(self, path: list[bytes], stop: int, least: int) -> _Node:
+    def locate(self, path: list[bytes], stop: int, least: int, tag: object = None) -> _Node:
         """The node that ends at depth ``stop`` of the path; made, and its edge split off, where there is none."""
         top = self.root.depth
         passed, leaves = self.exit(path, stop)
@@ -263,27 +263,27 @@ class ZFastTrie:
                 lo, hi = (mid, hi) if leaves.prefix(mid) == path[mid - top] else (lo, mid - 1)
             if lo < leaves.depth:  # a node at depth lo between the two
                 del self.handles[two_fattest(leaves.above, leaves.depth), leaves.prefix(two_fattest(leaves.above, leaves.depth))]
-                middle = _Node(passed.depth, lo, leaves.path, leaves.first, leaves.least, self.width)
+                middle = _Node(passed, passed.depth, lo, leaves.path, leaves.first, leaves.tag, leaves.least, self.width)
                 passed.below[leaves.prefix(passed.depth + 1)] = middle
                 middle.below[leaves.prefix(lo + 1)] = leaves
-                leaves.above = lo
+                leaves.above, leaves.up = lo, middle
                 self._hang(middle)
                 self._hang(leaves)
                 passed = middle
         if passed.depth < stop:
-            node = _Node(passed.depth, stop, path, top, least, self.width)
+            node = _Node(passed, passed.depth, stop, path, top, tag, least, self.width)
             passed.below[path[passed.depth + 1 - top]] = node
             self._hang(node)
             passed = node
         return passed
 
-    def add(self, path: list[bytes], stop: int, least: int, weights: tuple) -> None:
-        node = self.locate(path, stop, least)
+    def add(self, path: list[bytes], stop: int, least: int, weights: tuple, tag: object = None) -> None:
+        node = self.locate(path, stop, least, tag)
         node.least = min(node.least, least)
         node.sums = [a + b for a, b in zip(node.sums, weights)]
 
     def rows(self, with_root: bool) -> Iterator[tuple]:
-        """Edges expanded: (depth, prefix, prefix above, path's node, least, sums, ends here), from the leaves up."""
+        """Edges expanded: (node with its sums over all below, depth on its edge, weights of paths that end there), from the leaves up."""
         order, todo = [], [self.root]
         while todo:
             node = todo.pop()
@@ -330,13 +330,10 @@ def _batches_of(rows: Iterator[tuple], width: int, add: Callable[[ZFastTrie, lis
 
 def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Nodes with their members, smallest member and ends, from (conv_id, depth, start, path, start_bytes, upto, ends)."""
-    sizes: dict[int, list[int]] = {}
 
     def add(trie: ZFastTrie, path: list[bytes], row: tuple) -> None:
         conv, depth, _, _, start_bytes, upto, ends = row
-        sizes[id(path)] = [start_bytes, *upto]
-        kept.append(path)
-        trie.add(path, depth + len(upto), conv, (1, int(ends)))
+        trie.add(path, depth + len(upto), conv, (1, int(ends)), [start_bytes, *upto])
 
     def expand(trie: ZFastTrie) -> Iterator[tuple]:
         top = trie.root.depth
@@ -344,10 +341,9 @@ def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
             if d == top:
                 yield d, node.prefix(d), None, 0, node.sums[0], node.least, ends[1], 0
             else:
-                at = sizes[id(node.path)]
-                yield d, node.prefix(d), node.path[d - 1 - node.first], at[d - node.first] - at[d - 1 - node.first], node.sums[0], node.least, ends[1], at[d - 1 - node.first]
+                before, after = node.tag[d - 1 - node.first : d + 1 - node.first]
+                yield d, node.prefix(d), node.prefix(d - 1), after - before, node.sums[0], node.least, ends[1], before
 
-    kept: list[list[bytes]] = []
     yield from _batches_of(rows, 2, add, expand)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspan.llm import bpe, chat_format, fingerprints, graph_ann, jaccard_join, kd_sharding, language_id, line_dedup, mixing, source_audit, url_filter, warc_fixity
+from loomspan.llm import bpe, chat_format, conversation_trie, fingerprints, graph_ann, jaccard_join, kd_sharding, language_id, line_dedup, mixing, source_audit, url_filter, warc_fixity
 from loomspan.llm.support import table
 
 RULES = [
@@ -96,6 +96,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.turn_spans(turns, "conv_id", "turn", "role", "text"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").drop("prefix")
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
 
@@ -105,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_url_filter, op4_graph_ann, op5_warc_fixity, op6_kd_sharding, op7_jaccard_join, op8_language_id, op9_mixing, op10_bpe, op11_chat_format, op13_source_audit, pipeline)
+    f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_url_filter, op4_graph_ann, op5_warc_fixity, op6_kd_sharding, op7_jaccard_join, op8_language_id, op9_mixing, op10_bpe, op11_chat_format, op12_conversation_trie, op13_source_audit, pipeline)
 }
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -167,6 +171,34 @@ WITH c AS (
     sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS chars FROM e GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites FROM a""",
+    "op12_conversation_trie": """
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) r(i))
+), ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, dg) AS pos FROM t),
+r AS (
+  SELECT k.conv_id, o.pos AS depth, o.bytes, o.dg FROM k JOIN o ON o.conv_id = k.conv_id - k.conv_id % 5 AND o.pos <= k.h
+  UNION ALL
+  SELECT k.conv_id, o.pos - k.h + least(k.h, coalesce(b.n, 0)), o.bytes, o.dg FROM k JOIN o ON o.conv_id = k.conv_id AND o.pos > k.h
+  LEFT JOIN (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id) b ON b.conv_id = k.conv_id - k.conv_id % 5
+), p AS (
+  SELECT conv_id, depth, bytes, string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k
+), l AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT path, depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (ends) AS n_ends,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM l GROUP BY path, depth
+), s AS (
+  SELECT a.path, count(*) FILTER (b.n_ends = b.n_convs) AS n_leaves, count(*) FILTER (b.depth = a.depth + 1) AS n_children, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM n a JOIN n b ON starts_with(b.path, a.path) GROUP BY a.path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN n u ON n.depth = u.depth + 1 AND u.path = left(n.path, 64 * u.depth)""",
     "op13_source_audit": r"""
 WITH d AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
