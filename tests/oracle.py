@@ -26,6 +26,8 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
             return "null" if x != x else f"{x:.6f}"
         return repr(list(x)) if hasattr(x, "__iter__") and not isinstance(x, (str, bytes, dict)) else str(x)
 
+    # Integers with nulls come as floats from Spark and as Int64 from DuckDB.
+    df = df.astype({c: "float64" for c in df.columns if str(df[c].dtype) in ("Int64", "Int32")})
     df = df[sorted(df.columns)].astype(object).map(one)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
