@@ -74,7 +74,11 @@ def _mapping_route(pattern: str) -> Callable[[Column, Column], Column]:
 
 _SPRING = r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\b"
 
-# The patterns that define each language's nodes.
+_CS_MODIFIER = r"(?:public|private|protected|internal|static|virtual|override|async|sealed|new|partial)\s++(?!\()"
+
+# The patterns that define each language's nodes. Java's matcher calls itself once a turn of a group
+# that may give back what it took, so groups that repeat are possessive, and a word before a bracket is kept from them
+# by a look ahead: a line of any length needs no stack, and time in proportion to it.
 LANGUAGES: dict[str, Language] = {
     "javascript": Language(
         comment="//", annotation="@", annotated="types", annotations_name="decorators", any_case_main=True, file_framework=(r"""@(?:Component|Injectable|NgModule|Directive|Pipe)\b|from\s+["']@angular""", "angular"),
@@ -85,7 +89,7 @@ LANGUAGES: dict[str, Language] = {
             (r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?function\b", 1),
         ],
         imports=[
-            (r"""^\s*import\s+[^;]*?\s+from\s+["']([^"']+)["']""", "import_from", 0.8),
+            (r"""^\s*+import\s[^;]*?\sfrom\s++["']([^"']+)["']""", "import_from", 0.8),
             (r"""^\s*import\s+["']([^"']+)["']""", "import_side_effect", 0.8),
             (r"""require\s*\(\s*["']([^"']+)["']\s*\)""", "require", 0.78),
         ],
@@ -97,20 +101,20 @@ LANGUAGES: dict[str, Language] = {
     ),
     "java": Language(
         comment="//", annotation="@",
-        types=[(r"^\s*(?:public|protected|private)?\s*(?:abstract\s+|final\s+)?(?:class|interface|enum|record)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:public|protected|private)?\s*(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?(?:<[^>]+>\s*)?[\w\[\]<>?,\s]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:throws\s+[^{]+)?\{", 1)],
+        types=[(r"^\s*+(?:public|protected|private)?+\s*+(?:abstract\s++|final\s++)?+(?:class|interface|enum|record)\s++([A-Za-z_]\w*)", 1)],
+        functions=[(r"^(?:\s*+(?:public|protected|private)?+\s*+(?:static\s++)?+(?:final\s++)?+(?:synchronized\s++)?+<[^>]++>)?[\w\[\]<>?,\s]{2,}(?<=\s)([A-Za-z_]\w*+)\s*+\([^;]*\)\s*+(?:throws\s+[^{]+)?\{", 1)],
         imports=[(r"^\s*import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;", "import", 0.8)],
         routes=_mapping_route(_SPRING),
-        entries=[(r"(?=.*\sstatic\s).*\b(main)\s*\([^;]*\)\s*(?:throws\s+[^{]+)?\{", "main", "jvm_main", 0.88)],
+        entries=[(r"^(?=.*\sstatic\s).*\b(main)\s*+\([^;]*\)\s*+(?:throws\s+[^{]+)?\{", "main", "jvm_main", 0.88)],
     ),
     "kotlin": Language(
         comment="//", annotation="@",
-        types=[(r"^\s*(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation)\s+)*(?:class|interface|object|enum\s+class|sealed\s+class|data\s+class)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:(?:public|private|protected|internal|open|abstract|final|suspend|inline|tailrec|operator|infix|external|override)\s+)*fun\s+([A-Za-z_]\w*)\s*\(", 1)],
+        types=[(r"^\s*+(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation)\s++)*+(?:class|interface|object|enum\s+class|sealed\s+class|data\s+class)\s+([A-Za-z_]\w*)", 1)],
+        functions=[(r"^\s*+(?:(?:public|private|protected|internal|open|abstract|final|suspend|inline|tailrec|operator|infix|external|override)\s++)*+fun\s+([A-Za-z_]\w*)\s*\(", 1)],
         imports=[(r"^\s*import\s+([A-Za-z0-9_.*]+)\s*$", "import", 0.8)],
         routes=_mapping_route(_SPRING),
         line_routes=lambda: _hit(r"""\b(?:get|post|put|delete|patch|route)\s*\(\s*["']([^"']+)["']"""),
-        type_entry=(r"^\s*(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation)\s+)*object\s.*:\s*App\b", "kotlin_app_object", 0.86),
+        type_entry=(r"^\s*+(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|enum|annotation)\s++)*+object\s.*:\s*App\b", "kotlin_app_object", 0.86),
         kind_name="kotlin_kind", kinds=r"\b(class|interface|object)\s", frameworks=((r"@(?:RestController|Controller|Service)", "spring-boot"),),
         main=("main", "kotlin_main", 0.88), function_confidence=0.88, type_confidence=0.9,
     ),
@@ -126,25 +130,25 @@ LANGUAGES: dict[str, Language] = {
     ),
     "csharp": Language(
         comment="//", annotation="[",
-        types=[(r"^\s*(?:(?:public|private|protected|internal|sealed|abstract|partial|static)\s+)*(?:class|interface|struct|record)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|new|partial)\s+)+[\w<>,\[\]\.\?]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:where\s+[^{]+)?\{", 1)],
+        types=[(r"^\s*+(?:(?:public|private|protected|internal|sealed|abstract|partial|static)\s++)*+(?:class|interface|struct|record)\s+([A-Za-z_]\w*)", 1)],
+        functions=[(rf"^\s*+{_CS_MODIFIER}(?:(?:{_CS_MODIFIER})++(?:[\w<>,\[\]\.\?]++\s++)?|[\w<>,\[\]\.\?]++\s++)([A-Za-z_]\w*+)\s*+\([^;]*\)\s*+(?:where\s+[^{{]+)?\{{", 1)],
         imports=[(r"^\s*using\s+([A-Za-z0-9_.]+)\s*;", "using", 0.8)],
         routes=_mapping_route(r"\[(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\b"),
-        entries=[(r"(?=.*\bstatic\s).*\b(Main)\s*\([^;]*\)\s*\{", "Main", "dotnet_main", 0.9)],
+        entries=[(r"^(?=.*\bstatic\s).*\b(Main)\s*+\([^;]*\)\s*+\{", "Main", "dotnet_main", 0.9)],
     ),
     "cpp": Language(
         comment="//",
-        types=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:template\s*<[^>]+>\s*)?(?:(?:inline|constexpr|static|virtual|friend|extern)\s+)*(?:[\w:<>~*&]+\s+)+([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)?)\s*\([^;{}]*\)\s*(?:const)?\s*(?:noexcept)?\s*(?:override)?\s*(?:final)?\s*(\{|;)", 1)],
+        types=[(r"^\s*+(?:template\s*+<[^>]++>\s*+)?(?:class|struct)\s++([A-Za-z_]\w*)", 1)],
+        functions=[(r"^\s*+(?:template\s*+<[^>]++>\s*+)?(?:[\w:<>~*&]++\s++(?!\())++([A-Za-z_~]\w*+(?:::[A-Za-z_~]\w*+)?)\s*+\([^;{}]*\)\s*+(?:const\s*+)?(?:noexcept\s*+)?(?:override\s*+)?(?:final\s*+)?(\{|;)", 1)],
         imports=[(r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""", "include", 0.78)],
         main=("main", "cpp_main", 0.9), function_confidence=0.8, type_confidence=0.88, declaration_confidence=0.65,
     ),
     "scala": Language(
         comment="//",
-        types=[(r"^\s*(?:sealed\s+|final\s+|abstract\s+|case\s+|private\s+|protected\s+)*(?:class|object|trait)\s+([A-Za-z_]\w*)", 1)],
-        functions=[(r"^\s*(?:override\s+|private\s+|protected\s+|implicit\s+|final\s+)*def\s+([A-Za-z_]\w*)\b", 1)],
-        imports=[(r"^\s*import\s+([A-Za-z0-9_.*{} ,]+)\s*$", "import", 0.8)],
-        type_entry=(r"^\s*(?:sealed\s+|final\s+|abstract\s+|case\s+|private\s+|protected\s+)*object\s.*extends App", "scala_app_object", 0.86),
+        types=[(r"^\s*+(?:(?:sealed|final|abstract|case|private|protected)\s++)*+(?:class|object|trait)\s+([A-Za-z_]\w*)", 1)],
+        functions=[(r"^\s*+(?:(?:override|private|protected|implicit|final)\s++)*+def\s+([A-Za-z_]\w*)\b", 1)],
+        imports=[(r"^\s*+import\s++([A-Za-z0-9_.*{} ,]++)\s*+$", "import", 0.8)],
+        type_entry=(r"^\s*+(?:(?:sealed|final|abstract|case|private|protected)\s++)*+object\s.*extends App", "scala_app_object", 0.86),
         kind_name="scala_kind", kinds=r"\b(class|object|trait)\s",
         main=("main", "scala_main", 0.9), function_confidence=0.88, type_confidence=0.9,
     ),
@@ -271,7 +275,8 @@ def sql_lineage(lines: DataFrame) -> DataFrame:
     refs = F.concat(F.transform(ref(r"\b(?:from|join|into|update|merge\s+into)\s+"), lambda x: F.struct(x.alias("callee"), F.lit(0.74).alias("c"))), F.transform(ref(r"\b(?:call|exec(?:ute)?)\s+"), lambda x: F.struct(x.alias("callee"), F.lit(0.76).alias("c"))))
     uses = lines.select(*FILE, "line_no", F.explode(refs).alias("r")).select(*FILE, "line_no", "r.*").where(F.col("callee") != "")
     scopes = found.where(F.col("node_type") == "function").select(*FILE, F.col("symbol").alias("owner"), "start_line", "end_line")
-    owner = uses.select(*FILE, "line_no").distinct().join(scopes, FILE).where(F.col("line_no").between(F.col("start_line"), F.col("end_line"))).groupBy(*FILE, "line_no").agg(F.min_by("owner", "start_line").alias("owner"))
+    covered = graph.within(scopes, uses.select(*FILE, "line_no").distinct(), F.col("start_line"), F.col("end_line"))
+    owner = covered.groupBy(*FILE, "line_no").agg(F.min_by("owner", "start_line").alias("owner"))
     edges = uses.join(owner, [*FILE, "line_no"], "left").withColumn("caller", F.coalesce("owner", F.concat(F.lit("query@"), F.col("line_no").cast("string"))))
     edges = edges.groupBy(*FILE, F.concat("caller", F.lit("->"), "callee").alias("symbol"), "line_no").agg(F.min("c").alias("confidence"))
     edges = edges.select(*FILE, F.lit("call_edge").alias("node_type"), "symbol", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), "confidence", F.lit("references").alias("kind"))
@@ -339,10 +344,10 @@ def python_calls(lines: DataFrame, most: int = 24) -> DataFrame:
 
 def python_imports(lines: DataFrame) -> DataFrame:
     """``(file, line_no, symbol, alias)``, one row an imported name; relative dots stay."""
-    whole, of = r"(?U)^\s*import\s+(.+)$", r"(?U)^\s*from\s+(\.*[\w.]*)\s+import\s+\(?([^)]*)\)?"
+    whole, of = r"(?U)^\s*import\s+(.+)$", r"(?U)^\s*from\s+([\w.]*+)\s+import\s+\(?([^)]*)\)?"
     base = F.regexp_extract("line", of, 1)
     names = F.when(F.col("line").rlike(of), F.regexp_extract("line", of, 2)).otherwise(F.regexp_extract("line", whole, 1))
-    rows = lines.where(F.col("line").rlike(whole) | F.col("line").rlike(of)).select(*FILE, "line_no", base.alias("base"), F.explode(F.split(F.regexp_replace(names, r"\s*#.*$", ""), ",")).alias("n"))
+    rows = lines.where(F.col("line").rlike(whole) | F.col("line").rlike(of)).select(*FILE, "line_no", base.alias("base"), F.explode(F.split(F.regexp_replace(names, r"(?<!\s)\s*+#.*$", ""), ",")).alias("n"))
     rows = rows.withColumns({"name": T.strip(F.regexp_extract("n", r"^\s*([\w.*]+)", 1)), "alias": F.regexp_extract("n", r"\bas\s+(\w+)", 1)}).where(F.col("name") != "")
     symbol = F.when(F.col("base") == "", F.col("name")).when(F.endswith("base", F.lit(".")), F.concat("base", "name")).otherwise(F.concat("base", F.lit("."), "name"))
     return rows.select(*FILE, "line_no", symbol.alias("symbol"), "alias")

@@ -11,7 +11,7 @@ from loomspan.sources.corpus import snippet, with_lines
 
 FILE = ["repo_name", "file_path"]
 # What a heading and a fence look like.
-HEADING = r"(?U)^\s*(#{1,6})\s+(.+?)\s*$"
+HEADING = r"(?U)^\s*+(#{1,6})\s++(\S(?:.*\S)?)\s*$"
 FENCE = r"(?U)^\s*(```|~~~)\s*([A-Za-z0-9_+.\-#]*)"
 
 
@@ -33,7 +33,7 @@ def config_chunks(files: DataFrame) -> DataFrame:
 
 def headings(lines: DataFrame) -> DataFrame:
     """``(file, line_no, level, title, section_path)``: the path joins a heading and its open ancestors."""
-    h = lines.where(F.col("line").rlike(HEADING)).select(*FILE, "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.strip(F.regexp_replace(F.regexp_extract("line", HEADING, 2), r"^#+|#+$", "")).alias("title"))
+    h = lines.where(F.col("line").rlike(HEADING)).select(*FILE, "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.strip(F.regexp_replace(F.regexp_extract("line", HEADING, 2), r"^#+|(?<!#)#+$", "")).alias("title")).where("title <> ''")
     sofar = spans.by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in range(1, 7):
         h = h.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("line_no", "title")), ignorenulls=True).over(sofar))

@@ -53,24 +53,35 @@ def edge_nodes(edges: DataFrame, language: Column, confidence: float = 0.72) ->
     return out.dropDuplicates([*FILE, "symbol", "start_line"])
 
 
+def _latest(ops: DataFrame, marks: DataFrame, at: str, mark_at: str, name: str, *, back: bool) -> DataFrame:
+    """``ops`` plus ``name``: the mark at or before each (at or after, if ``back``), the first emitted of several at one place.
+
+    Both sides are laid in one order and a running window carries the latest mark on, so work is linear in their number.
+    """
+    rank = F.col("place").desc() if back else F.col("place").asc()
+    laid = ops.withColumns({"place": F.col(at), "is_op": F.lit(1), "seq": F.lit(None).cast("bigint")}).unionByName(
+        marks.select(*FILE, F.struct("symbol", "start_line", "end_line").alias("mark"), F.col(mark_at).alias("place"), F.lit(0).alias("is_op"), F.col("emit_seq").cast("bigint").alias("seq")), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*FILE).orderBy(rank, "is_op", F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = laid.withColumn(name, F.last("mark", ignorenulls=True).over(order)).where(F.col("is_op") == 1)
+    return found.drop("place", "is_op", "seq", "mark")
+
+
 def flow_chains(nodes: DataFrame) -> DataFrame:
     """Route -> nearest guard before -> sensitive operation -> nearest audit after, a file at a time.
 
-    Three equi-joins on the file with a range condition; the as-of sides pick by (place, emit_seq).
+    Guards and audits meet operations in two running windows; only routes meet operations in a join, whose rows are the result.
     """
-    def kind(t: str, p: str) -> DataFrame:
-        return nodes.where(F.col("node_type") == t).select(*FILE, *[F.col(c).alias(f"{p}_{c}") for c in ("symbol", "start_line", "end_line", "emit_seq")])
-
-    route, guard, op, audit = kind("route", "r"), kind("auth_guard", "g"), kind("sensitive_op", "s"), kind("audit_log", "a")
-    key = [*FILE, "s_emit_seq"]
-    before = op.join(guard, FILE).where(F.col("g_end_line") <= F.col("s_start_line")).groupBy(*key).agg(F.max_by(F.struct("g_symbol", "g_start_line", "g_end_line"), F.struct("g_end_line", -F.col("g_emit_seq"))).alias("g"))
-    after = op.join(audit, FILE).where(F.col("a_start_line") >= F.col("s_end_line")).groupBy(*key).agg(F.min_by(F.struct("a_symbol", "a_start_line", "a_end_line"), F.struct("a_start_line", "a_emit_seq")).alias("a"))
-    safe = op.join(before, key).join(after, key)
+    of = lambda kind: nodes.where(F.col("node_type") == kind).select(*FILE, "symbol", "start_line", "end_line", "emit_seq")
+    ops = of("sensitive_op").select(*FILE, *[F.col(c).alias(f"s_{c}") for c in ("symbol", "start_line", "end_line")])
+    guarded = _latest(ops, of("auth_guard"), "s_start_line", "end_line", "g", back=False).where("g IS NOT NULL")
+    safe = _latest(guarded, of("audit_log"), "s_end_line", "start_line", "a", back=True).where("a IS NOT NULL")
+    route = of("route").select(*FILE, *[F.col(c).alias(f"r_{c}") for c in ("symbol", "start_line", "end_line")])
     chain = route.join(safe, FILE).where(F.col("s_start_line") >= F.col("r_start_line"))
     r_name = F.coalesce("r_symbol", F.concat(F.lit("route@"), "r_start_line"))
     s_name = F.coalesce("s_symbol", F.concat(F.lit("sensitive@"), "s_start_line"))
-    g_name, a_name = F.coalesce("g.g_symbol", F.lit("auth_guard")), F.coalesce("a.a_symbol", F.lit("audit_log"))
+    g_name, a_name = F.coalesce("g.symbol", F.lit("auth_guard")), F.coalesce("a.symbol", F.lit("audit_log"))
     text = F.concat(F.lit("Entrypoint: "), r_name, F.lit("\nSecurity check: "), g_name, F.lit("\nSensitive op: "), s_name, F.lit("\nAudit log: "), a_name)
-    start = F.least("r_start_line", "g.g_start_line", "s_start_line", "a.a_start_line")
-    stop = F.greatest("r_end_line", "g.g_end_line", "s_end_line", "a.a_end_line")
+    start = F.least("r_start_line", "g.start_line", "s_start_line", "a.start_line")
+    stop = F.greatest("r_end_line", "g.end_line", "s_end_line", "a.end_line")
     return chain.select(*FILE, F.concat(r_name, F.lit("->"), s_name).alias("symbol"), start.alias("start_line"), stop.alias("end_line"), text.alias("text"), F.lit(0.82).alias("confidence"))

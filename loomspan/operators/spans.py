@@ -47,33 +47,45 @@ def cobol_comments(lines: DataFrame) -> DataFrame:
 def marked_comments(lines: DataFrame, marker: str) -> DataFrame:
     """``(file, kind, start_line, end_line)``: runs of marker lines and /* */ blocks.
 
-    Blocks and marker lines interact in order, so the lines that hold any marker are folded a file at
-    a time (a small array); lines between them never leave the scan.
+    A line with a mark either leaves the text inside a block, outside of one, as it was, or turned over. So
+    whether a line begins inside a block is a running sum: what the latest line that decides by itself left,
+    turned over as often as lines since did. Work is linear in the lines with marks; others only give their number.
     """
     text = T.strip(F.col("line"))
     is_line = F.startswith(text, F.lit(marker))
     opens = F.locate("/*", F.col("line"))
-    closed_here = F.when(opens > 0, F.locate("*/", F.col("line"), 1) > 0) & (F.locate("*/", F.substring(F.col("line"), opens + 2, F.length("line"))) > 0)
-    kind = F.struct("line_no", is_line.alias("mark"), (opens > 0).alias("open"), F.coalesce(closed_here, F.lit(False)).alias("same"), F.contains("line", F.lit("*/")).alias("close"))
-    marks = lines.withColumn("k", kind)
-    n = marks.groupBy(*FILE).agg(F.max("line_no").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("k.mark") | F.col("k.open") | F.col("k.close"), F.col("k")))).alias("ks"))
-    empty = F.array().cast("array<struct<kind:string,a:int,b:int>>")
-    span = lambda kind, a, b: F.array(F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b")))
-
-    def step(s: Column, k: Column) -> Column:
-        inside = s["open"] > 0
-        ended = F.when(k["close"], F.struct(F.lit(0).alias("open"), F.concat(s["out"], span("block", s["open"], k["line_no"])).alias("out"))).otherwise(s)
-        as_line = F.struct(F.lit(0).alias("open"), F.concat(s["out"], span("line", k["line_no"], k["line_no"])).alias("out"))
-        one = F.struct(F.lit(0).alias("open"), F.concat(s["out"], span("block", k["line_no"], k["line_no"])).alias("out"))
-        begun = F.struct(k["line_no"].alias("open"), s["out"].alias("out"))
-        return F.when(inside, ended).when(k["mark"], as_line).when(k["open"] & k["same"], one).when(k["open"], begun).otherwise(s)
-
-    end = F.aggregate("ks", F.struct(F.lit(0).alias("open"), empty.alias("out")), step)
-    folded = n.withColumn("e", end).withColumn("spans", F.when(F.col("e.open") > 0, F.concat("e.out", span("block", F.col("e.open"), F.col("n_lines")))).otherwise(F.col("e.out")))
-    spans = folded.select(*FILE, F.explode("spans").alias("s")).select(*FILE, F.col("s.kind").alias("kind"), F.col("s.a").alias("line_no"), F.col("s.b").alias("end_line"))
-    runs = islands(spans, F.col("kind") == "line").withColumn("kind", F.lit("line_block"))
-    blocks = spans.where(F.col("kind") == "block").withColumnRenamed("line_no", "start_line")
-    return runs.unionByName(blocks)
+    same = F.coalesce((opens > 0) & (F.locate("*/", F.substring(F.col("line"), opens + 2, F.length("line"))) > 0), F.lit(False))
+    closes = F.contains("line", F.lit("*/"))
+    marks = lines.select(*FILE, "line_no", is_line.alias("mark"), same.alias("same"), (opens > 0).alias("open"), closes.alias("close")).where("mark OR open OR close")
+    begins = F.col("open") & ~F.col("mark") & ~F.col("same")  # where a line begins outside
+    turned = begins & F.col("close")
+    decides = F.when(begins & ~F.col("close"), True).when(~begins & F.col("close"), False)
+    upto = by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("turns", F.sum(turned.cast("int")).over(upto)).withColumn("left", F.last(F.when(decides.isNotNull(), F.struct(decides.alias("inside"), "turns")), ignorenulls=True).over(upto))
+    odd = (F.col("turns") - F.coalesce("left.turns", F.lit(0))) % 2 == 1
+    marks = marks.withColumn("after", F.coalesce("left.inside", F.lit(False)) != odd)
+    before = F.coalesce(F.lag("after").over(by_line()), F.lit(False))
+    marks = marks.withColumns({"before": before, "is_last": F.lead("line_no").over(by_line()).isNull()})
+    starts = ~F.col("before") & F.col("after")
+    marks = marks.withColumn("begun", F.last(F.when(starts, F.col("line_no")), ignorenulls=True).over(upto))
+    span = lambda rows, kind, a, b: rows.select(*FILE, F.lit(kind).alias("kind"), a.cast("int").alias("start_line"), b.cast("int").alias("end_line"))
+    here, begun = F.col("line_no"), F.col("begun")
+    whole = span(marks.where("before AND NOT after"), "block", begun, here)
+    one = span(marks.where("NOT before AND NOT after AND same AND NOT mark"), "block", here, here)
+    n = lines.groupBy(*FILE).agg(F.max("line_no").alias("n_lines"))
+    open_end = span(marks.where("is_last AND after").join(n, FILE), "block", begun, F.col("n_lines"))
+    runs = islands(marks.where("NOT before AND mark").select(*FILE, "line_no"), F.lit(True)).select(*FILE, F.lit("line_block").alias("kind"), "start_line", "end_line")
+    return runs.unionByName(whole).unionByName(one).unionByName(open_end)
+
+
+def next_within(value: Column, max_span: int, *extra: str) -> Column:
+    """The first ``value`` that is not null at or after each line, at most ``max_span - 1`` lines on: a running window from the end, linear in lines.
+
+    ``value`` is a struct whose first field is its line_no.
+    """
+    back = Window.partitionBy(*FILE, *extra).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last(value, ignorenulls=True).over(back)
+    return F.when(found["line_no"] < F.col("line_no") + max_span, found)
 
 
 def brace_blocks(lines: DataFrame, max_span: int = 300) -> DataFrame:
@@ -91,8 +103,7 @@ def brace_blocks(lines: DataFrame, max_span: int = 300) -> DataFrame:
     first = leveled.withColumn("close", close).where(F.col("ch") == "{").groupBy(*FILE, "line_no").agg(F.min_by("close", "pos").alias("close"))
     n = F.max("line_no").over(Window.partitionBy(*FILE))
     marked = lines.join(first.withColumn("open", F.lit(True)), [*FILE, "line_no"], "left").withColumn("n_lines", n)
-    ahead = by_line().rowsBetween(0, max_span - 1)
-    found = F.first(F.when(F.col("open"), F.struct("line_no", "close")), ignorenulls=True).over(ahead)
+    found = next_within(F.when(F.col("open"), F.struct("line_no", "close")), max_span)
     limit = F.least(F.col("n_lines"), F.col("line_no") - 1 + max_span)
     end = F.when(F.col("f").isNull(), F.col("line_no")).otherwise(F.least(F.coalesce(F.col("f.close"), limit), limit))
     return marked.withColumn("f", found).withColumn("block_end", end.cast("int")).drop("open", "close", "f", "n_lines")
@@ -101,7 +112,7 @@ def brace_blocks(lines: DataFrame, max_span: int = 300) -> DataFrame:
 def statement_ends(lines: DataFrame, max_span: int = 400) -> DataFrame:
     """``lines`` plus ``statement_end``: the first line at or after each with ';', within ``max_span`` lines."""
     n = F.max("line_no").over(Window.partitionBy(*FILE))
-    hit = F.first(F.when(F.contains("line", F.lit(";")), F.col("line_no")), ignorenulls=True).over(by_line().rowsBetween(0, max_span - 1))
+    hit = next_within(F.when(F.contains("line", F.lit(";")), F.struct("line_no")), max_span)["line_no"]
     return lines.withColumn("statement_end", F.coalesce(hit, F.least(n, F.col("line_no") + max_span - 1)).cast("int"))
 
 

@@ -231,13 +231,14 @@ def python_docstrings(spark: SparkSession, d: str) -> DataFrame:
 
 ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0 AND k % 6 <> 0"
 
-_NOTEBOOK = """SELECT 'nb' AS repo_name, 'n/' || conv_id || '.ipynb' AS file_path, '{{"cells":[' || array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> '{{"cell_type":"' || CASE x.role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END || '","source":' || to_json(named_struct('s', coalesce(x.text, ''))) || '}}'), ',') || '],"metadata":{{"language_info":{{"name":"Python"}}}}}}' AS text FROM {conversations} GROUP BY conv_id"""
+_NOTEBOOK = """SELECT 'nb' AS repo_name, 'n/' || conv_id || '.ipynb' AS file_path, to_json(named_struct(
+  'cells', transform(array_sort(collect_list(struct(turn, role, text))), x -> named_struct('cell_type', CASE x.role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END, 'source', coalesce(x.text, ''))),
+  'metadata', named_struct('language_info', named_struct('name', 'Python')))) AS text FROM {conversations} GROUP BY conv_id"""
 
 
 @query
 def notebook_cells(spark: SparkSession, d: str) -> DataFrame:
-    raw = X.spark_sql(spark, d, _NOTEBOOK).withColumn("text", F.regexp_replace("text", r'"source":\{"s":((?:"(?:[^"\\]|\\.)*"))\}', '"source":$1'))
-    return code.notebook_cells(raw).select("file_path", "cell_index", "cell_type", "language", "start_line", "n_lines", "source", "parse_error")
+    return code.notebook_cells(X.spark_sql(spark, d, _NOTEBOOK)).select("file_path", "cell_index", "cell_type", "language", "start_line", "n_lines", "source", "parse_error")
 
 
 ORACLES["notebook_cells"] = """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, coalesce(text, '') AS source, string_split(coalesce(text, ''), chr(10)) AS p FROM conversations),
