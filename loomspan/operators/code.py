@@ -312,83 +312,25 @@ def cobol(lines: DataFrame) -> DataFrame:
     return every.withColumns({"metadata": F.coalesce("metadata", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))), "language": F.lit("cobol")})
 
 
-def python_symbols(lines: DataFrame) -> DataFrame:
-    """``(file, node_type, symbol, start_line, end_line, indent)``: def and class with their bodies by indentation.
-
-    A body ends at the last non-blank line before the next one that is indented no deeper. A file's headers
-    have few levels of indentation; a line is laid once on each level that it closes, and a header's next
-    line on its own level is its end. Rows grow with lines times levels.
-    """
-    text = lines.where(T.strip(F.col("line")) != "").withColumn("indent", F.length("line") - F.length(F.ltrim(F.col("line"), F.lit(T.SPACE))))
-    text = text.withColumns({"prev": F.lag("line_no").over(spans.by_line()), "last_line": F.max("line_no").over(Window.partitionBy(*FILE))})
-    head = r"(?U)^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"
-    is_head = F.col("line").rlike(head)
-    text = text.withColumn("levels", F.collect_set(F.when(is_head, F.col("indent"))).over(Window.partitionBy(*FILE)))
-    laid = text.withColumns({"k": F.when(is_head, F.regexp_extract("line", head, 1)), "symbol": F.regexp_extract("line", head, 2)})
-    laid = laid.withColumn("level", F.explode(F.filter("levels", lambda h: h >= F.col("indent")))).drop("levels", "line")
-    out = laid.withColumn("stop", F.lead("prev").over(spans.by_line("level"))).where(F.col("k").isNotNull() & (F.col("level") == F.col("indent")))
-    return out.select(*FILE, F.when(F.col("k") == "class", "class").otherwise("function").alias("node_type"), "symbol", F.col("line_no").alias("start_line"), F.coalesce("stop", "last_line").alias("end_line"), "indent")
-
-
-def python_calls(lines: DataFrame, most: int = 24) -> DataFrame:
-    """``(file, caller, callee, line_no)``: the caller is the innermost function, with its enclosing classes."""
-    symbols = python_symbols(lines)
-    tokens = graph.call_tokens(lines.where(~F.col("line").rlike(r"^\s*(?:async\s+)?(?:def|class)\s")))
-    cover = graph.within(symbols, tokens, F.col("start_line") + 1, F.col("end_line"))
-    of = cover.groupBy(*FILE, "line_no", "pos", "callee").agg(F.max_by("symbol", "start_line").alias("inner"), F.max(F.when(F.col("node_type") == "function", F.struct("start_line", "symbol"))).alias("fn"), F.array_sort(F.collect_list(F.when(F.col("node_type") == "class", F.struct("start_line", "symbol")))).alias("cs"))
-    caller = F.concat_ws(".", F.transform("cs", lambda x: x["symbol"]), F.col("fn.symbol"))
-    first = of.where(F.col("fn").isNotNull()).groupBy(*FILE, caller.alias("caller"), "callee").agg(F.min(F.struct("line_no", "pos")).alias("at"))
-    order = Window.partitionBy(*FILE, "caller").orderBy("at")
-    return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(*FILE, "caller", "callee", F.col("at.line_no").alias("line_no"))
-
-
-def python_imports(lines: DataFrame) -> DataFrame:
-    """``(file, line_no, symbol, alias)``, one row an imported name; relative dots stay."""
-    whole, of = r"(?U)^\s*import\s+(.+)$", r"(?U)^\s*from\s+([\w.]*+)\s+import\s+\(?([^)]*)\)?"
-    base = F.regexp_extract("line", of, 1)
-    names = F.when(F.col("line").rlike(of), F.regexp_extract("line", of, 2)).otherwise(F.regexp_extract("line", whole, 1))
-    rows = lines.where(F.col("line").rlike(whole) | F.col("line").rlike(of)).select(*FILE, "line_no", base.alias("base"), F.explode(F.split(F.regexp_replace(names, r"(?<!\s)\s*+#.*$", ""), ",")).alias("n"))
-    rows = rows.withColumns({"name": T.strip(F.regexp_extract("n", r"^\s*([\w.*]+)", 1)), "alias": F.regexp_extract("n", r"\bas\s+(\w+)", 1)}).where(F.col("name") != "")
-    symbol = F.when(F.col("base") == "", F.col("name")).when(F.endswith("base", F.lit(".")), F.concat("base", "name")).otherwise(F.concat("base", F.lit("."), "name"))
-    return rows.select(*FILE, "line_no", symbol.alias("symbol"), "alias")
-
-
-def python_entrypoints(lines: DataFrame) -> DataFrame:
-    """``(file, line_no, symbol, kind, confidence)``: the last ``def main`` and every main guard."""
-    mains = lines.where(F.col("line").rlike(r"^\s*(?:async\s+)?def\s+main\s*\(")).groupBy(*FILE).agg(F.max("line_no").alias("line_no"))
-    guards = lines.where(F.col("line").rlike(r"""^\s*if\s+__name__\s*==\s*["']__main__["']"""))
-    a = mains.select(*FILE, "line_no", F.lit("main").alias("symbol"), F.lit("main_function").alias("kind"), F.lit(0.86).alias("confidence"))
-    return a.unionByName(guards.select(*FILE, "line_no", F.lit("__main__").alias("symbol"), F.lit("python_main_guard").alias("kind"), F.lit(0.9).alias("confidence")))
-
-
-def python_docstrings(lines: DataFrame) -> DataFrame:
-    """``(file, owner, start_line, end_line)``: the first statement after a header, or of a file, if it is a triple-quoted string."""
-    q = r"""^\s*[rRuUbB]{0,2}(\"\"\"|''')"""
-    text = lines.where(T.strip(F.col("line")) != "")
-    w = spans.by_line()
-    closer = lambda m: F.first(F.when(F.contains("line", F.lit(m)), F.col("line_no")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    prev = F.lag("line").over(w)
-    head = r"(?U)^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)"
-    rows = text.withColumns({"prev": prev, "next_d": closer('"""'), "next_s": closer("'''"), "mark": F.regexp_extract("line", q, 1), "first": F.row_number().over(w) == 1})
-    rows = rows.where((F.col("mark") != "") & (F.col("first") | F.col("prev").rlike(head + r".*:\s*$")))
-    rest = F.regexp_replace("line", q, "")
-    stop = F.when(F.contains(rest, F.col("mark")), F.col("line_no")).when(F.col("mark") == '"""', F.col("next_d")).otherwise(F.col("next_s"))
-    owner = F.when(F.col("first"), "module").otherwise(F.regexp_extract("prev", head, 1))
-    return rows.withColumn("stop", stop).where(F.col("stop").isNotNull()).select(*FILE, owner.alias("owner"), F.col("line_no").alias("start_line"), F.col("stop").alias("end_line"))
-
-
 NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:string,execution_count:int,metadata:struct<language:string>>>,metadata:struct<language_info:struct<name:string>>>"
 
 
 def notebook_cells(files: DataFrame) -> DataFrame:
-    """``(file, cell_index, cell_type, language, start_line, n_lines, source, parse_error)``: cells laid one after another with a blank line between."""
-    nb = files.select(*FILE, F.from_json("text", NOTEBOOK).alias("nb"))
-    bad = nb.where(F.col("nb.cells").isNull()).select(*FILE, F.lit(-1).alias("cell_index"), F.lit(None).cast("string").alias("cell_type"), F.lit(None).cast("string").alias("language"), F.lit(1).alias("start_line"), F.lit(0).alias("n_lines"), F.lit("").alias("source"), F.lit("invalid_notebook").alias("parse_error"))
-    cells = nb.select(*FILE, F.col("nb.metadata.language_info.name").alias("nb_lang"), F.posexplode("nb.cells").alias("cell_index", "c"))
+    """``(file, cell_index, cell_type, language, execution_count, start_line, n_lines, source, parse_error)``: cells laid one after another with a blank line between.
+
+    An empty cell is one empty line. A text that is no JSON, or whose root is no object, gives one row with ``parse_error`` and
+    no cell; a notebook without cells gives none.
+    """
+    nb = files.select(*FILE, F.from_json("text", NOTEBOOK).alias("nb"), F.try_parse_json("text").isNotNull().alias("is_json"), F.startswith(T.strip(F.col("text")), F.lit("{")).alias("is_object"))
+    none = lambda t: F.lit(None).cast(t)
+    error = F.when(~F.col("is_json"), "invalid_ipynb").when(~F.col("is_object"), "invalid_ipynb_root")
+    bad = nb.where(error.isNotNull()).select(*FILE, F.lit(-1).alias("cell_index"), none("string").alias("cell_type"), none("string").alias("language"), none("int").alias("execution_count"), F.lit(1).alias("start_line"), F.lit(0).alias("n_lines"), F.lit("").alias("source"), error.alias("parse_error"))
+    cells = nb.where(error.isNull()).select(*FILE, F.col("nb.metadata.language_info.name").alias("nb_lang"), F.posexplode("nb.cells").alias("cell_index", "c")).where("c IS NOT NULL")
     listed = F.array_join(F.from_json("c.source", "array<string>"), "")
     cells = cells.withColumn("source", F.coalesce(F.when(F.startswith("c.source", F.lit("[")), listed), "c.source", F.lit("")))
-    cells = cells.withColumn("n_lines", F.size(T.split_lines(F.col("source"))))
+    cells = cells.withColumn("n_lines", F.greatest(F.lit(1), F.size(T.split_lines(F.col("source")))))
     start = F.coalesce(F.sum(F.col("n_lines") + 1).over(Window.partitionBy(*FILE).orderBy("cell_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     lang = F.coalesce(F.nullif(F.lower(T.strip(F.col("c.metadata.language"))), F.lit("")), F.nullif(F.lower(T.strip(F.col("nb_lang"))), F.lit("")), F.lit("python"))
-    good = cells.select(*FILE, "cell_index", F.col("c.cell_type").alias("cell_type"), lang.alias("language"), start.cast("int").alias("start_line"), "n_lines", "source", F.lit(None).cast("string").alias("parse_error"))
+    kind = F.lower(T.strip(F.coalesce("c.cell_type", F.lit("unknown"))))
+    good = cells.select(*FILE, "cell_index", kind.alias("cell_type"), lang.alias("language"), F.col("c.execution_count").alias("execution_count"), start.cast("int").alias("start_line"), "n_lines", "source", none("string").alias("parse_error"))
     return good.unionByName(bad)

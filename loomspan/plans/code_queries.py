@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import code, graph, ingest, spans
+from loomspan.operators import code, graph, ingest, python_code, spans
 from loomspan.plans import fixtures as X
 from loomspan.sources import corpus
 
@@ -40,10 +40,11 @@ def _base(language: str, only: str = "") -> str:
         tokens.append(f"SELECT repo_name, file_path, line_no, 0, {extra} FROM l WHERE part = 1")
     if language == "r":
         tokens.append("SELECT repo_name, file_path, line_no, 0, 'library' FROM l WHERE part = 0")
-    start = "coalesce(h.ann, h.line_no)" if moves else "h.line_no"
-    nearest = "max(CASE WHEN part = 1 THEN line_no END) OVER (PARTITION BY o_custkey ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
-    return f"""WITH l AS (SELECT * FROM ({X.duck(X.code_lines(language))}) {only}),
-s AS (SELECT h.repo_name, h.file_path, h.o_custkey, h.k, h.line_no AS header, {start} AS start_line, e.line_no AS end_line FROM (SELECT *, {nearest} AS ann FROM l) h JOIN l e ON h.part = 2 AND e.part = 5 AND e.o_custkey = h.o_custkey AND e.k = h.k),
+    start = "coalesce(max(ann['n']) FILTER (part = 2), max(line_no) FILTER (part = 2))" if moves else "max(line_no) FILTER (part = 2)"
+    nearest = "max(CASE WHEN part = 1 THEN {'n': line_no, 'line': line} END) OVER (PARTITION BY o_custkey ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
+    return f"""WITH l AS MATERIALIZED (SELECT * FROM ({X.duck(X.code_lines(language))}) {only}),
+s AS MATERIALIZED (SELECT repo_name, file_path, o_custkey, k, max(line_no) FILTER (part = 2) AS header, {start} AS start_line, max(line_no) FILTER (part = 5) AS end_line, max(ann['line']) FILTER (part = 2) AS ann
+  FROM (SELECT *, {nearest} AS ann FROM l) GROUP BY ALL),
 t AS ({' UNION ALL '.join(tokens)}),
 x AS (SELECT s.repo_name, s.file_path, s.k, 'F' || s.k AS caller, t.callee, min(t.line_no * 10 + t.pos) AS place FROM s JOIN t ON t.file_path = s.file_path AND t.line_no > s.start_line AND t.line_no <= s.end_line AND t.callee <> 'F' || s.k GROUP BY ALL),
 edges AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY file_path, k ORDER BY place) <= 24)
@@ -95,7 +96,7 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def corpus_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Files of several languages to one node table, with text, id and hash."""
-    made = ingest.corpus_nodes(_mixed(spark, d), ["go", "java", "javascript", "r"])
+    made = ingest.corpus_nodes(_mixed(spark, d))
     return made.select("repo_name", "file_path", "node_id", "node_type", F.coalesce("symbol", F.lit("")).alias("symbol"), "start_line", "end_line", "language", "confidence", "content_hash")
 
 
@@ -119,8 +120,8 @@ def brace_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["brace_blocks"] = _base("go") + """SELECT file_path, line_no, CAST(CASE WHEN nxt IS NULL OR nxt > least(n, line_no + 299) THEN line_no ELSE least(nxt_end, least(n, line_no + 299)) END AS INT) AS block_end FROM (
-  SELECT l.file_path, l.line_no, max(l.line_no) OVER (PARTITION BY l.file_path) AS n, (SELECT min(s.header) FROM s WHERE s.file_path = l.file_path AND s.header >= l.line_no) AS nxt,
-    (SELECT min(s.end_line) FROM s WHERE s.file_path = l.file_path AND s.header >= l.line_no) AS nxt_end FROM l)"""
+  SELECT l.file_path, l.line_no, max(l.line_no) OVER (PARTITION BY l.file_path) AS n, min(s.header) OVER w AS nxt, min(s.end_line) OVER w AS nxt_end FROM l LEFT JOIN s ON s.file_path = l.file_path AND s.header = l.line_no
+  WINDOW w AS (PARTITION BY l.file_path ORDER BY l.line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
 @query
@@ -128,7 +129,7 @@ def statement_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.statement_ends(lines_of(spark, d, "sql")).select("file_path", "line_no", "statement_end")
 
 
-ORACLES["statement_spans"] = _base("sql") + "SELECT file_path, line_no, CAST(coalesce((SELECT min(e.line_no) FROM l e WHERE e.file_path = l.file_path AND e.line_no >= l.line_no AND e.line_no < l.line_no + 400 AND contains(e.line, ';')), least(max(line_no) OVER (PARTITION BY file_path), line_no + 399)) AS INT) AS statement_end FROM l"
+ORACLES["statement_spans"] = _base("sql") + "SELECT file_path, line_no, CAST(coalesce(min(CASE WHEN contains(line, ';') THEN line_no END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 399 FOLLOWING), least(max(line_no) OVER (PARTITION BY file_path), line_no + 399)) AS INT) AS statement_end FROM l"
 
 
 @query
@@ -137,7 +138,7 @@ def annotation_blocks(spark: SparkSession, d: str) -> DataFrame:
     return a.where(F.col("line").contains("int F")).select("file_path", "line_no", "ann_start", F.array_join("annotations", "|").alias("annotations"))
 
 
-ORACLES["annotation_blocks"] = _base("java") + "SELECT s.file_path, s.header AS line_no, s.start_line AS ann_start, coalesce(a.line, '') AS annotations FROM s LEFT JOIN l a ON a.file_path = s.file_path AND a.line_no = s.start_line AND a.part = 1"
+ORACLES["annotation_blocks"] = _base("java") + "SELECT file_path, header AS line_no, start_line AS ann_start, coalesce(ann, '') AS annotations FROM s"
 
 
 @query
@@ -166,7 +167,7 @@ def sql_lineage(spark: SparkSession, d: str) -> DataFrame:
     return code.sql_lineage(lines_of(spark, d, "sql")).select("file_path", "node_type", "symbol", "start_line", "end_line", "kind")
 
 
-ORACLES["sql_lineage"] = _base("sql") + """, e AS (SELECT file_path, line_no, (SELECT min(z.line_no) FROM l z WHERE z.file_path = l.file_path AND z.line_no >= l.line_no AND contains(z.line, ';')) AS stop, part, k, o_custkey FROM l)
+ORACLES["sql_lineage"] = _base("sql") + """, e AS (SELECT file_path, line_no, min(CASE WHEN contains(line, ';') THEN line_no END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop, part, k, o_custkey FROM l)
 SELECT file_path, 'view' AS node_type, 'v' || k AS symbol, line_no AS start_line, stop AS end_line, 'create_view' AS kind FROM e WHERE part = 2
 UNION ALL SELECT file_path, 'query', 'UPDATE@' || line_no, line_no, stop, 'UPDATE' FROM e WHERE part = 0
 UNION ALL SELECT file_path, 'query', 'SELECT@' || line_no, line_no, stop, 'SELECT' FROM e WHERE part = 4
@@ -188,7 +189,7 @@ UNION ALL SELECT file_path, 'comment_line', NULL, line_no, line_no, 'line_block'
 
 @query
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return code.python_symbols(lines_of(spark, d, "python")).select("file_path", "node_type", "symbol", "start_line", "end_line")
+    return python_code.python_symbols(lines_of(spark, d, "python")).select("file_path", "node_type", "symbol", "start_line", "end_line")
 
 
 ORACLES["python_symbols"] = _base("python") + "SELECT file_path, 'function' AS node_type, 'F' || k AS symbol, header AS start_line, end_line FROM s"
@@ -196,7 +197,7 @@ ORACLES["python_symbols"] = _base("python") + "SELECT file_path, 'function' AS n
 
 @query
 def python_calls(spark: SparkSession, d: str) -> DataFrame:
-    return code.python_calls(lines_of(spark, d, "python")).select("file_path", "caller", "callee", "line_no")
+    return python_code.python_calls(lines_of(spark, d, "python")).select("file_path", "caller", "callee", "line_no")
 
 
 ORACLES["python_calls"] = _base("python") + "SELECT file_path, 'F' || k AS caller, 'g' || o_custkey AS callee, line_no FROM l WHERE part = 4 UNION ALL SELECT file_path, 'F' || k, 'h' || k % 50, line_no FROM l WHERE part = 4"
@@ -204,10 +205,10 @@ ORACLES["python_calls"] = _base("python") + "SELECT file_path, 'F' || k AS calle
 
 @query
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
-    return code.python_imports(lines_of(spark, d, "python")).select("file_path", "line_no", "symbol", "alias")
+    return python_code.python_imports(lines_of(spark, d, "python")).select("file_path", "line_no", "symbol", "alias", "kind")
 
 
-ORACLES["python_imports"] = _base("python") + "SELECT file_path, line_no, 'm' || k % 10 AS symbol, '' AS alias FROM l WHERE part = 0"
+ORACLES["python_imports"] = _base("python") + "SELECT file_path, line_no, 'm' || k % 10 AS symbol, '' AS alias, 'import' AS kind FROM l WHERE part = 0"
 
 _PY_EXTRA = "CASE WHEN part = 2 AND k % 5 = 0 THEN 'def main(x):' WHEN part = 5 AND k % 8 = 0 THEN 'if __name__ == \"__main__\":' WHEN part = 4 AND k % 3 = 0 THEN '    \"\"\"about ' || k || '\"\"\"' ELSE line END"
 
@@ -218,7 +219,7 @@ def _python_extra(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def python_entrypoints(spark: SparkSession, d: str) -> DataFrame:
-    return code.python_entrypoints(_python_extra(spark, d)).select("file_path", "line_no", "symbol", "kind")
+    return python_code.python_entrypoints(_python_extra(spark, d)).select("file_path", "line_no", "symbol", "kind")
 
 
 ORACLES["python_entrypoints"] = _base("python") + "SELECT file_path, max(line_no) AS line_no, 'main' AS symbol, 'main_function' AS kind FROM l WHERE part = 2 AND k % 5 = 0 GROUP BY 1 UNION ALL SELECT file_path, line_no, '__main__', 'python_main_guard' FROM l WHERE part = 5 AND k % 8 = 0"
@@ -226,10 +227,10 @@ ORACLES["python_entrypoints"] = _base("python") + "SELECT file_path, max(line_no
 
 @query
 def python_docstrings(spark: SparkSession, d: str) -> DataFrame:
-    return code.python_docstrings(_python_extra(spark, d))
+    return python_code.python_docstrings(_python_extra(spark, d))
 
 
-ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0 AND k % 6 <> 0"
+ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, 'function:' || CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0 AND k % 6 <> 0"
 
 _NOTEBOOK = """SELECT 'nb' AS repo_name, 'n/' || conv_id || '.ipynb' AS file_path, to_json(named_struct(
   'cells', transform(array_sort(collect_list(struct(turn, role, text))), x -> named_struct('cell_type', CASE x.role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END, 'source', coalesce(x.text, ''))),
@@ -242,7 +243,7 @@ def notebook_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["notebook_cells"] = """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, coalesce(text, '') AS source, string_split(coalesce(text, ''), chr(10)) AS p FROM conversations),
-n AS (SELECT *, CAST(CASE WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END AS INT) AS n_lines FROM c)
+n AS (SELECT *, CAST(greatest(1, CASE WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END) AS INT) AS n_lines FROM c)
 SELECT 'n/' || conv_id || '.ipynb' AS file_path, CAST(i AS INT) AS cell_index, CASE role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END AS cell_type, 'python' AS language,
   CAST(1 + coalesce(sum(n_lines + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_line, n_lines, source, CAST(NULL AS VARCHAR) AS parse_error FROM n"""
 

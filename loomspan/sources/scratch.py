@@ -5,16 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir, which the cluster shares; a temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir, which the cluster shares. Where that is unset, a temporary folder in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-loomspan-"))
         base = _OWN[0]
     return f"{base}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in folders by the columns ``by``, and read it back: later steps read it instead of making it again."""
+    path = scratch(df.sparkSession, what)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomspan.operators import code
+from loomspan.operators import code, python_code
 from loomspan.sources import corpus
 from pyspark.sql import functions as F
 
@@ -57,7 +57,7 @@ def test_block_comments_and_earlier_rule_wins(spark):
 def test_python_bodies_by_indentation(spark):
     text = "class A:\n    def f(self):\n        if x:\n            g()\n\n    def h(self):\n        k(1)\nz()\ndef m():\n    pass\n"
     files = corpus.files_from_texts(spark.createDataFrame([(text,)], "text string"), F.lit("r"), F.lit("f.py"), F.col("text"))
-    got = {r.symbol: (r.node_type, r.start_line, r.end_line) for r in code.python_symbols(corpus.line_table(files)).collect()}
+    got = {r.symbol: (r.node_type, r.start_line, r.end_line) for r in python_code.python_symbols(corpus.line_table(files)).collect()}
     assert got == {"A": ("class", 1, 7), "f": ("function", 2, 4), "h": ("function", 6, 7), "m": ("function", 9, 10)}
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import code, documents, spans
+from loomspan.operators import code, documents, python_code, spans
 from loomspan.sources import corpus
 
 
@@ -103,9 +103,9 @@ def test_callees_are_capped_and_recursion_is_skipped(spark):
 
 def test_python_bodies_by_indentation(spark):
     lines = ["class A:", "    def f(self):", "        g(1)", "", "        h.i(2)", "    x = 1", "def k():", "    f()"]
-    got = {(r.symbol, r.start_line, r.end_line) for r in code.python_symbols(table(spark, [lines])).collect()}
+    got = {(r.symbol, r.start_line, r.end_line) for r in python_code.python_symbols(table(spark, [lines])).collect()}
     assert got == {("A", 1, 6), ("f", 2, 5), ("k", 7, 8)}
-    calls = {(r.caller, r.callee) for r in code.python_calls(table(spark, [lines])).collect()}
+    calls = {(r.caller, r.callee) for r in python_code.python_calls(table(spark, [lines])).collect()}
     assert calls == {("A.f", "g"), ("A.f", "h.i"), ("k", "f")}
 
 
