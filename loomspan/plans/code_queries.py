@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import code, graph, ingest, python_code, spans
+from loomspan.plans import corpus_queries
 from loomspan.plans import fixtures as X
 from loomspan.sources import corpus
 
@@ -84,36 +85,97 @@ for _language, _name in (("javascript", "js_nodes"), ("java", "java_nodes"), ("k
 
 
 #: In a mixed corpus each customer writes one language, or plain text of which nothing is known.
-MIXED = ("go", "java", "javascript", "r", "unknown")
+MIXED = ("go", "java", "javascript", "r", "python", "sql", "cobol", "unknown")
+
+
+def _own_nodes_sql(language: str, only: str) -> str:
+    """Nodes of the languages whose scopes are no brace blocks."""
+    row = lambda node_type, symbol, confidence, kind, where, stop="line_no": f"SELECT repo_name, file_path, '{node_type}' AS node_type, {symbol} AS symbol, line_no AS start_line, {stop} AS end_line, {confidence} AS confidence, '{kind}' AS kind FROM e WHERE {where}"
+    rows = [row("comment_line", "NULL", 0.78, "line_block", "part = 3")]
+    if language == "python":
+        rows += ["SELECT repo_name, file_path, 'function', 'F' || k, header, end_line, 1.0, '' FROM s", row("import_usage", "'m' || k % 10", 0.8, "import", "part = 0")]
+        rows += [row("call_edge", f"'F' || k || '->{x}", 0.84, "calls", "part = 4") for x in ("g' || o_custkey", "h' || k % 50")]
+    if language == "sql":
+        rows += [row("view", "'v' || k", 0.9, "create_view", "part = 2", "stop"), row("query", "'UPDATE@' || line_no", 0.82, "UPDATE", "part = 0", "stop"), row("query", "'SELECT@' || line_no", 0.82, "SELECT", "part = 4", "stop")]
+        rows += [row("call_edge", f"'query@' || line_no || '->{x}", 0.74, "references", f"part = {p}") for x, p in (("s' || k % 10", 0), ("g' || o_custkey", 4), ("h' || k % 50", 4))]
+    if language == "cobol":
+        rows += [row("function", "'P' || k", 0.72, "paragraph", "part = 2", "line_no + 1"), row("call_edge", "'P' || k || '->G' || o_custkey", 0.76, "calls", "part = 4")]
+    ends = "e AS (SELECT *, min(CASE WHEN contains(line, ';') THEN line_no END) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 399 FOLLOWING) AS stop FROM l)"
+    return _base(language, only).rstrip() + ", " + ends + " SELECT DISTINCT repo_name, file_path, node_type, symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(confidence AS DOUBLE) AS confidence, kind FROM (" + " UNION ALL ".join(rows) + ")"
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     parts = [X.spark_sql(spark, d, X.code_lines("go" if lang == "unknown" else lang)).where(F.col("o_custkey") % len(MIXED) == i).withColumn("file_path", F.regexp_replace("file_path", "go$", "zz") if lang == "unknown" else F.col("file_path")) for i, lang in enumerate(MIXED)]
     lines = reduce(DataFrame.unionByName, parts).groupBy(*FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return corpus.files_from_texts(lines, F.col("repo_name"), F.col("file_path"), F.col("text"))
+    made = corpus.files_from_texts(lines, F.col("repo_name"), F.col("file_path"), F.col("text"))
+    # Each document is a plain text or a configuration.
+    docs = X.spark_sql(spark, d, X.FILES.format(ext=".txt")).withColumn("file_path", F.when(F.length("text") % 2 == 0, F.regexp_replace("file_path", "txt$", "yml")).otherwise(F.col("file_path")))
+    return made.unionByName(corpus.files_from_texts(docs, F.col("repo_name"), F.col("file_path"), F.col("text")))
 
 
 @query
 def corpus_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Files of several languages to one node table, with text, id and hash."""
+    """Files of several languages, texts and configurations to one node table, with text, id and hash."""
     made = ingest.corpus_nodes(_mixed(spark, d))
-    return made.select("repo_name", "file_path", "node_id", "node_type", F.coalesce("symbol", F.lit("")).alias("symbol"), "start_line", "end_line", "language", "confidence", "content_hash")
+    return made.select("repo_name", "file_path", "node_id", "node_type", F.coalesce("symbol", F.lit("")).alias("symbol"), "start_line", "end_line", "language", "confidence", "kind", "content_hash")
 
 
 def _mixed_sql() -> str:
-    of = [f"SELECT *, '{lang}' AS language FROM ({_nodes_sql(lang, f'WHERE o_custkey % {len(MIXED)} = {i}')}) n{i}" for i, lang in enumerate(MIXED[:-1])]
-    lines = " UNION ALL ".join(f"SELECT repo_name, {'file_path' if lang != 'unknown' else chr(39).join(['regexp_replace(file_path, ', 'go$', ', ', 'zz', ')'])} AS file_path, line_no, line FROM ({X.duck(X.code_lines('go' if lang == 'unknown' else lang))}) WHERE o_custkey % {len(MIXED)} = {i}" for i, lang in enumerate(MIXED))
-    return f"""WITH l AS ({lines}), f AS (SELECT repo_name, file_path, max(line_no) AS n FROM l GROUP BY ALL), n AS ({' UNION ALL '.join(of)}
-  UNION ALL SELECT repo_name, file_path, 'file', NULL, 1, n, 0.4, '', 'unknown' FROM f WHERE suffix(file_path, '.zz')),
-t AS (SELECT n.repo_name, n.file_path, n.node_type, n.symbol, n.start_line, n.end_line, n.language, n.confidence, sha256(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS content_hash
+    known = [(i, lang) for i, lang in enumerate(MIXED) if lang != "unknown"]
+    only = lambda i: f"WHERE o_custkey % {len(MIXED)} = {i}"
+    of = [f"SELECT *, '{lang}' AS language FROM ({_own_nodes_sql(lang, only(i)) if lang in ('python', 'sql', 'cobol') else _nodes_sql(lang, only(i))}) n{i}" for i, lang in known]
+    path = lambda lang: "regexp_replace(file_path, 'go$', 'zz')" if lang == "unknown" else "file_path"
+    lines = " UNION ALL ".join(f"SELECT '{lang}' AS language, repo_name, {path(lang)} AS file_path, line_no, line FROM ({X.duck(X.code_lines('go' if lang == 'unknown' else lang))}) {only(i)}" for i, lang in enumerate(MIXED))
+    chunks = " UNION ALL ".join(f"SELECT repo_name, file_path, node_id, '{kind}', '', start_line, end_line, '{language}', confidence, '', content_hash FROM ({corpus_queries._chunks_sql(ext, size, 20, kind, confidence)}) x JOIN even USING (repo_name, doc) WHERE is_even = {even}".replace("SELECT repo_name, file_path, CAST(a", "SELECT repo_name, regexp_extract(file_path, '[0-9]+') AS doc, file_path, CAST(a") for ext, size, kind, language, confidence, even in ((".txt", 120, "doc", "text", 0.9, "false"), (".yml", 160, "config", "config", 0.85, "true")))
+    return f"""WITH even AS MATERIALIZED (SELECT source AS repo_name, CAST(doc_id AS VARCHAR) AS doc, length(coalesce(text, '')) % 2 = 0 AS is_even FROM documents), l AS MATERIALIZED ({lines}), f AS (SELECT language, repo_name, file_path, max(line_no) AS n FROM l GROUP BY ALL),
+n AS MATERIALIZED ({' UNION ALL '.join(of)} UNION ALL SELECT repo_name, file_path, 'file', NULL, 1, n, CASE language WHEN 'unknown' THEN 0.4 ELSE 1.0 END, '', language FROM f),
+t AS (SELECT n.repo_name, n.file_path, n.node_type, n.symbol, n.start_line, n.end_line, n.language, n.confidence, n.kind, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
   FROM n JOIN l ON l.repo_name = n.repo_name AND l.file_path = n.file_path AND l.line_no BETWEEN n.start_line AND n.end_line GROUP BY ALL)
 SELECT repo_name, file_path, CASE WHEN node_type = 'file' THEN 'file::' || file_path ELSE node_type || '::' || file_path || '::' || coalesce(symbol, 'NA') || '::' || start_line || '-' || end_line END AS node_id, node_type,
-  coalesce(symbol, '') AS symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, language, CAST(confidence AS DOUBLE) AS confidence, content_hash FROM t"""
+  coalesce(symbol, '') AS symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, language, CAST(confidence AS DOUBLE) AS confidence, kind, sha256(CASE WHEN node_type = 'file' THEN left(body, 8000) ELSE body END) AS content_hash FROM t
+UNION ALL {chunks}"""
 
 
 ORACLES["corpus_nodes"] = _mixed_sql()
 
 
+@query
+def markdown_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections and fenced code of markdown files as nodes."""
+    made = ingest.corpus_nodes(corpus_queries._markdown(spark, d))
+    return made.select("file_path", "node_type", "start_line", "end_line", "language", "confidence", F.col("metadata")["section_path"].alias("section_path"), F.coalesce(F.col("metadata")["code_language"], F.lit("")).alias("code_language"))
+
+
+ORACLES["markdown_nodes"] = f"""WITH c AS ({corpus_queries.ORACLES['markdown_section_chunks']}), f AS ({corpus_queries.ORACLES['markdown_fences']}), h AS ({corpus_queries.ORACLES['markdown_headings']}),
+p AS (SELECT f.repo_name, f.file_path, f.start_line, arg_max(h.section_path, h.line_no) AS section_path FROM f JOIN h ON h.repo_name = f.repo_name AND h.file_path = f.file_path AND h.line_no <= f.start_line GROUP BY ALL)
+SELECT file_path, 'doc' AS node_type, start_line, end_line, 'markdown' AS language, CAST(0.92 AS DOUBLE) AS confidence,
+  CASE WHEN section_path <> '' THEN section_path WHEN max(section_path) OVER (PARTITION BY repo_name, file_path) = '' THEN 'Document' ELSE 'Preamble' END AS section_path, '' AS code_language FROM c
+UNION ALL SELECT f.file_path, 'doc_code', f.start_line, f.end_line, 'markdown', CASE WHEN f.fence_closed THEN 0.9 ELSE 0.86 END, coalesce(p.section_path, 'Preamble'), f.code_language FROM f LEFT JOIN p USING (repo_name, file_path, start_line)"""
+
+
+@query
+def notebook_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Notebooks of Python cells, one an order, as nodes: cells, and the functions, calls and comments in them."""
+    cells = X.spark_sql(spark, d, X.code_lines("python")).groupBy("repo_name", "o_custkey", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("source"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda c: F.struct(F.lit("code").alias("cell_type"), c["source"].alias("source")))
+    books = cells.groupBy("repo_name", "o_custkey").agg(F.to_json(F.struct(listed.alias("cells"))).alias("text"))
+    files = corpus.files_from_texts(books, F.col("repo_name"), F.concat(F.lit("n/c"), "o_custkey", F.lit(".ipynb")), F.col("text"))
+    return ingest.corpus_nodes(files).select("file_path", "node_type", F.coalesce("symbol", F.lit("")).alias("symbol"), "start_line", "end_line", "language", "confidence")
+
+
+ORACLES["notebook_nodes"] = _base("python").rstrip() + """, c AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY k) - 1 AS i FROM l),
+e AS (SELECT *, line_no + i AS flat FROM c),
+b AS (SELECT o_custkey, k, i, min(flat) AS a, max(flat) AS z, max(flat) FILTER (part = 2) AS header FROM e GROUP BY ALL),
+n AS (
+  SELECT o_custkey, 'file' AS node_type, '' AS symbol, 1 AS a, max(z) AS z, 'notebook' AS language, 0.92 AS confidence FROM b GROUP BY o_custkey
+  UNION ALL SELECT o_custkey, 'notebook_code', 'cell_' || i, a, z, 'python', 0.88 FROM b
+  UNION ALL SELECT o_custkey, 'function', 'F' || k, header, z, 'python', 0.95 FROM b
+  UNION ALL SELECT o_custkey, 'comment_line', '', flat, flat, 'python', 0.78 FROM e WHERE part = 3
+  UNION ALL SELECT o_custkey, 'call_edge', 'F' || k || '->g' || o_custkey, flat, flat, 'python', 0.8 FROM e WHERE part = 4
+  UNION ALL SELECT o_custkey, 'call_edge', 'F' || k || '->h' || k % 50, flat, flat, 'python', 0.8 FROM e WHERE part = 4)
+SELECT 'n/c' || o_custkey || '.ipynb' AS file_path, node_type, symbol, CAST(a AS INT) AS start_line, CAST(z AS INT) AS end_line, language, CAST(confidence AS DOUBLE) AS confidence FROM n"""
+
+
 @query
 def brace_blocks(spark: SparkSession, d: str) -> DataFrame:
     return spans.brace_blocks(lines_of(spark, d, "go")).select("file_path", "line_no", "block_end")
@@ -230,7 +292,7 @@ def python_docstrings(spark: SparkSession, d: str) -> DataFrame:
     return python_code.python_docstrings(_python_extra(spark, d))
 
 
-ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, 'function:' || CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0 AND k % 6 <> 0"
+ORACLES["python_docstrings"] = _base("python") + "SELECT repo_name, file_path, 'function:' || CASE WHEN k % 5 = 0 THEN 'main' ELSE 'F' || k END AS owner, line_no AS start_line, line_no AS end_line FROM l WHERE part = 4 AND k % 3 = 0"
 
 _NOTEBOOK = """SELECT 'nb' AS repo_name, 'n/' || conv_id || '.ipynb' AS file_path, to_json(named_struct(
   'cells', transform(array_sort(collect_list(struct(turn, role, text))), x -> named_struct('cell_type', CASE x.role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END, 'source', coalesce(x.text, ''))),
