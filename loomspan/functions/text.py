@@ -26,7 +26,8 @@ def split_lines(text: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """Lower-cased; a name's leading dots begin no extension."""
+    return F.lower(F.regexp_extract(path, r"[^./](\.[^./]*)$", 1))
 
 
 def stem(path: Column) -> Column:

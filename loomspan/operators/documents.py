@@ -44,25 +44,28 @@ def headings(lines: DataFrame) -> DataFrame:
     return h.select(*FILE, "line_no", "level", "title", F.concat_ws(" > ", *parts).alias("section_path"))
 
 
-def sections(files: DataFrame, lines: DataFrame) -> DataFrame:
+def sections(lines: DataFrame) -> DataFrame:
     """``(file, start_line, end_line, title, section_path, level)``: preamble and heading sections with text in them."""
     hs = headings(lines)
-    n = lines.groupBy(*FILE).agg(F.max("line_no").alias("n_lines"), F.max(F.when(T.strip(F.col("line")) != "", F.col("line_no"))).alias("last_text"))
+    has_text = T.strip(F.col("line")) != ""
+    n = lines.groupBy(*FILE).agg(F.max("line_no").alias("n_lines"), F.min(F.when(has_text, F.col("line_no"))).alias("first_text"))
     nxt = F.lead("line_no").over(spans.by_line())
     body = hs.withColumn("nxt", nxt).join(n, FILE).select(*FILE, F.col("line_no").alias("start_line"), (F.coalesce("nxt", F.col("n_lines") + 1) - 1).alias("end_line"), "title", "section_path", "level")
     firsts = hs.groupBy(*FILE).agg(F.min("line_no").alias("first"))
-    head = n.join(firsts, FILE, "left").select(*FILE, F.lit(1).alias("start_line"), (F.coalesce("first", F.col("n_lines") + 1) - 1).alias("end_line")).where(F.col("end_line") >= 1)
-    text = with_lines(files).select(*FILE, "lines")
-    pre = head.join(text, FILE).where(T.strip(snippet(F.col("lines"), F.col("start_line"), F.col("end_line"))) != "").drop("lines")
-    pre = pre.select(*FILE, "start_line", "end_line", F.lit("").alias("title"), F.lit("").alias("section_path"), F.lit(0).alias("level"))
+    head = n.join(firsts, FILE, "left").withColumn("end_line", F.coalesce("first", F.col("n_lines") + 1) - 1).where("first_text <= end_line")
+    pre = head.select(*FILE, F.lit(1).alias("start_line"), "end_line", F.lit("").alias("title"), F.lit("").alias("section_path"), F.lit(0).alias("level"))
     return pre.unionByName(body)
 
 
+def section_spans(lines: DataFrame) -> DataFrame:
+    """Sections cut to chunks of 100 lines with 20 in common; chunks of blank lines are among them."""
+    cut = sections(lines).withColumn("c", F.explode(spans.chunk_ranges(F.col("start_line"), F.col("end_line"), 100, 20)))
+    return cut.select(*FILE, F.col("c.a").alias("start_line"), F.col("c.b").alias("end_line"), "title", "section_path", "level")
+
+
 def section_chunks(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Sections cut to chunks of 100 lines with 20 in common, with their text."""
-    cut = sections(files, lines).withColumn("c", F.explode(spans.chunk_ranges(F.col("start_line"), F.col("end_line"), 100, 20)))
-    text = with_lines(files).select(*FILE, "lines")
-    out = cut.join(text, FILE).select(*FILE, F.col("c.a").alias("start_line"), F.col("c.b").alias("end_line"), "title", "section_path", "level", snippet(F.col("lines"), F.col("c.a"), F.col("c.b")).alias("text"))
+    """Sections' chunks with their text."""
+    out = section_spans(lines).join(with_lines(files).select(*FILE, "lines"), FILE).withColumn("text", snippet(F.col("lines"), F.col("start_line"), F.col("end_line"))).drop("lines")
     return out.where(T.strip(F.col("text")) != "").withColumns({"node_type": F.lit("doc"), "confidence": F.lit(0.92)})
 
 

@@ -17,24 +17,21 @@ def node_id(kind: Column, path: Column, symbol: Column, start: Column, stop: Col
     return F.concat(kind, F.lit("::"), path, F.lit("::"), F.coalesce(F.nullif(symbol, F.lit("")), F.lit("NA")), F.lit("::"), start.cast("string"), F.lit("-"), stop.cast("string"))
 
 
-def finished(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Nodes with clamped lines, text, id and hash; ``nodes``: (file, node_type, symbol, start_line, end_line, ...)."""
-    j = nodes.join(with_lines(files).select(*FILE, "lines", "n_lines"), FILE)
+def clamped(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Nodes with their lines inside their file, and their id; ``sizes``: (file, n_lines)."""
+    j = nodes.join(sizes.select(*FILE, "n_lines"), FILE)
     start = F.greatest(F.col("start_line"), F.lit(1))
     stop = F.least(F.greatest(F.col("end_line"), start), F.greatest("n_lines", F.lit(1)))
-    j = j.withColumns({"start_line": start, "end_line": stop})
-    j = j.withColumn("text", snippet(F.col("lines"), F.col("start_line"), F.col("end_line"))).drop("lines", "n_lines")
-    return j.withColumns({"node_id": node_id(F.col("node_type"), F.col("file_path"), F.col("symbol"), F.col("start_line"), F.col("end_line")), "content_hash": T.sha256(F.col("text"))})
+    j = j.withColumns({"start_line": start, "end_line": stop}).drop("n_lines")
+    return j.withColumn("node_id", node_id(F.col("node_type"), F.col("file_path"), F.col("symbol"), F.col("start_line"), F.col("end_line")))
 
 
-def file_nodes(files: DataFrame) -> DataFrame:
-    f = with_lines(files)
-    return f.select(*FILE, F.concat(F.lit("file::"), "file_path").alias("node_id"), F.lit("file").alias("node_type"), F.col("lang").alias("language"), F.lit(1).alias("start_line"), F.greatest("n_lines", F.lit(1)).alias("end_line"), F.left("text", F.lit(D.NODE_CHARS)).alias("text"))
-
-
-def generic_nodes(files: DataFrame, known: list[str]) -> DataFrame:
-    """File nodes of languages without an extractor."""
-    return file_nodes(files.where(~F.col("lang").isin(known))).withColumns({"confidence": F.lit(0.4), "note": F.lit("no extractor")})
+def with_text(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes with text and hash; that of a file node is cut. The one step at which texts meet nodes."""
+    j = nodes.join(with_lines(files).select(*FILE, "lines"), FILE)
+    whole = snippet(F.col("lines"), F.col("start_line"), F.col("end_line"))
+    j = j.withColumn("text", F.when(F.col("node_type") == "file", F.left(whole, F.lit(D.NODE_CHARS))).otherwise(whole)).drop("lines")
+    return j.withColumn("content_hash", T.sha256(F.col("text")))
 
 
 def first_wins(nodes: DataFrame) -> DataFrame:

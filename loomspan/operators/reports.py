@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
@@ -66,6 +67,20 @@ def run_report(files: DataFrame, changed: DataFrame, nodes: DataFrame, *, run_id
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers}).withColumns(times)
 
 
+def written_with_counters(nodes: DataFrame, path: str, *by: str, run_id: str) -> DataFrame:
+    """Writes a run's nodes and gives its one row of counters, observed while they were written: no further scan.
+
+    ``(run_id, nodes, files, security_tags, characters, started_at, finished_at)``; files are counted approximately (HyperLogLog), as a pass without a
+    shuffle allows.
+    """
+    spark, seen = nodes.sparkSession, Observation(f"run {run_id}")
+    counts = [F.count(F.lit(1)).alias("nodes"), F.approx_count_distinct(F.struct("repo_name", "file_path"), 0.01).alias("files"), F.count_if(F.col("node_type").isin(D.SECURITY_TYPES)).alias("security_tags"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("characters")]
+    started = datetime.now(UTC)
+    nodes.observe(seen, *counts).write.mode("overwrite").partitionBy(*by).parquet(path)
+    row = (run_id, *(seen.get[c] for c in ("nodes", "files", "security_tags", "characters")), started, datetime.now(UTC))
+    return spark.createDataFrame([row], "run_id string, nodes bigint, files bigint, security_tags bigint, characters bigint, started_at timestamp, finished_at timestamp")
+
+
 def batch_telemetry(batches: DataFrame) -> DataFrame:
     """``(run_id, collection, batches, nodes, embed_seconds, upsert_seconds)`` from one row a batch (run_id, collection, nodes, embed_seconds, upsert_seconds), with the run's total (null collection)."""
     kept = batches.rollup("run_id", "collection").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("nodes", "embed_seconds", "upsert_seconds")])

@@ -10,6 +10,7 @@ from loomspan.functions import text as T
 from loomspan.operators import documents, embed, graph, nodes, reports, spans, store  # noqa: F401
 from loomspan.plans import fixtures as X
 from loomspan.sources import corpus
+from loomspan.sources.scratch import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,7 +110,7 @@ ORACLES["markdown_headings"] = _MD + "SELECT * FROM anc"
 @query
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     files = _markdown(spark, d)
-    return documents.sections(files, corpus.line_table(files)).select("repo_name", "file_path", "start_line", "end_line", "level", "title", "section_path")
+    return documents.sections(corpus.line_table(files)).select("repo_name", "file_path", "start_line", "end_line", "level", "title", "section_path")
 
 
 ORACLES["markdown_sections"] = _MD + """SELECT a.repo_name, a.file_path, a.line_no AS start_line, coalesce(lead(a.line_no) OVER (PARTITION BY a.repo_name, a.file_path ORDER BY a.line_no) - 1, n.n_lines) AS end_line, level, title, section_path FROM anc a JOIN n USING (repo_name, file_path)
@@ -412,6 +413,41 @@ n AS (SELECT repo_name, count(*) AS nodes FROM ch GROUP BY 1)
 SELECT 'run' AS run_id, a.repo_name, files_scanned, files_changed, coalesce(nodes, 0) AS nodes, CASE WHEN nodes IS NULL THEN '' ELSE 'doc=' || nodes END AS types, CAST(0 AS BIGINT) AS security_tags, CAST(90.25 AS DOUBLE) AS elapsed_seconds FROM a LEFT JOIN n ON a.repo_name = n.repo_name"""
 
 
+@query
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What a run wrote, counted while it was written."""
+    made = documents.plain_chunks(_files(spark, d))
+    return reports.written_with_counters(made, scratch(spark, "run"), "node_type", run_id="run").select("run_id", "nodes", "security_tags", "characters")
+
+
+ORACLES["run_counters"] = f"""WITH c AS ({_chunks_sql('.txt', 120, 20, 'doc', 0.9).replace("sha256(array_to_string(lines[a:b], chr(10))) AS content_hash", "length(array_to_string(lines[a:b], chr(10))) AS chars")})
+SELECT 'run' AS run_id, count(*) AS nodes, CAST(0 AS BIGINT) AS security_tags, CAST(sum(chars) AS BIGINT) AS characters FROM c"""
+
+
+_BATCHES = "SELECT 'run' || (o_custkey % 5) AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'docs' ELSE 'code_symbols' END AS collection, CAST(o_orderkey % 20 + 1 AS BIGINT) AS nodes, CAST(o_orderkey % 8 AS DOUBLE) / 4 AS embed_seconds, CAST(o_custkey % 4 AS DOUBLE) / 4 AS upsert_seconds FROM {orders}"
+
+
+@query
+def batch_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """Batches, nodes and seconds by run and collection, and by run."""
+    return reports.batch_telemetry(X.spark_sql(spark, d, _BATCHES)).select("run_id", F.coalesce("collection", F.lit("all")).alias("collection"), "batches", "nodes", "embed_seconds", "upsert_seconds")
+
+
+ORACLES["batch_telemetry"] = f"SELECT run_id, coalesce(collection, 'all') AS collection, count(*) AS batches, CAST(sum(nodes) AS BIGINT) AS nodes, sum(embed_seconds) AS embed_seconds, sum(upsert_seconds) AS upsert_seconds FROM ({X.duck(_BATCHES)}) GROUP BY ROLLUP (run_id, collection) HAVING run_id IS NOT NULL"
+
+
+_ANSWERS = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{{\"a\":' || doc_id || '}}' WHEN 1 THEN 'so {{\"b\":{{\"c\":\"}}\"}}}} and {{\"d\":1}}' WHEN 2 THEN 'none here' ELSE 'open {{\"e\":' || doc_id END AS answer FROM {documents}"
+
+
+@query
+def json_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON object in each answer of a model, if there is one."""
+    return X.spark_sql(spark, d, _ANSWERS).select("doc_id", T.json_segment(F.col("answer")).alias("segment"))
+
+
+ORACLES["json_segments"] = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"a":' || doc_id || '}' WHEN 1 THEN '{"b":{"c":"}"}}' END AS segment FROM documents"""
+
+
 @query
 def security_eligible(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d).unionByName(_files(spark, d, ".PY")).unionByName(_files(spark, d, ".sql"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
 from loomspan.functions import text as T
+from loomspan.sources import folders
 
 FILE = ("repo_name", "file_path")
 
@@ -17,20 +20,14 @@ def language_hint(ext: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, repo_name: str, exts: list[str], excluded: list[str] | None = None) -> DataFrame:
-    """``(repo_name, file_path, ext, lang, size, text, file_hash)`` of a folder tree; size and name filters run before contents are read.
-
-    Spark's readers pass over hidden names (a leading dot or underscore), so dot files need the table form.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rel = F.substring(path, F.lit(len(prefix) + 1), F.length("path"))
-    dirs = F.slice(F.split("file_path", "/"), 1, F.size(F.split("file_path", "/")) - 1)
+    """``(repo_name, file_path, ext, lang, size, text, file_hash)`` of a folder tree, hidden names included; ``.env`` counts whatever
+    ``exts`` says. Folders that are left out are not entered; names and sizes are judged before contents are read."""
+    spark.dataSource.register(folders.Folders)
+    asked = {"path": root, "excluded": json.dumps(excluded or D.EXCLUDED_DIRS), "exts": json.dumps(exts), "names": json.dumps([".env"]), "maxBytes": str(D.MAX_FILE_BYTES)}
+    raw = spark.read.format("folders").options(**asked).load()
     ext = T.extension(F.col("file_path"))
-    named = raw.where(F.col("length") <= D.MAX_FILE_BYTES).withColumn("file_path", rel)
-    kept = named.where(~F.arrays_overlap(dirs, F.array(*map(F.lit, excluded or D.EXCLUDED_DIRS)))).where(ext.isin(exts) | (F.element_at(F.split("file_path", "/"), -1) == ".env"))
     text = T.clean_text(F.col("content"), D.READ_CHARS)
-    out = kept.select(F.lit(repo_name).alias("repo_name"), "file_path", ext.alias("ext"), F.col("length").alias("size"), text.alias("text"))
+    out = raw.select(F.lit(repo_name).alias("repo_name"), "file_path", ext.alias("ext"), F.col("length").alias("size"), text.alias("text"))
     return out.withColumns({"lang": language_hint(F.col("ext")), "file_hash": T.sha256(F.col("text"))})
 
 

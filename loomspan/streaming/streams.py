@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loomspan.operators import store
@@ -56,6 +59,25 @@ def ingest(files: DataFrame, state: str, checkpoint: str, extract: Callable[[Dat
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def vacuum(spark: SparkSession, state: str, oldest: int) -> int:
+    """Deletes versions of buckets that no reader of batch ``oldest`` or a later one needs; how many folders went.
+
+    A snapshot before a batch needs each bucket's latest version before it. So of the versions before ``oldest`` each
+    bucket keeps the last, and all from there on stay. What goes is never the latest version, so a vacuum that was
+    cut short, or runs beside the stream, harms nobody; run it again to finish.
+    """
+    versions = spark.read.parquet(f"{state}/registry").select("bucket", "batch").distinct()
+    kept = versions.where(F.col("batch") < oldest).groupBy("bucket").agg(F.max("batch").alias("last"))
+    gone = versions.join(kept, "bucket").where(F.col("batch") < F.col("last")).select("batch", "bucket").collect()  # BUCKETS a batch at most
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for what in ("nodes", "registry"):
+        for batch, bucket in gone:
+            path = jvm.org.apache.hadoop.fs.Path(f"{state}/{what}/batch={batch}/bucket={bucket}")
+            n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def retrieval_health(log: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Turns, no-source turns and mean latency by window and intent; works on streams and on tables."""
     marked = log.withWatermark("ts", late) if log.isStreaming else log
@@ -66,3 +88,41 @@ def retrieval_health(log: DataFrame, window: str = "10 minutes", late: str = "1
 def job_state(events: DataFrame) -> DataFrame:
     """Latest status by job; in update mode on a stream."""
     return events.groupBy("job_id").agg(F.max_by("status", F.struct("updated_at", "event_id")).alias("status"), F.max("updated_at").alias("updated_at"))
+
+
+JOBS = "job_id string, status string, updated_at timestamp, stale boolean"
+_RUNNING = ("starting", "running")
+
+
+def _watch(limit: timedelta) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def one(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, event, status = state.get if state.exists else (None, -1, "")
+        stale = state.hasTimedOut
+        if not stale:
+            for part in events:
+                for row in part.itertuples():
+                    if at is None or (row.updated_at, row.event_id) > (at, event):
+                        at, event, status = row.updated_at, int(row.event_id), row.status
+            if status in _RUNNING:
+                due = int((at + limit).timestamp() * 1000)
+                if due > state.getCurrentWatermarkMs():
+                    state.setTimeoutTimestamp(due)
+                else:
+                    stale = True
+        if stale:
+            status = "failed"
+        state.update((at.to_pydatetime(), event, status))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_at": [at], "stale": [stale]})
+
+    return one
+
+
+def live_job_state(events: DataFrame, limit: timedelta = timedelta(minutes=30), late: str = "10 minutes") -> DataFrame:
+    """A stream of ``JOBS``: each job's latest status whenever it changes; a job left starting or running for ``limit`` fails by itself.
+
+    ``events``: a stream of (job_id, status, updated_at, event_id). A timer a job goes off once the watermark, ``late`` behind the latest
+    event, has passed its last event by ``limit``. State holds one row a job. An event that comes later than the watermark
+    is not seen; one in time after its job failed takes it up again.
+    """
+    seen = events.select("job_id", "status", "updated_at", F.col("event_id").cast("long").alias("event_id")).withWatermark("updated_at", late)
+    return seen.groupBy("job_id").applyInPandasWithState(_watch(limit), JOBS, "at timestamp, event long, status string", "update", GroupStateTimeout.EventTimeTimeout)
