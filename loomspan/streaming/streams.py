@@ -111,7 +111,7 @@ def _watch(limit: timedelta) -> Callable[[tuple, Iterator[pd.DataFrame], GroupSt
                     stale = True
         if stale:
             status = "failed"
-        state.update((at.to_pydatetime(), event, status))
+        state.update((pd.Timestamp(at).to_pydatetime(), event, status))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_at": [at], "stale": [stale]})
 
     return one
