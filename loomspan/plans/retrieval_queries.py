@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import defaults as D
 from loomspan.functions import text as T
-from loomspan.operators import embed, reports, retrieve
+from loomspan.operators import embed, reports, retrieve, vector_index
 from loomspan.plans import fixtures as X
+from loomspan.sources.scratch import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -238,6 +239,15 @@ def retrieve_cells(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.retrieve_cells(queries, celled, centres, k=10, probe=6)
 
 
+@query
+def retrieve_index(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of ``retrieve_cells`` put to a persisted index."""
+    path = scratch(spark, "vector-index")
+    vector_index.build(_vectors(spark, d).select("node_id", "embedding"), path)
+    queries = X.spark_sql(spark, d, "SELECT vec_id AS query_id, embedding FROM {embeddings} WHERE vec_id % 100 = 0")
+    return vector_index.search(queries, path).withColumnRenamed("id", "node_id")
+
+
 @query
 def retrieval_log_health(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the health stream."""
