@@ -7,8 +7,10 @@ compare roots first and then only the children of nodes that differ, so an intac
 comparison and a corrupt record a path from root to leaf; a record that is lost or added moves the
 offsets of those after it, but no place in the tree, so it is named alone.
 
-Many records of one id meet no task together: below a slot they are dealt to PARTS parts by digest, and
-a part's hash is the exclusive or of its distinct records' hashes, added up in each task first.
+Many records of one id meet no task together: below a slot stand two more levels over ranges of digests,
+65,536 parts of 65,536 pieces. A piece's hash covers the digests and copies of its distinct records in order, a
+part's those of its pieces, so hashes are SHA-256 of ordered ranges at every level, and no group but that of
+digests with the same first 32 bits is without a bound.
 
 Edge cases: null urls and bodies count as empty. Null ids have no order: their records form archives
 from NULL_ARCHIVE on, placed by digest. Repeated rows are one record with a number of copies. Of an id
@@ -52,9 +54,14 @@ def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, per_arch
 
 
 def parts(leaves: DataFrame) -> DataFrame:
-    """``(archive, slot, part, bytes, hash)``: records of a slot whose digests begin alike."""
-    each = [F.bit_xor(F.xxhash64(F.lit(k), "digest", "copies")) for k in range(2)]
-    return leaves.groupBy(*PART).agg(F.sum(F.col("n") * F.col("copies")).alias("bytes"), F.concat(*[F.hex(x) for x in each]).alias("hash"))
+    """``(archive, slot, part, bytes, hash)``: records of a slot whose digests begin alike, by pieces that begin alike further on. One shuffle, by part."""
+    def hashed(lines: str) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256).alias("hash")
+
+    piece = F.when(F.col("id").isNull(), F.substring("digest", 9, 4)).otherwise(F.substring("digest", 5, 4))  # the four digits after the part's
+    rows = leaves.repartition(*PART).select(*PART, piece.alias("piece"), F.concat_ws(":", "digest", "copies").alias("line"), (F.col("n") * F.col("copies")).alias("bytes"))
+    pieces = rows.groupBy(*PART, "piece").agg(F.sum("bytes").alias("bytes"), hashed("line"))
+    return pieces.withColumn("line", F.concat_ws(":", "piece", "hash", "bytes")).groupBy(*PART).agg(F.sum("bytes").alias("bytes"), hashed("line"))
 
 
 def tree(of_parts: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
