@@ -23,6 +23,7 @@ from loomspan.llm.support import written
 
 BINS = 4096
 SLOT_ROWS = 1 << 12
+COPIES = 1 << 14
 DIMENSIONS = ("d_bytes", "d_lines", "d_width", "d_run")
 _HASH_SPAN = float(1 << 32)
 
@@ -94,15 +95,21 @@ def leaves(rows: DataFrame, n_leaves: int, bins: int = BINS) -> DataFrame:
     return rows.drop("k")
 
 
-def slots(rows: DataFrame, shard: str = "shard") -> DataFrame:
-    """``rows`` plus ``slot``: gapless from 0 in each shard, ordered by hash bucket, then id."""
-    spread = F.xxhash64("id", "crc")
+def slots(rows: DataFrame) -> DataFrame:
+    """``(id, size, crc, shard, slot)``: slots are gapless from 0 in each shard, ordered by hash bucket, then id.
+
+    Rows alike in id, size and checksum take slots one after another: they are counted before the shuffle and written out
+    again COPIES at a time, so a row that repeats without end is no large window and no large task.
+    """
     n = max(1, -(-rows.count() // SLOT_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(spread, F.lit(n)))
-    inside = rows.withColumn("nth", F.row_number().over(Window.partitionBy(shard, "bucket").orderBy("id", "crc", "size")))
-    sums = rows.groupBy(shard, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy(shard).orderBy("bucket")) - F.col("n")).drop("n")
-    return inside.join(before, [shard, "bucket"]).withColumn("slot", F.col("before") + F.col("nth") - 1).drop("bucket", "nth", "before")
+    alike = rows.groupBy("shard", "id", "crc", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("id", "crc"), F.lit(n)))
+    inside = alike.withColumn("nth", F.sum("copies").over(Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size")) - F.col("copies"))
+    sums = alike.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
+    before = sums.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
+    runs = inside.join(before, ["shard", "bucket"]).withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    runs = runs.repartition("id", "crc", "begin")
+    nth = F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + COPIES, F.col("copies")) - 1)).alias("copy")
+    return runs.select("id", "size", "crc", "shard", (F.col("before") + F.col("nth")).alias("at"), nth).select("id", "size", "crc", "shard", (F.col("at") + F.col("copy")).alias("slot"))
 
 
 def shard(docs: DataFrame, id_col: str, text_col: str, *, n_shards: int = 0, target_bytes: int = 0) -> DataFrame:
