@@ -4,7 +4,7 @@ Hashes of the line keys are range-partitioned by (hash, document) and sorted by
 document first, position). A range cut may fall inside one hash, so a line that a third of all
 documents hold is spread over many tasks. Each task streams its sorted rows once, with a constant
 state per run. Only the first and the last run of a task can continue in another one; their few
-totals are joined back. Hashes are written once, because range cuts need a pass over them before the
+totals are written and joined back, so Spark sees their size. Hashes are written once, because range cuts need a pass over them before the
 one that deals them out. Results are bitmaps by document; the text is touched again only to apply
 them.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import partitions, text_batches, written
+from loomspan.llm.support import may_be_in, partitions, text_batches, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _SPACE = " \t\n\x0b\x0c\r"
@@ -122,9 +122,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, *, min_chars: int
     ordered = written(hashes, "line-hashes").repartitionByRange(partitions(docs), "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "row", "pos")
     found = written(ordered.mapInArrow(_runs(min_docs), "h1 long, h2 long, doc long, row long, pos int, n_docs long"), "line-runs")
     sure = found.where((F.col("n_docs") == 0) & F.col("pos").isNotNull()).select("doc", "row", "pos")
-    # At most two rows of totals a task, whatever the data: small enough to broadcast.
     whole = found.where(F.col("pos").isNull()).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("most")).where(F.col("docs") >= min_docs)
-    unsure = found.where((F.col("n_docs") == 1) & F.col("pos").isNotNull()).join(F.broadcast(whole), ["h1", "h2"]).where(F.col("doc") < F.col("most")).select("doc", "row", "pos")
+    whole = written(whole, "run-totals")  # from at most two rows a task
+    unsure = found.where((F.col("n_docs") == 1) & F.col("pos").isNotNull()).join(whole, ["h1", "h2"]).where(F.col("doc") < F.col("most")).select("doc", "row", "pos")
     lost = sure.unionByName(unsure).groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +146,10 @@ def _doc(id_col: str) -> Column:
 
 
 def _without(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    """The lines of texts that their bitmaps keep."""
-    def one(t: str, b: bytes) -> str:
+    """The lines of texts that their bitmaps keep; all lines without a bitmap."""
+    def one(t: str, b: bytes | None) -> str:
+        if b is None:
+            return t
         lines = t.split("\n")
         kept = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[: len(lines)]
         return "\n".join(x for x, keep in zip(lines, np.pad(kept, (0, len(lines) - len(kept)), constant_values=1)) if keep)
@@ -159,14 +161,15 @@ def kept_text(docs: DataFrame, id_col: str, text_col: str, bitmaps: DataFrame, *
     """``docs`` plus the text that is kept and the number of lines dropped, under the names given.
 
     A column of ``docs`` that has one of these two names gives way to the result; choose other names to
-    keep it. Only the rows that lose a line go through Python.
+    keep it. Rows whose text hash no bitmap has stay where they are read; only the others are shuffled to meet the bitmaps.
     """
     docs = docs.drop(*[c for c in (text_out, dropped_out) if c not in (id_col, text_col)])
     doc, row, lost, kept = "__line_doc", "__line_row", "__line_lost", "__line_map"
-    small = bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias(lost), F.col("keep_bitmap").alias(kept))
-    both = docs.withColumns({doc: _doc(id_col), row: F.xxhash64(text_col)}).join(small, [doc, row], "left")
+    small = written(bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias(lost), F.col("keep_bitmap").alias(kept)), "keep-bitmaps")
+    keyed = docs.withColumns({doc: _doc(id_col), row: F.xxhash64(text_col)})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.col(kept).isNull()
-    changed = text_batches(both).where(~none).withColumn(text_out, F.pandas_udf(_without, "string")(text, F.col(kept)))
-    same = both.where(none).withColumn(text_out, text)
-    return same.unionByName(changed).withColumn(dropped_out, F.coalesce(lost, F.lit(0).cast("long"))).drop(doc, row, lost, kept)
+    listed = may_be_in(small, row)(row)
+    same = keyed.where(~listed).withColumns({text_out: text, dropped_out: F.lit(0).cast("long")})
+    met = text_batches(keyed.where(listed).join(small, [doc, row], "left"))
+    met = met.withColumns({text_out: F.pandas_udf(_without, "string")(text, F.col(kept)), dropped_out: F.coalesce(lost, F.lit(0).cast("long"))})
+    return same.drop(doc, row).unionByName(met.drop(doc, row, lost, kept))

@@ -1,4 +1,4 @@
-"""Small helpers that the operators share: written intermediate tables, partition counts, let-binding."""
+"""Small helpers that the operators share: written intermediate tables, partition counts, a filter of keys, let-binding."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,29 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+FILTER_BITS = (1 << 20, 1 << 28)  # least and most of the filter below
+
+
+def may_be_in(keys: DataFrame, col: str) -> Callable:
+    """A test that passes every value of ``col`` (a long) and few others: a hashed bit a value, at least 16 bits a value up to
+    2**24 values. Beyond, it passes more and stays right. ``keys`` is a written table; the bits are at most 32 MB."""
+    least, most = FILTER_BITS
+    n_bits = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
+    place = F.col(col).bitwiseAND(n_bits - 1)
+    words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(n_bits // 64, np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        at = values.to_numpy() & (n_bits - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``, within one row."""
     return F.element_at(F.transform(F.array(value), body), 1)
