@@ -20,7 +20,7 @@ the id and the text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.support import text_batches, written
+from loomspan.llm.support import may_be_in, text_batches, written
 
 WORDS, THRESHOLD = 5, 0.8
 TOKENS = 64  # MinHash tokens of a set
 BUCKET, DEPTH, RECALL = 128, 4, 0.999
 BLOCK_GRAMS, BLOCK_SETS = 1 << 19, 1024  # of one side of an exact comparison
 WORDS_HELD = 1 << 17  # word hashes that a worker remembers
-FILTER_BITS = (1 << 20, 1 << 28)  # least and most (32 MB) of the filter that keeps unlinked texts out of the shuffle; 16 a linked set
 _NULL_ID = -(1 << 63)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _WORD_HASH: dict[str, int] = {}
@@ -285,32 +284,14 @@ def _intersections(grams: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _may_be_in(keys: DataFrame, col: str) -> Callable:
-    """A test that passes every value of ``col`` and, while there are at most 2**24 of them, few others: one bit a value."""
-    least, most = FILTER_BITS
-    n_bits = min(most, max(least, 1 << (16 * keys.count()).bit_length()))
-    place = F.col(col).bitwiseAND(n_bits - 1)
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(n_bits // 64, np.int64)
-    bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(values: pd.Series) -> pd.Series:
-        at = values.to_numpy() & (n_bits - 1)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return test
-
-
 def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``(sid, to, links)`` over all pairs within candidate groups: partial link counts and spanning links.
 
     ``grouped``: (sid, id, row, n, root). Small groups are dealt to shared bins of bounded size; a group
     too large for one block is cut into blocks by hash, and each pair of blocks meets once.
     """
-    sums = grouped.groupBy("root").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
+    # Written, so that the join deals out sets alone: a group with a third of all sets can be split.
+    sums = written(grouped.groupBy("root").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets")), "group-sizes")
     blocks = F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("sets") / BLOCK_SETS)).cast("int")
     total = sums.agg(F.sum("grams")).first()[0] or 0
     bins = max(1, math.ceil(total / BLOCK_GRAMS))
@@ -319,7 +300,7 @@ def exact_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     dealt = sized.select("sid", "id", "row", "root", "blocks", own.alias("own"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     # Most texts belong to no group: they stay where they are read.
-    rows = text_batches(rows).where(_may_be_in(grouped, "row")("row"))
+    rows = text_batches(rows).where(may_be_in(grouped, "row")("row"))
     with_text = rows.join(dealt.withColumnRenamed("id", "d_id").withColumnRenamed("row", "d_row"), (F.col("id") == F.col("d_id")) & (F.col("row") == F.col("d_row"))).drop("d_id", "d_row", "id", "row")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
