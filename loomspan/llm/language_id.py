@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from loomspan.llm.support import text_batches, written
 
@@ -122,7 +123,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, *, profile: int = PROFI
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *, profile: int = PROFILE) -> DataFrame:
-    """``(id, lang_pred, score, has_letter)``; score is 1 less the nearest distance over the greatest possible one.
+    """``(id, lang_pred, score, has_letter)``; the id may be of any type. Score is 1 less the nearest distance over the greatest possible one.
 
     Texts pass the profiles of LANGUAGES_A_PASS languages at a time, in the order of their names, so that
     what a task holds does not grow with their number.
@@ -131,34 +132,33 @@ def predict(docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame, *,
     names = Window.orderBy("lang")  # one row a language
     numbered = written(kept.select("lang").distinct().withColumn("turn", F.floor((F.row_number().over(names) - 1) / LANGUAGES_A_PASS)), "languages")
     passes = numbered.agg(F.max("turn")).first()[0]
-    kind = dict(docs.dtypes)[id_col]
+    start = [StructField("id", docs.schema[id_col].dataType)]
+    text = [StructField("text", StringType())]
+    answer = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("has_letter", BooleanType())]
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("has_letter"))
     last = passes if passes is not None else 0
     for turn in range(last + 1):
         mine = kept.join(numbered.where(F.col("turn") == turn), "lang").select("lang", "gram", "rank")
-        text = "text string, " if turn < last else ""  # for the passes to come
-        found = text_batches(found).mapInArrow(_nearer(_slab(mine), profile, turn < last), f"id {kind}, {text}lang_pred string, score double, has_letter boolean")
+        carry = turn < last  # for the passes to come
+        found = text_batches(found).mapInArrow(_nearer(_slab(mine), profile, carry), StructType(start + (text if carry else []) + answer))
     return found.select(F.col("id").alias(id_col), F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), "score", "has_letter")
 
 
 def _slab(profiles: DataFrame) -> Broadcast:
-    """Names, grams and ranks of at most LANGUAGES_A_PASS profiles."""
-    by_lang: dict[str, list] = {}
-    for lang, gram, rank in profiles.toLocalIterator():
-        by_lang.setdefault(lang, []).append((gram, rank))
-    langs = sorted(by_lang)
-    known = np.unique(np.array([g for x in by_lang.values() for g, _ in x], np.int64))
-    ranks = np.full((len(langs) + 1, len(known) + 1), -1, np.int32)  # -1: not in the profile
-    for i, lang in enumerate(langs):
-        g, r = np.array(by_lang[lang], np.int64).T
-        ranks[i, np.searchsorted(known, g)] = r
-    return profiles.sparkSession.sparkContext.broadcast((langs, known, ranks))
+    """At most LANGUAGES_A_PASS profiles as one list of places: names, grams, where each gram's places begin, and the places (language, rank) by gram."""
+    places = list(profiles.toLocalIterator())
+    langs = sorted({p.lang for p in places})
+    number = {lang: i for i, lang in enumerate(langs)}
+    rows = np.array(sorted((p.gram, number[p.lang], p.rank) for p in places), np.int64).reshape(-1, 3)
+    known, begin = np.unique(rows[:, 0], return_index=True)
+    begin = np.append(begin, len(rows))
+    return profiles.sparkSession.sparkContext.broadcast((langs, known, begin, rows[:, 1].astype(np.int32), rows[:, 2].astype(np.int32)))
 
 
 def _nearer(shared: Broadcast, profile: int, with_text: bool) -> Callable:
     """A pass over texts: the language of this slab, if it is nearer than what was found before it. Earlier names win ties."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, known, ranks = shared.value
+        langs, known, begin, lang, rank = shared.value
         for batch in batches:
             pred, score, letter = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for i, text in enumerate(batch.column(1)):
@@ -167,10 +167,12 @@ def _nearer(shared: Broadcast, profile: int, with_text: bool) -> Callable:
                 if not len(mine) or not langs:
                     continue
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                at = np.where(known[at] == mine, at, len(known))
-                theirs = ranks[: len(langs), at]
-                place = np.arange(1, len(mine) + 1)
-                away = np.where(theirs < 0, profile, np.minimum(np.abs(theirs - place), profile)).sum(1)
+                mine_place = np.flatnonzero(known[at] == mine)
+                at = at[mine_place]
+                n = begin[at + 1] - begin[at]  # languages that have the gram
+                entry = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                off = np.minimum(np.abs(rank[entry] - np.repeat(mine_place + 1, n)), profile)
+                away = profile * len(mine) + np.bincount(lang[entry], off - profile, len(langs))
                 best = int(away.argmin())
                 near = 1.0 - float(away[best]) / (profile * len(mine))
                 if pred[i] is None or near > score[i]:
