@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from loomspan.functions import defaults as D
 from loomspan.functions import text as T
@@ -55,19 +61,118 @@ def max_budget(base: int = D.BASE_TOP_K) -> int:
     return int(max(w for ws in D.INTENT_WEIGHTS.values() for w in ws) * base)
 
 
+PAIRS = 1 << 16  # distances computed at once: they stay in a core's cache
+
+
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of components: (places, matrix in double precision) of the vectors without nulls."""
+    lists = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    values, null = flat.to_numpy(zero_copy_only=False).astype(np.float64), flat.is_null().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])[:-1]
+    out = {}
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        places = starts[at][:, None] + np.arange(n)
+        whole = ~null[places].any(axis=1)
+        out[n] = at[whole], values[places[whole]]
+    return out
+
+
+def _first_k(row: np.ndarray, col: np.ndarray, distance: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the ``k[row]`` least distances, ties by column; not-a-number comes last."""
+    order = np.lexsort((col, distance, row))
+    row, col, distance = row[order], col[order], distance[order]
+    first = np.searchsorted(row, row, side="left")
+    keep = np.arange(len(row)) - first < k[row]
+    return row[keep], col[keep], distance[keep]
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of q, row of v, squared distance)``: the ``k`` nearest of each row of q, summed component by component as ``T.squared_l2`` does."""
+    qt, vt = np.ascontiguousarray(q.T), np.ascontiguousarray(v.T)
+    wide = max(1, min(len(v), 1024))
+    high = max(1, PAIRS // wide)
+    out = []
+    with np.errstate(invalid="ignore", over="ignore"):
+        for a in range(0, len(q), high):
+            found, k_of = [], k[a : a + high]
+            most = int(k_of.max())
+            for b in range(0, len(v), wide):
+                d = np.zeros((len(k_of), min(wide, len(v) - b)))
+                part = np.empty_like(d)
+                for x, y in zip(qt[:, a : a + high], vt[:, b : b + wide]):
+                    np.subtract.outer(x, y, out=part)
+                    np.multiply(part, part, out=part)
+                    d += part
+                if most < d.shape[1]:
+                    kth = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+                    row, col = np.nonzero((d <= kth) | np.isnan(kth))
+                else:
+                    row, col = (x.ravel() for x in np.indices(d.shape))
+                row, col, distance = _first_k(row, col, d[row, col], k_of)
+                found.append((row, col + b, distance))
+            row, col, distance = _first_k(*map(np.concatenate, zip(*found)), k_of)
+            out.append((row + a, col, distance))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _meet(q_vector: str, v_vector: str, v_id: str, limit: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        vectors = vectors.take(pc.sort_indices(vectors, [(v_id, "ascending")], null_placement="at_start"))
+        k = queries[limit].to_numpy().astype(np.int64)
+        none, parts = np.zeros(0, np.int64), []
+        q_of, v_of = _by_length(queries[q_vector]), _by_length(vectors[v_vector])
+        seen = np.zeros(queries.num_rows, bool)
+        every = np.arange(vectors.num_rows)
+        for n, (at, q) in [*q_of.items(), (-1, (none, None))]:
+            if n < 0:
+                at = np.flatnonzero(~seen)  # queries that have no distance from anything
+            seen[at] = True
+            places, v = v_of.get(n, (none, None))
+            if len(at) and len(places):
+                row, col, distance = _nearest(q, v, k[at])
+                parts.append((at[row], places[col], distance, np.zeros(len(row), bool)))
+            apart = np.setdiff1d(every, places, assume_unique=True)[: int(k.max(initial=0))]  # those without a distance come last
+            if len(at) and len(apart):
+                row, col = (x.ravel() for x in np.indices((len(at), len(apart))))
+                keep = col < k[at][row]
+                parts.append((at[row[keep]], apart[col[keep]], np.zeros(keep.sum()), np.ones(keep.sum(), bool)))
+        row, col, distance, null = map(np.concatenate, zip(*parts)) if parts else (none, none, np.zeros(0), np.zeros(0, bool))
+        left, right = queries.drop_columns([q_vector]).take(pa.array(row)), vectors.drop_columns([v_vector]).take(pa.array(col))
+        columns = {c: left[c] for c in left.column_names} | {c: right[c] for c in right.column_names}
+        return pa.table(columns | {"distance": pa.array(distance, mask=null)})
+
+    return run
+
+
+def nearest_in_groups(queries: DataFrame, vectors: DataFrame, keys: list[str], *, q_vector: str, v_vector: str, v_id: str, limit: str) -> DataFrame:
+    """``queries`` with their ``limit`` nearest ``vectors`` (and more) of the same ``keys``: both without their vectors, plus ``distance``.
+
+    Groups may be few and one may hold a third of the vectors, so each is dealt to SALTS parts, which queries meet one by
+    one; every part gives its own ``limit`` nearest, so the nearest of all parts are among them. Distances of a part are
+    computed exactly, PAIRS at a time. A pair without a distance (nulls, other lengths) comes after all others.
+    """
+    q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    v = vectors.withColumn("salt", F.pmod(F.xxhash64(v_id), F.lit(SALTS)).cast("int"))
+    fields = [f for f in q.schema if f.name != q_vector] + [f for f in v.schema if f.name not in (v_vector, *keys, "salt")]
+    by = [*keys, "salt"]
+    near = q.groupBy(*by).cogroup(v.groupBy(*by)).applyInArrow(_meet(q_vector, v_vector, v_id, limit), StructType(fields).add("distance", DoubleType()))
+    return near.drop("salt")
+
+
 def retrieve(budgets: DataFrame, vectors: DataFrame, cap: int = D.MAX_CONTEXT_CHUNKS) -> DataFrame:
     """``(query_id, rank, node_id, repo_name, collection, distance, ...)``: nearest within each budget, then the nearest ``cap``.
 
-    ``budgets`` carries ``embedding`` of the query. There are few collections and repositories and one may hold
-    a third of the vectors, so each is dealt to SALTS parts, which budgets meet one by one. The literal bound
-    next to the row's own budget lets Spark's window group limit keep only candidates before the shuffle.
+    ``budgets`` carries ``embedding`` of the query. The literal bound next to the row's own budget lets Spark's window
+    group limit keep only candidates before the shuffle.
     """
-    q = budgets.withColumnRenamed("embedding", "q_embedding").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    vectors = vectors.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int"))
-    near = q.join(vectors, ["collection", "repo_name", "salt"]).withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q_embedding"))).drop("embedding", "q_embedding", "salt")
-    inside = Window.partitionBy("query_id", "collection", "repo_name").orderBy("distance", "node_id")
+    near = nearest_in_groups(budgets.withColumnRenamed("embedding", "q_embedding"), vectors, ["collection", "repo_name"], q_vector="q_embedding", v_vector="embedding", v_id="node_id", limit="budget")
+    distance = F.asc_nulls_last("distance")
+    inside = Window.partitionBy("query_id", "collection", "repo_name").orderBy(distance, "node_id")
     near = near.withColumn("r", F.row_number().over(inside)).where((F.col("r") <= max_budget()) & (F.col("r") <= F.col("budget")))
-    overall = Window.partitionBy("query_id").orderBy("distance", "c_ord", "s_ord", "node_id")
+    overall = Window.partitionBy("query_id").orderBy(distance, "c_ord", "s_ord", "node_id")
     return near.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= cap).drop("r")
 
 
@@ -151,10 +256,11 @@ def retrieve_cells(queries: DataFrame, celled: DataFrame, centres: DataFrame, k:
     by_cell = to_cell.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))).select("query_id", "cell", F.col("embedding").alias("q"), "d", "radius", "r")
 
     def nearest(cells_of: DataFrame) -> DataFrame:
-        return best(cells_of.select("query_id", "cell", "q").join(celled, "cell").withColumn("distance", T.squared_l2(F.col("embedding"), F.col("q"))))
+        asked = cells_of.select("query_id", "cell", "q", F.lit(k).alias("limit"))
+        return best(nearest_in_groups(asked, celled.select("cell", "node_id", "embedding"), ["cell"], q_vector="q", v_vector="embedding", v_id="node_id", limit="limit"))
 
     def best(hits: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "node_id"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "node_id", "distance")
 
     path = scratch(queries.sparkSession, "cell-hits")
