@@ -1,6 +1,6 @@
 """Lines are numbered once, rules run once over them, and blocks meet lines without a join."""
 
-from loomspan.operators import code, spans
+from loomspan.operators import code, python_code, spans
 from loomspan.plans import code_queries
 
 LINES = "repo_name string, file_path string, line_no int, line string"
@@ -26,3 +26,10 @@ def test_blocks_meet_lines_without_a_join(spark):
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert made.columns == [*lines.columns, "block_end"]
     assert sorted((r.file_path, r.line_no, r.block_end) for r in made.collect()) == [(f, i, e) for f in "fg" for i, e in ((1, 3), (2, 3), (3, 4), (4, 7), (5, 7), (6, 7), (7, 7))]
+
+
+def test_python_lines_are_lexed_once_for_symbols_and_calls(spark):
+    lines = spark.createDataFrame([("r", "f", 1, "def F(x):"), ("r", "f", 2, "    g(x)")], LINES)
+    made = python_code.python_calls(lines)
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in made.collect()] == [("r", "f", "F", "g", 2)]
