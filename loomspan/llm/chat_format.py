@@ -7,12 +7,12 @@ the number of code points it took back. The part of a span under the loss mask i
 same prefix, its last text replaced by a word that stands nowhere else, shows what the template puts before
 and after a text.
 
-Turns are range-partitioned by (conversation, turn) and streamed in order, so that a conversation with a
-third of all turns is spread over tasks. Prefixes begin anew every ``WINDOW`` turns or ``WINDOW_CHARS`` code
-points, one turn back; a template that looks further back in long conversations than one turn, or tells the first turn from
-others, is seen whole only in conversations up to that size that lie in one task. Digests are made while
-turns stream by; the first and the last conversation of a task, and very long ones, go on to a second,
-small shuffle as pieces.
+Every prefix is rendered from the conversation's first turn, whatever its length. Conversations are dealt whole to
+tasks. Those whose rendering is much work (``WORK``; a third of all turns may be one conversation) are range-partitioned
+by (conversation, turn) instead, and each task then gets, before its own turns, all earlier ones of the conversation that its
+first turn goes on with. Rendering all prefixes of a template that is not looked into takes time with the square of a
+conversation's length, and a task holds the longest prefix that it renders: both are in the nature of the method.
+Digests are made while turns stream by; conversations that are spread go on to a second, small shuffle as pieces.
 
 Rows are ordered by turn (null first), then role, then text. A null id is a conversation of its own. Null
 roles and texts are empty. Repeated rows are turns of their own. An empty table gives an empty result. Other columns
@@ -27,15 +27,15 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.support import partitions, text_batches, written
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
-WINDOW, WINDOW_CHARS = 16, 1 << 20
+WINDOW = 16  # turns: a conversation up to this length is never spread over tasks
+WORK = 1 << 26  # turns times code points (64 more a turn, for what a template adds): beyond, a conversation is spread over tasks
 PIECE_BYTES = 1 << 20  # of a conversation's digested text in one row, on the way to another task
 PROBE = "probe"
 LOSS_ROLES = ("assistant",)
@@ -47,11 +47,12 @@ _Batches = Iterator[pa.RecordBatch]
 
 _START, _STOP = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.DOTALL)
+_CONTROL = re.compile(r"<(\\*)\|")
 
 
 def escape(text: str) -> str:
     """No control string is left in the result: a backslash more stands between ``<`` and ``|``."""
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+    return _CONTROL.sub(r"<\\\1|", text) if "|" in text else text
 
 
 def unescape(text: str) -> str:
@@ -88,11 +89,15 @@ class Prefixes:
     def __init__(self, template: Template) -> None:
         self.template = template
         self.turns: list[Turn] = []
-        self.out = template([])
+        self.out: str | None = template([])
+
+    def pass_over(self, turn: Turn) -> None:
+        """An earlier turn, whose span another task finds."""
+        self.turns.append(turn)
+        self.out = None
 
     def add(self, turn: Turn, masked: bool) -> tuple[str, int | None, int | None, int]:
-        if len(self.turns) >= WINDOW or len(self.out) >= WINDOW_CHARS:
-            self.turns = self.turns[-1:]
+        if self.out is None:
             self.out = self.template(self.turns)
         out = self.template([*self.turns, turn])
         keeps = len(self.out) if out.startswith(self.out) else len(os.path.commonprefix([out, self.out]))
@@ -112,38 +117,69 @@ def _render(template: Template, loss_roles: Sequence[str]) -> Callable[[_Batches
     types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: _Batches) -> _Batches:
-        part, seq, last, prefixes = TaskContext.get().partitionId(), 0, object(), None
+        n, last, prefixes = 0, object(), None
         for batch in batches:
             rows = []
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for conv, role, text, part, seq, own in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if conv != last:
                     last, prefixes = conv, Prefixes(template)
-                rows.append((conv, part, seq, role, *prefixes.add((role, text), role in loss_roles)))
-                seq += 1
+                if not own:
+                    prefixes.pass_over((role, text))
+                    continue
+                rows.append((conv, part, n if seq is None else seq, role, *prefixes.add((role, text), role in loss_roles)))
+                n += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _spread(rows: DataFrame, n_parts: int) -> DataFrame:
+    """``(conv_id, role, text, part, seq, own)``: rows in order, dealt out by ranges; before its own rows, each part has
+    those of earlier parts that begin the conversation which its first row goes on with."""
+    order = ["conv_id", "turn", "role"]
+    sorted_rows = rows.repartitionByRange(n_parts, *order, F.left("text", F.lit(32))).sortWithinPartitions(*order, "text")
+    placed = written(sorted_rows.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("seq")), "chat-turns")
+    at = F.shiftright("seq", 33).cast("int")  # that id counts rows within a partition, whose number stands above
+    parts = placed.select(F.col("conv_id").alias("of"), at.alias("part")).distinct()
+    met = placed.join(parts, _same("conv_id", "of") & (at <= F.col("part")))
+    dealt = met.select("conv_id", "role", "text", "part", "seq", (at == F.col("part")).alias("own"))
+    return dealt.repartitionById(n_parts, "part").sortWithinPartitions("part", "conv_id", "seq")
+
+
 def turn_spans(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str, *, template: Template = chatml, loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
     """``SPANS``, one row a turn, in order within a task: ``formatted`` is what the turn adds to the conversation's
     output, ``mask_start`` and ``mask_stop`` the code points of it that are under the loss mask (null: none, or not to
-    be located), ``taken_back`` the code points of earlier output that the template rewrote.
+    be located), ``taken_back`` the code points of earlier output that the template rewrote, ``part`` the place of the
+    task among those that share the conversation (null: it is the only one).
 
     The outputs of a conversation are its spans by (part, seq), joined, as long as nothing was taken back.
     """
     empty = F.lit("")
     rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"), F.col(turn_col).alias("turn"))
-    dealt = rows.repartitionByRange(partitions(rows), "conv_id", "turn", "role", F.left("text", F.lit(32))).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return text_batches(dealt.select("conv_id", "role", "text")).mapInArrow(_render(template, loss_roles), SPANS)
+    n_parts = partitions(rows)
+    sizes = rows.groupBy(F.col("conv_id").alias("long_id")).agg(F.count("*").cast("double").alias("n"), F.sum(F.length("text")).alias("chars"))
+    long = written(sizes.where((F.col("n") > WINDOW) & (F.col("n") * (F.col("chars") + 64 * F.col("n")) > WORK)).select("long_id"), "chat-long")
+    any_long = not long.isEmpty()
+    short = rows.join(long, _same("conv_id", "long_id"), "left_anti") if any_long else rows
+    dealt = short.repartition(n_parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    whole = dealt.select("conv_id", "role", "text", F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("own"))
+    found = text_batches(whole).mapInArrow(_render(template, loss_roles), SPANS)
+    if not any_long:
+        return found
+    spread = _spread(rows.join(long, _same("conv_id", "long_id"), "left_semi"), n_parts)
+    return found.unionByName(text_batches(spread).mapInArrow(_render(template, loss_roles), SPANS))
 
 
 # --- digests, read back from the output
 
 _DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]
 _DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-_PIECE = ["part", "seq", "turns", "loss"]  # of a conversation that may go on elsewhere: its text instead of digests
+_PIECE = ["part", "seq", "turns", "loss"]  # of a conversation that is spread: its text instead of digests
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_rewrites bigint"
 PIECES = f"{DIGESTS}, part int, seq bigint, turns binary, loss binary"
 
@@ -156,7 +192,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class _Text:
     """What a conversation says, as read back so far."""
 
-    def __init__(self, conv: int | None, part: int, seq: int) -> None:
+    def __init__(self, conv: int | None, part: int | None, seq: int) -> None:
         self.conv, self.part, self.seq = conv, part, seq
         self.turns, self.loss = [], []
         self.n = self.chars = self.loss_chars = self.rewrites = self.size = 0
@@ -176,24 +212,22 @@ class _Text:
         return (self.conv, self.n, hashlib.sha256(b"".join(self.turns)).hexdigest(), self.loss_chars, hashlib.sha256(b"".join(self.loss)).hexdigest(), self.chars, self.rewrites, None, None, None, None)
 
     def piece(self) -> tuple:
+        """What a task has of a conversation: its digest, if no other task has turns of it."""
+        if self.part is None:
+            return self.digest()
         return (self.conv, self.n, None, self.loss_chars, None, self.chars, self.rewrites, self.part, self.seq, b"".join(self.turns), b"".join(self.loss))
 
 
 def _read(read_back: Callable[[str], Turn], unmask: Callable[[str], str]) -> Callable[[_Batches], _Batches]:
     def run(batches: _Batches) -> _Batches:
         now: _Text | None = None
-        open_piece = True  # the conversation is the task's first, or has pieces already
         for batch in batches:
             rows = []
             for conv, part, seq, span, a, b, taken_back in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if now is None or conv != now.conv:
+                if now is None or (conv, part) != (now.conv, now.part) or (part is not None and now.size >= PIECE_BYTES):
                     if now is not None:
-                        rows.append(now.piece() if open_piece else now.digest())
-                        open_piece = False
+                        rows.append(now.piece())
                     now = _Text(conv, part, seq)
-                elif now.size >= PIECE_BYTES:
-                    rows.append(now.piece())
-                    open_piece, now = True, _Text(conv, part, seq)
                 now.add(span, read_back(span), "" if a is None else unmask(span[a:b]), taken_back)
             if rows:
                 yield _batch(rows)

@@ -108,3 +108,47 @@ def test_windows_give_the_same_spans(monkeypatch):
     monkeypatch.setattr(C, "WINDOW", 3)
     assert spans_of(C.chatml, turns) == whole
     assert "".join(x[0] for x in whole) == C.chatml(turns)
+
+
+# --- prefixes are rendered from the first turn on, wherever turns lie
+
+numbered = lambda ts: "".join(f"{i}/{ts[0][1]}/{r}: {t}\n" for i, (r, t) in enumerate(ts))  # noqa: E731  tells the first turn from others, counts from it
+forgets = lambda ts: "".join(f"{r}: {'' if i < len(ts) - 40 else t}\n" for i, (r, t) in enumerate(ts))  # noqa: E731  rewrites what lies 40 turns back
+
+
+def plain_spans(template, turns):
+    out, before = [], template([])
+    for i in range(len(turns)):
+        now = template(turns[: i + 1])
+        keeps = next((k for k, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
+        out.append((now[keeps:], len(before) - keeps))
+        before = now
+    return out
+
+
+@pytest.mark.parametrize("work", [C.WORK, 1])
+@pytest.mark.parametrize("template", [numbered, forgets])
+def test_prefixes_of_long_conversations_are_rendered_whole(spark, monkeypatch, template, work):
+    monkeypatch.setattr(C, "WORK", work)
+    convs = {c: [(["user", "assistant"][i % 2], f"t{c}.{i} " * (1 + i % 3)) for i in range(n)] for c, n in ((1, 150), (2, 3), (None, 90), (4, 40), (5, 1))}
+    rows = [(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    random.Random(1).shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        got = C.turn_spans(spark.createDataFrame(rows, SCHEMA), "conv_id", "turn", "role", "text", template=template).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for c, turns in convs.items():
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: (r.part or 0, r.seq))
+        assert [(r.formatted, r.taken_back) for r in mine] == plain_spans(template, turns)
+        if template is numbered:
+            assert "".join(r.formatted for r in mine) == numbered(turns)
+            assert [r.formatted[r.mask_start : r.mask_stop] for r in mine if r.mask_start is not None] == [t for r, t in turns if r == "assistant"]
+    assert (len({r.part for r in got if r.conv_id == 1}) > 2) == (work == 1)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_digests_of_spread_conversations_equal_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(C, "WORK", 1)
+    monkeypatch.setattr(C, "WINDOW", 0)  # every conversation with a turn, then
+    assert got(spark, odd(), parts) == brute(odd())
