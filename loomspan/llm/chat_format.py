@@ -35,7 +35,7 @@ from loomspan.llm.support import partitions, text_batches, written
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 WINDOW = 16  # turns: a conversation up to this length is never spread over tasks
-WORK = 1 << 26  # turns times code points (64 more a turn, for what a template adds): beyond, a conversation is spread over tasks
+WORK = 1 << 28  # turns times code points (64 more a turn, for what a template adds): beyond, a conversation is spread over tasks
 PIECE_BYTES = 1 << 20  # of a conversation's digested text in one row, on the way to another task
 PROBE = "probe"
 LOSS_ROLES = ("assistant",)
