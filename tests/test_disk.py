@@ -63,3 +63,28 @@ def test_texts_are_lexed_where_they_lie(spark):
     lex = python_code.lexed_texts(files)
     assert not exchanges(lex) and "Sort" not in lex._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, lex.collect())) == sorted(map(tuple, python_code.lexed(corpus.line_table(files)).collect()))
+
+
+def test_cells_are_dealt_by_themselves_and_not_by_callers_and_blocks(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(ingest, "written", lambda df, what, *by, **kw: seen.setdefault(what, exchanges(df)) and None or scratch.written(df, what, *by, **kw))
+    seen, key = {}, "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "false")  # as while a table is written
+    try:
+        made = ingest.corpus_nodes(corpus_of(spark, {k: v for k, v in FILES.items() if k.endswith("ipynb")}))
+        assert made.where("node_type = 'call_edge'").count() == 1
+    finally:
+        spark.conf.unset(key)
+    assert "lines" not in seen and seen["cell-lines"] == []
+    assert len(seen["cell-symbols"]) <= 2  # statements and broken cells
+    found = seen["nodes-notebook"]
+    assert len(found) <= 5  # symbols, names before brackets, comments; cells and their errors
+    assert not any(word in x for x in found for word in ("caller", "block", "callee"))
+
+
+def test_cells_keep_their_place_and_language(spark):
+    book = '{"cells":[{"cell_type":"code","source":"x = 1"},{"cell_type":"code","metadata":{"language":"Lang\\\\u0000 7"},"source":"# a\\\\n"},{"cell_type":"code","source":"def f():\\\\n    g()"}]}'.replace("\\\\", "\\")
+    rows = ingest.corpus_nodes(corpus_of(spark, {"a\0b/c.ipynb": book})).collect()
+    of = {r.node_type: r for r in rows if r.node_type != "notebook_code"}
+    assert {r.file_path for r in rows} == {"a\0b/c.ipynb"}
+    assert (of["comment_line"].language, of["comment_line"].start_line, of["comment_line"].metadata) == ("lang\0 7", 3, {"cell_index": "1"})
+    assert (of["function"].start_line, of["function"].end_line, of["function"].metadata["cell_index"]) == (5, 6, "2") and of["call_edge"].start_line == 6
