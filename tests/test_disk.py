@@ -37,6 +37,16 @@ def test_shuffles_of_a_written_table_are_removed_and_the_session_keeps_its_setti
     assert {k: spark.conf.get(k) for k in KEYS} == settings
 
 
+def test_a_shuffle_of_a_written_table_has_no_more_parts_than_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "FINE_PARTS", 7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = scratch.written(spark.range(1000).groupBy((F.col("id") * 3).alias("k")).count(), "parts", shuffle_parts=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(made.inputFiles()) == 7 and made.count() == 1000
+
+
 @pytest.fixture
 def no_broadcast(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
